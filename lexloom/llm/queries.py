@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, perplexity, pii, quality, tokens
+from lexloom.llm import decontaminate, neardup, perplexity, pii, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.report(neardup.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
     import public_tokenizers
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL}
