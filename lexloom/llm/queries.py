@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, neardup, perplexity, pii, quality, tokens
+from lexloom.llm import decontaminate, mixing, neardup, perplexity, pii, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix to target weights takes every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal size."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return neardup.report(neardup.near_duplicates(table(spark, sf_dir, "documents")))
@@ -49,6 +59,8 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op7_mixing": op7_mixing,
+    "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
