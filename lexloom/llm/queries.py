@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, mixing, neardup, perplexity, pii, quality, sharding, tokens
+from lexloom.llm import decontaminate, licenses, linededup, mixing, neardup, perplexity, pii, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and detections in every document."""
+    return licenses.report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
@@ -32,6 +37,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines in every document."""
+    return linededup.report(linededup.find_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a mix to target weights takes every document."""
     return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS)
@@ -55,13 +65,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL}
