@@ -30,7 +30,7 @@ EPOCHS = 6
 THRESHOLD = 0.7
 
 _tokens = re.compile(r"[^ \t-\r]+").findall
-STATISTICS = ["bias", "log_words", "mean_word", "symbols", "signs_per_word", "bangs", "bars", "digits", "upper", "words_per_line", "distinct_words", "distinct_lines", "stops", "non_ascii"]
+STATISTICS = ["bias", "log_words", "mean_word", "symbols", "signs_per_word", "bangs", "bars", "digits", "upper", "words_per_line", "distinct_words", "distinct_lines", "stops", "non_ascii", "echoes"]
 WIDTH = BUCKETS + len(STATISTICS)
 
 
@@ -65,6 +65,7 @@ def structure(text: str, words: list[str]) -> list[float]:
         len(set(lines)) / len(lines),
         sum(map(text.count, ".,;")) / n,
         1 - len(text.encode("ascii", "ignore")) / chars,
+        sum(map(str.__eq__, words, words[1:])) / n,
     ]
 
 
