@@ -1,6 +1,343 @@
-"""Names of the graph queries, with the functions that run them and their SQL."""
+"""The graph queries by name, and the DuckDB SQL of each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom import schema
+from lexloom.operators import annotations, enrich, inference, lookup, senses, stats, subgraph, verify
+from lexloom.operators.inference import RuleGraph
+from lexloom.plans import oracles
+from lexloom.sources import derived, relation_docs, text_files
+from lexloom.sources.graph import triplets
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _types(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS id, name, 'help of ' || name AS help FROM (VALUES {', '.join(f"('{r}')" for r in oracles.RELATIONS)}) AS t(name)")
+
+
+def _public(df: DataFrame) -> DataFrame:
+    return df.withColumn("turn", F.col("turn").cast("long"))
+
+
+@query
+def lookup_out_topk(spark, sf_dir):
+    """The three strongest triplets of every source and relation."""
+    return _public(lookup.top_edges(derived.graph(spark, sf_dir), 3)).drop("target_id")
+
+
+@query
+def lookup_in_topk(spark, sf_dir):
+    return _public(lookup.incoming(derived.graph(spark, sf_dir), "r_isa", 5)).drop("target_id")
+
+
+@query
+def lookup_between(spark, sf_dir):
+    pairs = derived.claims(spark, sf_dir).select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    return _public(lookup.between(derived.graph(spark, sf_dir), pairs))
+
+
+@query
+def lookup_by_type(spark, sf_dir):
+    return lookup.select_edges(derived.graph(spark, sf_dir), ["r_make"]).select("id", "src", "rel", "tgt", "w")
+
+
+@query
+def filter_weight_range(spark, sf_dir):
+    return lookup.select_edges(derived.graph(spark, sf_dir), least=-20.0, most=20.0).select("id", "src", "rel", "tgt", "w")
+
+
+@query
+def filter_types_in(spark, sf_dir):
+    return lookup.select_edges(derived.graph(spark, sf_dir), ["r_lieu", "r_holo"]).select("id", "src", "rel", "tgt", "w")
+
+
+@query
+def filter_types_not_in(spark, sf_dir):
+    return lookup.select_edges(derived.graph(spark, sf_dir), without=["r_carac", "r_make"]).select("id", "src", "rel", "tgt", "w")
+
+
+@query
+def lookup_page(spark, sf_dir):
+    """A page of edges: offset 40, limit 25, strongest first."""
+    return lookup.page(derived.graph(spark, sf_dir), 40, 25).select("id", "src", "rel", "tgt", "w")
+
+
+@query
+def named_hypernyms(spark, sf_dir):
+    return _public(lookup.named_lookup(derived.graph(spark, sf_dir), "hypernyms")).drop("target_id")
+
+
+@query
+def named_characteristics(spark, sf_dir):
+    return _public(lookup.named_lookup(derived.graph(spark, sf_dir), "characteristics", least=10.0)).drop("target_id")
+
+
+@query
+def explore_by_signed_weight(spark, sf_dir):
+    return _public(lookup.explore(derived.graph(spark, sf_dir), "r_carac", None, 2))
+
+
+@query
+def polarity_split(spark, sf_dir):
+    g = derived.graph(spark, sf_dir)
+    return g.select("rel", lookup.polarity("w").alias("polarity")).groupBy("rel", "polarity").agg(F.count("*").alias("n"))
+
+
+@query
+def relation_prefix(spark, sf_dir):
+    return lookup.relation_list(_types(spark), "r_has")
+
+
+@query
+def term_exists(spark, sf_dir):
+    return lookup.existing_terms(derived.claims(spark, sf_dir).select(F.col("object").alias("term")).distinct(), derived.graph(spark, sf_dir))
+
+
+@query
+def exclusion_anti_join(spark, sf_dir):
+    candidates = derived.claims(spark, sf_dir).select(F.col("subject").alias("term"), "relation", F.upper("object").alias("target")).distinct()
+    return lookup.not_excluded(candidates, derived.graph(spark, sf_dir))
+
+
+@query
+def distinct_targets(spark, sf_dir):
+    return lookup.distinct_targets(derived.graph(spark, sf_dir), "r_lieu")
+
+
+@query
+def stats_by_relation(spark, sf_dir):
+    return stats.by_relation(derived.graph(spark, sf_dir))
+
+
+@query
+def stats_by_target_top20(spark, sf_dir):
+    return stats.by_target(derived.graph(spark, sf_dir))
+
+
+@query
+def degree(spark, sf_dir):
+    return stats.degree(derived.graph(spark, sf_dir))
+
+
+@query
+def gaps_classify(spark, sf_dir):
+    g = derived.graph(spark, sf_dir)
+    return stats.gaps(g.select(F.col("src").alias("term")).distinct(), g, ["r_carac", "r_lieu", "r_make"])
+
+
+@query
+def gap_counts(spark, sf_dir):
+    return gaps_classify(spark, sf_dir).groupBy("gap_type").agg(F.count("*").alias("n"))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("subject", "relation", "object", "schema", "weight", "confidence", F.col("consensus").cast("long").alias("consensus"), inference.proof_text().alias("proof"))
+
+
+def _schema_query(name: str) -> Query:
+    def run(spark, sf_dir):
+        return _flat(inference.run_schema(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), name))
+
+    run.__doc__ = f"What the schema ``{name}`` says about all claims."
+    return run
+
+
+for _name in inference.SCHEMAS:
+    QUERIES[_name] = _schema_query(_name)
+
+
+@query
+def cascade_effort1(spark, sf_dir):
+    return _flat(inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 1))
+
+
+@query
+def cascade_effort2(spark, sf_dir):
+    return _flat(inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2))
+
+
+@query
+def explanations(spark, sf_dir):
+    """The answers in words."""
+    found = inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2)
+    return found.select("subject", "relation", "object", inference.explanation(found).alias("explanation"))
+
+
+def _verified(spark, sf_dir, effort: int, bypass: bool = False) -> DataFrame:
+    claims = derived.claims(spark, sf_dir).withColumn("polarity", F.length("subject") % 2 == 0)
+    return verify.verify(RuleGraph(derived.graph(spark, sf_dir)), claims, effort, bypass, oracles.RELATIONS)
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    return found.select("subject", "relation", "object", "polarity", "status", "confidence", "schema", "weight")
+
+
+@query
+def verify_effort0(spark, sf_dir):
+    return _verdicts(_verified(spark, sf_dir, 0))
+
+
+@query
+def verify_effort1(spark, sf_dir):
+    return _verdicts(_verified(spark, sf_dir, 1))
+
+
+@query
+def verify_bypass(spark, sf_dir):
+    return _verdicts(_verified(spark, sf_dir, 1, True))
+
+
+@query
+def verdict_summary(spark, sf_dir):
+    return verify.summary(_verified(spark, sf_dir, 1))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    claims = derived.claims(spark, sf_dir)
+    return claims.select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), F.lit(0.8).alias("confidence"))
+
+
+@query
+def validate_candidates(spark, sf_dir):
+    return enrich.validate(_candidates(spark, sf_dir), RuleGraph(derived.graph(spark, sf_dir)))
+
+
+def _consolidated(spark, sf_dir) -> DataFrame:
+    g = RuleGraph(derived.graph(spark, sf_dir))
+    return enrich.consolidate(enrich.validate(_candidates(spark, sf_dir), g), g)
+
+
+@query
+def consolidate_candidates(spark, sf_dir):
+    return _consolidated(spark, sf_dir).drop("consolidation_explanation")
+
+
+@query
+def candidate_counts(spark, sf_dir):
+    return enrich.status_counts(_consolidated(spark, sf_dir))
+
+
+@query
+def submission_lines(spark, sf_dir):
+    return enrich.submission_lines(_consolidated(spark, sf_dir))
+
+
+def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, name, CAST(type AS INT) AS type, CAST(w AS DOUBLE) AS w FROM (VALUES {oracles.FIXTURE_NODES}) AS t(id, name, type, w)")
+    edges = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(node1 AS BIGINT) AS node1, CAST(node2 AS BIGINT) AS node2, CAST(type AS INT) AS type, CAST(w AS DOUBLE) AS w FROM (VALUES {oracles.FIXTURE_EDGES}) AS t(id, node1, node2, type, w)")
+    types = spark.sql(f"SELECT CAST(id AS INT) AS id, name, name AS help FROM (VALUES {oracles.FIXTURE_TYPES}) AS t(id, name)")
+    return nodes, edges, types
+
+
+@query
+def decode_names(spark, sf_dir):
+    found = senses.decode_names(_fixture(spark)[0])
+    return found.select("id", "name", "decoded", F.array_join("path", "/").alias("path"))
+
+
+@query
+def disambiguate(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    return senses.list_senses(nodes, triplets(nodes, edges, types)).select("term", "sense_id", "decoded", "weight", F.col("turn").cast("long").alias("turn"))
+
+
+@query
+def resolve_soft_sense(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    asked = spark.sql(f"SELECT soft FROM (VALUES {oracles.FIXTURE_SOFT}) AS t(soft)")
+    return senses.resolve_senses(asked, senses.list_senses(nodes, triplets(nodes, edges, types)))
+
+
+@query
+def annotations_for_edges(spark, sf_dir):
+    nodes, edges, _ = _fixture(spark)
+    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, a.w.cast("long").cast("string")))
+    return annotations.edge_annotations(nodes, edges).select("rel_id", F.array_join(shown, ",").alias("annotations"))
+
+
+@query
+def annotation_disagreement(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    top = annotations.annotable(triplets(nodes, edges, types), annotations.edge_annotations(nodes, edges))
+    proposed = top.withColumn("category", F.when(F.col("w") > 50, F.lit("Non specifique")).otherwise(F.lit("exception")))
+    return annotations.disagreements(proposed).select("id", "subject", "relation", "target", "existing", "category", "disagrees")
+
+
+@query
+def sense_contamination(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    g = triplets(nodes, edges, types)
+    return senses.contaminated_senses(senses.list_senses(nodes, g), g)
+
+
+@query
+def duplicate_sense_signal(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    g = triplets(nodes, edges, types)
+    return senses.shared_by_senses(senses.list_senses(nodes, g), g)
+
+
+def _subgraphs(spark, sf_dir, depth: int):
+    g = derived.graph(spark, sf_dir)
+    roots = g.filter("rel in ('r_hypo', 'r_make', 'r_lieu')").select(F.col("src").alias("root")).distinct()
+    return subgraph.extract(g, roots, depth)
+
+
+@query
+def subgraph_depth1(spark, sf_dir):
+    return _subgraphs(spark, sf_dir, 1)[1].select("root", "source", "target", "relation", "w", "label", "place")
+
+
+@query
+def subgraph_depth2(spark, sf_dir):
+    return _subgraphs(spark, sf_dir, 2)[1].select("root", "source", "target", "relation", "w", "label", "place", "from_negation")
+
+
+@query
+def subgraph_nodes(spark, sf_dir):
+    nodes = _subgraphs(spark, sf_dir, 2)[0]
+    return nodes.select("root", "label", F.col("depth").cast("long").alias("depth"), "kind", "negated")
+
+
+@query
+def subgraph_stats(spark, sf_dir):
+    return subgraph.counts(*_subgraphs(spark, sf_dir, 2))
+
+
+@query
+def subgraph_visible(spark, sf_dir):
+    nodes, edges = _subgraphs(spark, sf_dir, 2)
+    return subgraph.visible(nodes, edges).select("root", "label")
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([("doc", i, x) for i, x in enumerate(text.split("\n"))], "doc string, pos int, line string")
+
+
+@query
+def relation_docs_parsed(spark, sf_dir):
+    found = relation_docs.parse_relation_docs(_lines(spark, oracles.DOCS))
+    return relation_docs.doc_text(found)
+
+
+@query
+def claim_lines(spark, sf_dir):
+    """Claim lines of text, with the rejected ones."""
+    g = derived.claims(spark, sf_dir)
+    lines = g.select(F.concat_ws(" ", F.split_part("subject", F.lit(" "), F.lit(1)), "relation", F.lit("|"), "object").alias("line")).distinct()
+    return text_files.parse_claim_lines(lines).select("line", "subject", "relation", "object")
+
+
+ORACLES = oracles.build()
