@@ -19,7 +19,7 @@ SPACING = 3
 #: Words from which a line is a chunk of its own; fewer words than the second make no chunk worth removing.
 LONG_LINE, LEAST_WORDS = 50, 5
 
-_WORDS = F.lit(r"[^\x20\x09-\x0D]+")
+_WORDS = r"[^\x20\x09-\x0D]+"
 KEY = ["doc_id", "text_key"]
 
 
@@ -32,7 +32,7 @@ def chunks_of(text: Column) -> Column:
     """``array<struct<start, n_lines, n_words, chunk>>`` of a text that is not null; starts count lines from 0."""
 
     def of_lines(lines: Column) -> Column:
-        facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, _WORDS) >= LONG_LINE).alias("long")))
+        facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(_WORDS)) >= LONG_LINE).alias("long")))
         return _let(facts, lambda f: cut(lines, f))
 
     def cut(lines: Column, facts: Column) -> Column:
@@ -47,7 +47,7 @@ def chunks_of(text: Column) -> Column:
 
     def piece(lines: Column, a: Column, b: Column) -> Column:
         text = F.array_join(F.slice(lines, a + 1, b - a), "\n")
-        return _let(text, lambda t: F.struct(a.alias("start"), (b - a).alias("n_lines"), F.regexp_count(t, _WORDS).alias("n_words"), t.alias("chunk")))
+        return _let(text, lambda t: F.struct(a.alias("start"), (b - a).alias("n_lines"), F.regexp_count(t, F.lit(_WORDS)).alias("n_words"), t.alias("chunk")))
 
     return _let(F.split(text, "\n"), of_lines)
 
@@ -68,7 +68,8 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     suspects = materialise(places.join(often, "h"), "chunk-suspects").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
     suspects = materialise(suspects.withColumnsRenamed({c: f"s_{c}" for c in KEY}), "chunk-suspects")
     same = keyed["doc_id"].eqNullSafe(suspects["s_doc_id"]) & (keyed["text_key"] == suspects["s_text_key"])
-    texts = keyed.join(suspects, same).select(*KEY, F.explode(F.filter(chunks_of(F.col("text")), lambda c: F.array_contains(F.col("starts"), c.start))).alias("c"))
+    # A merge join at every size: the list of suspects grows with the input.
+    texts = keyed.join(suspects.hint("merge"), same).select(*KEY, F.explode(F.filter(chunks_of(F.col("text")), lambda c: F.array_contains(F.col("starts"), c.start))).alias("c"))
     texts = materialise(texts.select(*KEY, "c.start", "c.n_lines", "c.chunk", F.xxhash64("c.chunk").alias("h")), "chunk-texts")
     place = F.struct(*KEY, "start")
     first = texts.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
