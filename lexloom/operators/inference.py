@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import norm
+from lexloom.sources.storage import store
 
 STEP = "struct<source:string,relation:string,target:string,w:double,note:string>"
 CLAIM = ["subject", "relation", "object"]
@@ -42,6 +43,14 @@ class RuleGraph:
     graph: DataFrame
     top_k: int = schema.TOP_K
 
+    @classmethod
+    def stored(cls, graph: DataFrame, top_k: int = schema.TOP_K) -> RuleGraph:
+        """With the shared views written once; what a cascade, which reads them in every schema, should use."""
+        out = cls(store(graph, "graph"), top_k)
+        out.edges = store(out.edges, "edges")
+        out.probe = store(out.probe, "probe")
+        return out
+
     @cached_property
     def edges(self) -> DataFrame:
         return self.graph.select("id", norm("src").alias("a"), "rel", norm("tgt").alias("b"), norm("tgt_decoded").alias("b2"), "tgt", F.col("tgt_decoded").alias("shown"), "w")
@@ -237,6 +246,7 @@ def run_schema(graph: RuleGraph, claims: DataFrame, name: str) -> DataFrame:
 def infer(graph: RuleGraph, claims: DataFrame, effort: int = 1) -> DataFrame:
     """Every claim with the answer of the first schema that fires; a silent claim has weight 0 and no schema."""
     order = CASCADE_2 if effort >= 2 else CASCADE
+    claims = store(claims, "claims")  # every schema reads them
     answers = None
     for rank, name in enumerate(order):
         part = run_schema(graph, claims, name).withColumn("rank", F.lit(rank))

@@ -13,6 +13,7 @@ from lexloom.operators.inference import RuleGraph
 from lexloom.plans import oracles
 from lexloom.sources import derived, relation_docs, text_files
 from lexloom.sources.graph import triplets
+from lexloom.sources.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,24 +161,24 @@ for _name in inference.SCHEMAS:
 
 @query
 def cascade_effort1(spark, sf_dir):
-    return _flat(inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 1))
+    return _flat(inference.infer(RuleGraph.stored(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 1))
 
 
 @query
 def cascade_effort2(spark, sf_dir):
-    return _flat(inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2))
+    return _flat(inference.infer(RuleGraph.stored(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2))
 
 
 @query
 def explanations(spark, sf_dir):
     """The answers in words."""
-    found = inference.infer(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2)
+    found = inference.infer(RuleGraph.stored(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2)
     return found.select("subject", "relation", "object", inference.explanation(found).alias("explanation"))
 
 
 def _verified(spark, sf_dir, effort: int, bypass: bool = False) -> DataFrame:
     claims = derived.claims(spark, sf_dir).withColumn("polarity", F.length("subject") % 2 == 0)
-    return verify.verify(RuleGraph(derived.graph(spark, sf_dir)), claims, effort, bypass, oracles.RELATIONS)
+    return verify.verify(RuleGraph.stored(derived.graph(spark, sf_dir)), claims, effort, bypass, oracles.RELATIONS)
 
 
 def _verdicts(found: DataFrame) -> DataFrame:
@@ -211,11 +212,11 @@ def _candidates(spark, sf_dir) -> DataFrame:
 
 @query
 def validate_candidates(spark, sf_dir):
-    return enrich.validate(_candidates(spark, sf_dir), RuleGraph(derived.graph(spark, sf_dir)))
+    return enrich.validate(_candidates(spark, sf_dir), RuleGraph.stored(derived.graph(spark, sf_dir)))
 
 
 def _consolidated(spark, sf_dir) -> DataFrame:
-    g = RuleGraph(derived.graph(spark, sf_dir))
+    g = RuleGraph.stored(derived.graph(spark, sf_dir))
     return enrich.consolidate(enrich.validate(_candidates(spark, sf_dir), g), g)
 
 
@@ -290,7 +291,7 @@ def duplicate_sense_signal(spark, sf_dir):
 
 
 def _subgraphs(spark, sf_dir, depth: int):
-    g = derived.graph(spark, sf_dir)
+    g = store(derived.graph(spark, sf_dir), "graph")
     roots = g.filter("rel in ('r_hypo', 'r_make', 'r_lieu')").select(F.col("src").alias("root")).distinct()
     return subgraph.extract(g, roots, depth)
 
