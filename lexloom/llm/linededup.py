@@ -38,7 +38,11 @@ def chunks_of(text: Column) -> Column:
     def cut(lines: Column, facts: Column) -> Column:
         def begins(i: Column) -> Column:
             this, before = F.get(facts, i), F.get(facts, i - 1)
-            return (F.pmod(F.xxhash64(before.h, this.h), F.lit(SPACING)) == 0) | this.long | before.long
+            # Not right after another boundary, so that chunks have two lines or more.
+            return (rolls(i) & ~((i > 1) & rolls(i - 1))) | this.long | before.long
+
+        def rolls(i: Column) -> Column:
+            return F.pmod(F.xxhash64(F.get(facts, i - 1).h, F.get(facts, i).h), F.lit(SPACING)) == 0
 
         n = F.size(lines)
         inner = F.when(n > 1, F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begins)).otherwise(F.array().cast("array<int>"))

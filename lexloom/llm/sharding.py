@@ -24,16 +24,16 @@ TRIES = 31
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, size, text_crc32, group)`` per row; a null text is a group of its own with size 1."""
+    """``(doc_id, size, text_crc32, group)`` per row; a null text counts as an empty one."""
     text = F.col(text_col)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("group"))
+    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("group"))
 
 
 def place_units(rows: DataFrame, n_rows: int) -> DataFrame:
     """Parts of groups with ``upto`` (bytes up to the group's end), ``weight`` (the group's bytes) and ``before`` (rows before the part)."""
     n_buckets = max(1, n_rows // BUCKET)
-    first = F.coalesce(F.conv(F.substring("group", 1, 8), 16, 10).cast("long"), F.lit(0))
+    first = F.conv(F.substring("group", 1, 8), 16, 10).cast("long")
     units = rows.groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     units = units.withColumn("bucket", F.floor(first * n_buckets / 2**32))
     inside, whole = Window.partitionBy("bucket").orderBy("group"), Window.partitionBy("bucket", "group")
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     """Per row ``doc_id``, ``size``, ``text_crc32``, ``law`` (``bytes``), ``shard``, ``slot`` and a null ``grown_shard``.
 
     Shards are 0 to ``n_shards - 1``; slots count from 0 in each shard without
-    gaps.  Sizes are UTF-8 bytes plus 1 (null: 1; its CRC is that of no bytes).
+    gaps.  Sizes are UTF-8 bytes plus 1; a null text is one with an empty text.
     Equal texts share a shard, also when one group outweighs a fair share.
     Repeated rows get slots of their own; null ids come first in their group;
     an empty table gives no rows.  Other columns are ignored.

@@ -51,10 +51,10 @@ def test_line_dedup(docs, documents, no_docs):
 
 
 def test_shifted_passage_is_found(spark):
-    passage = "\n".join(f"shared line number {k} of the passage" for k in range(30))
+    passage = "\n".join(f"shared line number {k} of the passage" for k in range(90))
     rows = [(1, "intro\n" + passage), (2, "other\nlines\nbefore\n" + passage + "\nafter")]
     got = {r.doc_id: r for r in linededup.report(linededup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got[1].n_removed_lines == 0 and got[2].n_removed_lines >= 20
+    assert got[1].n_removed_lines == 0 and got[2].n_removed_lines >= 60
 
 
 def test_mixing(docs, documents, no_docs):
@@ -111,7 +111,7 @@ def test_sharding(docs, documents, no_docs):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t, *_ in documents)
     groups = Counter()
     for _, t, *_ in documents:
-        groups[hashlib.md5(t.encode()).hexdigest() if t is not None else ""] += size(t)
+        groups[hashlib.md5((t or "").encode()).hexdigest()] += size(t)
     load, slots = Counter(), defaultdict(list)
     for r in got:
         load[r.shard] += r.size
