@@ -1,9 +1,11 @@
 """Near-duplicate documents by MinHash bands, odd sketches and a check on full shingle sets.
 
 1. Every text becomes its set of word shingles (64-bit hashes), MinHash samples
-   of it, band keys, and an odd sketch: the samples folded into a bitmap by
-   parity, so that the bits in which two sketches differ estimate how many
-   samples differ.
+   of it, band keys, and two odd sketches.  One folds the samples into a bitmap
+   by parity, so that the bits in which two sketches differ estimate how many
+   samples differ.  The other folds the whole set: its differing bits are never
+   more than the shingles in which two sets differ, so it rules pairs out
+   without any error, and almost exactly for sets of a few hundred shingles.
 2. Texts with equal sets are one *class*; from here on classes stand for them.
 3. Classes that share a band key meet that band's pivot (its smallest member).
    Pairs whose lengths or sketches rule the similarity out are dropped, the
@@ -28,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.membership import may_contain
 from lexloom.llm.storage import materialise
 from lexloom.llm.text import lower_ascii
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SKETCH_BITS, SET_BITS = 512, 1024
 #: Least similarity of a link, as a fraction of integers.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Sketches that estimate less than this rule a pair out: five standard deviations below the threshold.
@@ -96,18 +99,24 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
 
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of the whole set (as int64)."""
+    places = (shingles % np.uint64(SET_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=SET_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, n, node, bands, bits)`` per row of ``(doc_id, text)``; no words give n = 0 and a null node."""
+    """``(doc_id, text_key, n, node, bands, bits, parity)`` per row of ``(doc_id, text)``; no words give n = 0 and a null node."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "n", "node", "bands", "bits"]
+    names = ["doc_id", "text_key", "n", "node", "bands", "bits", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, node, bands, bits = [], [], [], []
+                n, node, bands, bits, parity = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     found = shingle_set(text, hashes)
                     n.append(len(found))
@@ -116,29 +125,38 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                         node.append(xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63)
                         bands.append(b)
                         bits.append(s)
+                        parity.append(set_parity(found))
                     else:
                         node.append(None)
                         bands.append(None)
                         bits.append(None)
+                        parity.append(None)
                 long_list = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, long_list), pa.array(bits, long_list)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, long_list), pa.array(bits, long_list), pa.array(parity, long_list)], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, node long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, node long, bands array<long>, bits array<long>, parity array<long>")
 
 
 def _possible(a: str, b: str):
     """Neither the lengths nor the sketches of sides ``a`` and ``b`` rule a link out."""
+
+    def differ(bits: str, size: int):
+        return sum((F.bit_count(F.col(f"{a}.{bits}")[i].bitwiseXOR(F.col(f"{b}.{bits}")[i])) for i in range(size // 64)), F.lit(0))
+
     most = SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / SKETCH_BITS))
-    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    shorter, longer = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (DENOMINATOR * shorter >= NUMERATOR * longer) & (differ <= int(most))
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    lengths = DENOMINATOR * F.least(n_a, n_b) >= NUMERATOR * F.greatest(n_a, n_b)
+    # Similar sets differ in at most (1 - t) / (1 + t) of their total size.
+    sets = (DENOMINATOR + NUMERATOR) * differ("parity", SET_BITS) <= (DENOMINATOR - NUMERATOR) * (n_a + n_b)
+    return lengths & sets & (differ("bits", SKETCH_BITS) <= int(most))
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose full shingle sets are similar enough."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = ends.join(classes.select("node", "min_id"), "node").select(F.col("min_id").alias("doc_id")).distinct()
-    known = docs.select("doc_id", "text")
+    ids = materialise(ids, "ids")
+    known = docs.select("doc_id", "text").filter(may_contain(ids, ["doc_id"], [F.col("doc_id")]) | F.col("doc_id").isNull())
     wanted = known.join(ids.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").unionByName(known.filter(F.col("doc_id").isNull()))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +212,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialise(sketch_documents(docs), "sketches")
     with_words = sketched.filter("n > 0")
-    classes = materialise(with_words.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    classes = materialise(with_words.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "classes")
 
     members = classes.select("node", F.explode("bands").alias("bucket"))
     bucket = Window.partitionBy("bucket")
     shared = materialise(members.select("bucket", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last")).filter("pivot < last").drop("last"), "buckets")
 
-    sides = classes.select("node", "n", "bits")
+    sides = classes.select("node", "n", "bits", "parity")
     a, b = sides.withColumnRenamed("node", "a").alias("l"), sides.withColumnRenamed("node", "b").alias("r")
     stars = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(b, "b").join(a, "a").filter(_possible("l", "r")).select("a", "b")
@@ -210,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Bands that still hold several components: their other pairs.
     placed = materialise(shared.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")), "placed")
     split = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-    rest = placed.join(split, "bucket", "left_semi").filter("node <> pivot").join(sides, "node").select("bucket", "node", "root", F.struct("n", "bits").alias("side"))
+    rest = placed.join(split, "bucket", "left_semi").filter("node <> pivot").join(sides, "node").select("bucket", "node", "root", F.struct("n", "bits", "parity").alias("side"))
     rest = materialise(rest, "rest")
     one = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("side").alias("l"))
     two = rest.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("side").alias("r"))
@@ -235,8 +253,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one document of each component, columns as they were."""
     gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
     gone = materialise(gone, "gone")
-    same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_key"])
-    return docs.join(gone, same, "left_anti")
+    own = [F.col(id_col), F.xxhash64(text_col)]
+    suspect = docs.withColumn("_suspect", may_contain(gone, ["_gone_id", "_gone_key"], own))
+    unseen = suspect.filter(~F.col("_suspect")).select(*docs.columns)
+    seen = suspect.filter("_suspect").withColumn("_key", own[1])
+    same = seen[id_col].eqNullSafe(gone["_gone_id"]) & (seen["_key"] == gone["_gone_key"])
+    return unseen.unionByName(seen.join(gone.hint("merge"), same, "left_anti").select(*docs.columns))
 
 
 def report(found: DataFrame) -> DataFrame:
