@@ -48,21 +48,20 @@ def _shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
 
 
-def _by_first(shingles) -> dict[bytes, list[tuple[bytes, ...]]]:
-    """The shingles under their first word; longer ones first does not matter, all are compared."""
-    out: dict[bytes, list[tuple[bytes, ...]]] = {}
-    for s in shingles:
-        out.setdefault(s[0], []).append(s)
-    return out
-
-
-def _found(words: list[bytes], by_first: dict[bytes, list[tuple[bytes, ...]]]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-    """Places of the known shingles in ``words``."""
-    get = by_first.get
-    for i, known in enumerate(map(get, words)):
-        if known:
-            for s in known:
-                if len(s) == 1 or tuple(words[i : i + len(s)]) == s:
+class _Shingles:
+    """Known shingles, found in a text by their first word and then whole."""
+
+    def __init__(self, shingles) -> None:
+        self.known = set(shingles)
+        self.first = {s[0] for s in self.known}
+        self.sizes = sorted({len(s) for s in self.known})
+
+    def places(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+        known, first = self.known, self.first
+        for i in [i for i, w in enumerate(words) if w in first]:
+            for n in self.sizes:
+                s = tuple(words[i : i + n])
+                if s in known:
                     yield i, s
 
 
@@ -70,10 +69,10 @@ def shingle_counts(docs: DataFrame, shared) -> DataFrame:
     """How often the corpus has each of the windows' shingles; shingles never seen are absent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_first, total = _by_first(shared.value), Counter()
+        known, total = _Shingles(shared.value), Counter()
         for batch in batches:
             for i in range(batch.num_rows):
-                total.update(s for _, s in _found(words_of(batch.column(0)[i].as_py()), by_first))
+                total.update(s for _, s in known.places(words_of(batch.column(0)[i].as_py())))
         if total:
             names = [b" ".join(s).decode() for s in total]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(list(total.values()), pa.int64())], ["shingle", "n"])
@@ -90,12 +89,12 @@ class PrefixIndex:
             shingles = _shingles(words)
             offset = min(range(len(shingles)), key=lambda i: (counts.get(b" ".join(shingles[i]), 0), shingles[i], i))
             self.at.setdefault(shingles[offset], []).append((offset, words, items))
-        self.by_first = _by_first(self.at)
+        self.prefixes = _Shingles(self.at)
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans of the words that lie in a window, and the items hit."""
         spans, items = [], set()
-        for i, shingle in _found(words, self.by_first):
+        for i, shingle in self.prefixes.places(words):
             for offset, window, of in self.at[shingle]:
                 start = i - offset
                 if start >= 0 and start + len(window) <= len(words) and words[start : start + len(window)] == window:

@@ -3,9 +3,9 @@
 Texts without any rule's stem are passed over by plain substring tests.  The
 rest are brought to lower-case words, each carrying its number, and only the
 rules whose keyword occurs run their regular expression; the numbers in a
-match say which words it covers.  A detection falls if another one covers its
-words and outranks it (a smaller priority number, or the same one and more
-words, or the very same words and an earlier rule).  Four base phrases are
+match say which words it covers.  Of two detections of which one covers the
+other's words, the one with the smaller priority number stays; with the same
+number the wider one, and for the very same words the earlier rule.  Four base phrases are
 counted apart from the rules and always stay.
 
 All of it is one expression per row: no shuffle, no Python on the executors.
@@ -76,10 +76,11 @@ def _detections(words: Column, numbered: Column, rules: list[Rule]) -> Column:
 
 
 def _outranks(g: Column, h: Column) -> Column:
-    """Detection ``g`` covers ``h`` and suppresses it."""
+    """Detection ``g`` suppresses ``h``."""
     covers = (g.start <= h.start) & (g.minus_end <= h.minus_end)
-    same = (g.start == h.start) & (g.minus_end == h.minus_end)
-    return covers & ((g.priority < h.priority) | ((g.priority == h.priority) & (~same | (g.number < h.number))))
+    covered = (h.start <= g.start) & (h.minus_end <= g.minus_end)
+    same = covers & covered
+    return ((covers | covered) & (g.priority < h.priority)) | (covers & (g.priority == h.priority) & (~same | (g.number < h.number)))
 
 
 def _survivors(found: Column, n_rules: int) -> Column:
@@ -113,13 +114,15 @@ def _base_places(numbered: Column, phrase: str, label: str) -> Column:
 
 def may_match(text: Column, rules: list[Rule]) -> Column:
     """Some rule's stem, or a base phrase's, occurs in the text."""
-    low = F.lower(text)
     stems = sorted({stem(r) for r in rules if stem(r) != "cc"} | {"licen"})
-    near_cc = F.contains(low, F.lit("cc")) & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
-    out = F.contains(low, F.lit(stems[0]))
-    for s in stems[1:]:
-        out = out | F.contains(low, F.lit(s))
-    return out | near_cc
+
+    def of_lower(low: Column) -> Column:
+        out = F.contains(low, F.lit(stems[0]))
+        for s in stems[1:]:
+            out = out | F.contains(low, F.lit(s))
+        return out | (F.contains(low, F.lit("cc")) & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"))
+
+    return _let(F.lower(text), of_lower)
 
 
 def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,8 +176,9 @@ found AS (
   FROM numbered JOIN rules ON contains(words, keyword), unnest(regexp_extract_all(line, pattern)) AS t(m)),
 kept AS (
   SELECT * FROM found h WHERE NOT EXISTS (
-    SELECT 1 FROM found g WHERE g.doc_id = h.doc_id AND g.s <= h.s AND g.e >= h.e
-      AND (g.priority < h.priority OR (g.priority = h.priority AND (g.s <> h.s OR g.e <> h.e OR g.number < h.number))))),
+    SELECT 1 FROM found g WHERE g.doc_id = h.doc_id AND (
+      (g.priority < h.priority AND ((g.s <= h.s AND g.e >= h.e) OR (h.s <= g.s AND h.e >= g.e)))
+      OR (g.priority = h.priority AND g.s <= h.s AND g.e >= h.e AND (g.s <> h.s OR g.e <> h.e OR g.number < h.number))))),
 by_base AS (SELECT doc_id, count(*) AS n, min(s) AS lo, max(s) AS hi FROM base GROUP BY doc_id),
 base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
 all_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names
