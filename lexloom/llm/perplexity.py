@@ -5,8 +5,11 @@ per language, over all documents: every task counts its share into an array
 and Spark adds the shares up.  From the counts comes an interpolated modified
 Kneser-Ney model, kept as sorted arrays of gram keys with their values; a
 language has at most ``SYMBOLS ** 4`` keys whatever the corpus, so a model's
-size is bounded.  A document's mean surprise per character is held against a
-lower and an upper bound of its language, both taken from all its documents.
+size is bounded.  Characters only judge the spelling; the words themselves are
+judged by a word trigram model that grows with the corpus
+(:mod:`lexloom.llm.wordgrams`).  A document's mean surprise per character and
+its mean surprise per word are each held against a lower and an upper bound of
+its language, taken from all its documents.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.storage import materialise
+from lexloom.llm.wordgrams import word_surprise
 
 SYMBOLS = 40
 ORDER = 4
@@ -27,6 +31,8 @@ ORDER = 4
 MODEL_KEYS = 8 * SYMBOLS**ORDER // 4
 #: Half-width of a language's band in robust standard deviations, and the least half-width in nats per character.
 BAND, LEAST_BAND = 8.0, 0.2
+#: The same for the mean surprise per word.
+WORD_BAND, LEAST_WORD_BAND = 4.0, 0.2
 #: Width of the bins that the bands' medians are read from, in nats.
 BIN = 0.005
 
@@ -161,7 +167,7 @@ def text_measures(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def score(docs: DataFrame, shared) -> DataFrame:
-    """Measures and mean surprise (null without characters or model) per row of ``(doc_id, text, lang)``."""
+    """Measures and mean surprise (null without characters or model) per row of ``(doc_id, text, lang, text_key)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +186,9 @@ def score(docs: DataFrame, shared) -> DataFrame:
                 else:
                     means.append(None)
             columns = np.array(measures, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c) for c in columns], pa.array(means, pa.float64())], ["doc_id", "lang", *NAMES, "surprise"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(c) for c in columns], pa.array(means, pa.float64())], ["doc_id", "lang", "text_key", *NAMES, "surprise"])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{n} long' for n in NAMES)}, surprise double")
+    return docs.select("doc_id", "text", "lang", "text_key").mapInArrow(run, f"doc_id {kind}, lang string, text_key long, {', '.join(f'{n} long' for n in NAMES)}, surprise double")
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -202,15 +208,16 @@ def models_in_blocks(counts: DataFrame, limit: int = MODEL_KEYS) -> Iterator[dic
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", band: float = BAND, least: float = LEAST_BAND) -> DataFrame:
-    """Per document the five measures, ``base_failed``, ``perplexity``, the band and ``kept``.
+    """Per document the five measures, ``base_failed``, ``kept``, and the perplexity per character and per word with its band.
 
     A null language is a language of its own.  A null or empty text has no
-    words, fails the base rule and has no perplexity.  Bands come from the
+    words, fails the base rule and has no perplexities.  Bands come from the
     documents that pass the base rule; a language without any has no band and
     rejects nothing more.  Repeated rows count and are judged one by one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     counts = materialise(count_grams(rows), "gram-counts")
     scored = None
     blocks = list(_blocks(spark, rows, counts))
@@ -219,11 +226,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if scored is None:
         scored = score(rows, spark.sparkContext.broadcast({}))
     n = F.col("n_words")
+    scored = scored.withColumn("lang_key", F.xxhash64("lang")).join(word_surprise(rows), ["lang_key", "text_key"], "left")
     scored = materialise(scored.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)), "surprise")
-    limits = bands(scored.filter(~F.col("base_failed") & F.col("surprise").isNotNull()), band, least)
-    outside = (F.col("surprise") < F.col("low")) | (F.col("surprise") > F.col("high"))
-    kept = ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))
-    return scored.join(limits, "lang", "left").select("doc_id", *NAMES, "base_failed", kept.alias("kept"), F.exp("surprise").alias("perplexity"), F.exp("low").alias("least_perplexity"), F.exp("high").alias("most_perplexity"))
+    passed = scored.filter(~F.col("base_failed"))
+    limits = bands(passed.filter(F.col("surprise").isNotNull()), band, least)
+    of_words = bands(passed.filter(F.col("word_surprise").isNotNull()), WORD_BAND, LEAST_WORD_BAND, "word_surprise").withColumnsRenamed({"low": "word_low", "high": "word_high"})
+    outside = lambda v, low, high: F.coalesce((F.col(v) < F.col(low)) | (F.col(v) > F.col(high)), F.lit(False))
+    kept = ~F.col("base_failed") & ~outside("surprise", "low", "high") & ~outside("word_surprise", "word_low", "word_high")
+    names = {"perplexity": "surprise", "least_perplexity": "low", "most_perplexity": "high", "word_perplexity": "word_surprise", "least_word_perplexity": "word_low", "most_word_perplexity": "word_high"}
+    return scored.join(limits, "lang", "left").join(of_words, "lang", "left").select("doc_id", *NAMES, "base_failed", kept.alias("kept"), *[F.exp(c).alias(n) for n, c in names.items()])
 
 
 def _blocks(spark, rows: DataFrame, counts: DataFrame) -> Iterator[DataFrame]:
@@ -241,9 +252,9 @@ def _blocks(spark, rows: DataFrame, counts: DataFrame) -> Iterator[DataFrame]:
             yield score(rows.filter(mine if i else mine | ~F.col("lang").isin(known)), shared)
 
 
-def bands(scored: DataFrame, width: float, least: float) -> DataFrame:
-    """``(lang, low, high)``: median plus and minus ``width`` robust deviations of the mean surprise, over all rows given."""
-    bins = scored.groupBy("lang", F.floor(F.col("surprise") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+def bands(scored: DataFrame, width: float, least: float, of: str = "surprise") -> DataFrame:
+    """``(lang, low, high)``: median plus and minus ``width`` robust deviations of the mean surprise ``of``, over all rows given."""
+    bins = scored.groupBy("lang", F.floor(F.col(of) / BIN).alias("bin")).agg(F.count("*").alias("n"))
     centre = _median(bins, "bin").withColumnRenamed("median", "centre")
     away = bins.join(centre, "lang").withColumn("away", F.abs(F.col("bin") - F.col("centre"))).groupBy("lang", "away").agg(F.sum("n").alias("n"))
     spread = _median(away, "away").withColumnRenamed("median", "spread")

@@ -1,0 +1,134 @@
+"""Word n-gram model over whole documents: interpolated modified Kneser-Ney of order three, per language.
+
+Words are 64-bit hashes (salted with their language), so every script and every
+word counts and the tables grow with the corpus.  All orders are counted, kept
+and joined as distributed tables; nothing of them passes through the driver.
+
+A document is scored by the corpus it belongs to.  So that neither a document
+nor its exact and near copies vouch for it, a trigram counts the different
+words that stand :data:`GAP` words before it (a copy has the same one there, a
+stock phrase has not), and each place is judged without its own count (leaving
+one out at all orders).
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexloom.llm.storage import materialise
+
+#: Distance of the word that tells the places of a trigram apart.
+GAP = 6
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = "฀-໿぀-ヿ㐀-鿿"
+words_in = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]").findall
+
+
+class _WordHashes(dict):
+    """64-bit hash of a word of one language, with the words seen lately."""
+
+    def __init__(self, lang: int) -> None:
+        self.seed = lang % 2**64
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed) - 2**63
+        return h
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """``(lang_key, text_key, z, a, b, c)`` per word ``c`` of ``(text, lang, text_key)``; ``z`` stands :data:`GAP` words before ``a``; starts stand before a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[int, _WordHashes] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                parts: list[tuple[int, int, np.ndarray]] = []
+                for text, lang, key in zip(*(c.to_pylist() for c in part.columns)):
+                    words = words_in(text.lower()) if text else []
+                    if not words:
+                        continue
+                    if sum(map(len, hashes.values())) > 1_000_000:
+                        hashes.clear()
+                    if lang not in hashes:
+                        hashes[lang] = _WordHashes(lang)
+                    known = hashes[lang]
+                    parts.append((lang, key, np.array([*[lang] * (GAP + 2), *map(known.__getitem__, words)], np.int64)))
+                if not parts:
+                    continue
+                size = [len(w) - GAP - 2 for _, _, w in parts]
+                columns = [np.repeat(np.array([p[i] for p in parts], np.int64), size) for i in (0, 1)]
+                columns += [np.concatenate([w[k : len(w) - GAP - 2 + k] for _, _, w in parts]) for k in (0, GAP, GAP + 1, GAP + 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang_key", "text_key", "z", "a", "b", "c"])
+
+    rows = docs.select("text", F.xxhash64("lang").alias("lang_key"), "text_key")
+    return rows.mapInArrow(run, "lang_key long, text_key long, z long, a long, b long, c long")
+
+
+def discounts(grams: DataFrame, label: str) -> DataFrame:
+    """``(lang_key, d1, d2, d3)``: discounts of counts of 1, 2 and 3 or more (Chen and Goodman), kept within the count."""
+    of = [F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4)]
+    n = grams.groupBy("lang_key").agg(*[x.alias(f"n{k}") for k, x in enumerate(of, 1)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def d(k: int) -> Column:
+        found = k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
+        usable = (F.col("n1") > 0) & (F.col("n2") > 0)
+        return F.when(usable, F.least(F.greatest(F.coalesce(found, F.lit(0.5)), F.lit(0.05)), F.lit(k - 0.01))).otherwise(0.5)
+
+    return materialise(n.select("lang_key", *[d(k).alias(f"d{k}") for k in (1, 2, 3)]), label)
+
+
+def _context(grams: DataFrame, by: list[str]) -> DataFrame:
+    """Total count and the numbers of grams seen once, twice and more often, per context."""
+    kinds = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
+    return grams.groupBy(*by).agg(F.sum("n").alias("total"), *[x.alias(f"k{i}") for i, x in enumerate(kinds, 1)])
+
+
+def _chance(lower: Column, less: int) -> Column:
+    """Probability of a gram in its context, with ``less`` (0 or 1) of its places left out."""
+    n, total = F.col("n") - less, F.col("total") - less
+    was = lambda k: (F.col("n") == k).cast("int") * less
+    kinds = [F.col("k1") - was(1) + was(2), F.col("k2") - was(2) + was(3), F.col("k3") - was(3)]
+    mass = sum((F.col(f"d{i}") * k for i, k in enumerate(kinds, 1)), F.lit(0.0))
+    off = F.when(n <= 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    return F.when(total > 0, (n - off) / total + mass / total * lower).otherwise(lower)
+
+
+def chances(grams: DataFrame) -> DataFrame:
+    """``(a, b, c, p)`` of counted trigrams ``(lang_key, a, b, c, n)``: each one's probability without one of its places."""
+    # A shorter gram counts the different words before it.
+    two = materialise(grams.groupBy("lang_key", "b", "c").agg(F.count("*").alias("n")), "word-bigrams")
+    one = materialise(two.groupBy("lang_key", "c").agg(F.count("*").alias("n")), "words")
+    drop = ["n", "total", "k1", "k2", "k3", "d1", "d2", "d3"]
+
+    whole = _context(one, ["lang_key"]).join(one.groupBy("lang_key").agg((1 / (F.count("*") + 1)).alias("even")), "lang_key")
+    p1 = one.join(whole, "lang_key").join(discounts(one, "word-discounts"), "lang_key")
+    p1 = p1.select("c", _chance(F.col("even"), 0).alias("full"), _chance(F.col("even"), 1).alias("less"))
+
+    p2 = two.join(_context(two, ["b"]), "b").join(discounts(two, "word-discounts"), "lang_key").join(p1, "c")
+    fewer = F.when(F.col("n") == 1, F.col("less")).otherwise(F.col("full"))
+    p2 = p2.select("b", "c", _chance(F.col("full"), 0).alias("full"), _chance(fewer, 1).alias("less"))
+    p2 = materialise(p2, "word-bigram-chances")
+
+    p3 = grams.join(_context(grams, ["a", "b"]), ["a", "b"]).join(discounts(grams, "word-discounts"), "lang_key").join(p2, ["b", "c"])
+    return p3.withColumn("p", _chance(fewer, 1)).drop("full", "less", "lang_key", *drop)
+
+
+def word_surprise(docs: DataFrame) -> DataFrame:
+    """``(lang_key, text_key, word_surprise)``: mean negative log probability of a word, per text with words of ``docs``.
+
+    Rows that are equal in text and language have one result.
+    """
+    found = trigrams(docs)
+    places = found.select("lang_key", "z", "a", "b", "c").distinct()
+    grams = materialise(places.groupBy("lang_key", "a", "b", "c").agg(F.count("*").alias("n")), "word-trigrams")
+    scored = found.join(chances(grams), ["a", "b", "c"]).groupBy("lang_key", "text_key").agg(F.avg(-F.log("p")).alias("word_surprise"))
+    return materialise(scored, "word-surprise")

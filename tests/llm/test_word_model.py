@@ -1,0 +1,84 @@
+"""The word model of the quality rules: planted documents, and the chances against plain Python."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.llm import perplexity, wordgrams
+
+
+@pytest.mark.parametrize("letters", ["aeioustrnl", "аеиоустрнл"])
+def test_planted_documents(spark, letters):
+    rng = random.Random(4)
+    vocab = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(400)})
+    after = {w: rng.sample(vocab, 12) for w in vocab}
+    phrases = [rng.sample(vocab, 5) for _ in range(25)]  # stock phrases, met everywhere
+
+    def walk(size):
+        out = [rng.choice(vocab)]
+        while len(out) < size:
+            out += rng.choice(phrases) if rng.random() < 0.05 else [rng.choice(after[out[-1]])]
+        return out
+
+    clean = [walk(rng.randint(100, 300)) for _ in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(clean)]
+    rows += [(300 + i, " ".join([*w[:40], "edited", *w[41:]])) for i, w in enumerate(clean[:90])]  # near copies do not make a text predictable
+    shuffled = [rng.sample(w, len(w)) for w in clean[:20]]
+    gibberish = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(200)]
+    rows += [(1000 + i, " ".join(w)) for i, w in enumerate(shuffled)] + [(2000, " ".join(gibberish)), (3000, " ".join(sum(phrases, [])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("xx"))
+    got = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+    assert sum(got[i].kept for i in range(390)) >= 380
+    for i in [*range(1000, 1020), 2000]:
+        assert not got[i].base_failed and not got[i].kept and got[i].word_perplexity > got[i].most_word_perplexity
+    assert not got[3000].base_failed and not got[3000].kept and got[3000].word_perplexity < got[3000].least_word_perplexity
+
+
+def test_chances_against_recounting(spark):
+    """Leaving one occurrence out equals counting the corpus without it (discounts as of the whole corpus)."""
+    rng = random.Random(1)
+    texts = [[rng.choice("abcde") for _ in range(rng.randint(1, 9))] for _ in range(12)]
+    docs = spark.createDataFrame([(" ".join(t), "en", k) for k, t in enumerate(texts)], "text string, lang string, text_key long")
+    texts.append(texts[0])
+    docs = docs.union(docs.filter("text_key = 0"))  # a copy changes nothing
+    places = lambda t: zip([*"^" * (wordgrams.GAP + 2), *t], ["^", "^", *t], ["^", *t], t)
+    four = {g: 1 for t in texts for g in places(t)}
+
+    def lower(counts):
+        return Counter(g[1:] for g in counts)
+
+    def ds(counts):
+        n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            return [0.5] * 3
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5, 0.05), k - 0.01) for k in (1, 2, 3)]
+
+    three = lower(four)
+    d = [ds(three), ds(lower(three)), ds(lower(lower(three)))]
+    words = len(lower(lower(three)))
+
+    def p(levels, gram, k=0):
+        if k == 3:
+            return 1 / (words + 1)
+        rest = p(levels, gram[1:], k + 1)
+        inside = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1] and n}
+        total, n = sum(inside.values()), levels[k][gram]
+        if not total:
+            return rest
+        off = lambda n: d[k][min(n, 3) - 1] if n else 0
+        return (n - off(n)) / total + sum(map(off, inside.values())) / total * rest
+
+    expected = {}
+    for k, t in enumerate(texts[:-1]):
+        total = 0
+        for g in places(t):
+            without = lower({x: 1 for x in four if x != g})
+            levels = [without, lower(without), lower(lower(without))]
+            total -= math.log(p(levels, g[1:]))
+        expected[k] = total / len(t)
+    got = {r.text_key: r.word_surprise for r in wordgrams.word_surprise(docs).collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-9) for k in got)
