@@ -11,10 +11,21 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.
+
+    Only a session of one machine may have neither: it gets a temporary folder.
+    On a cluster every executor would write to a disk of its own, so that is an
+    error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if by_context.isDefined():
+        return by_context.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lexloom-")
@@ -22,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet and return a scan of it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet and return a scan of it; the files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
