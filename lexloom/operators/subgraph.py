@@ -34,8 +34,9 @@ def extract(graph: DataFrame, roots: DataFrame, depth: int = 1, top_k: int | dic
         near = near.withColumn("turn", turn).filter(F.col("turn") <= k)
         position = F.array_position(F.array(*map(F.lit, names)), F.col("rel"))
         parents = layer.select("root", F.col("label").alias("src"), F.col("place").alias("above"), F.col("negated").alias("from_negation"))
-        place = F.concat("above", F.format_string("%02d.%03d/", position, "turn"))
-        hits = near.join(parents, "src").select("root", F.col("src").alias("source"), F.col("tgt_decoded").alias("target"), F.col("rel").alias("relation"), "w", F.lit(d).alias("depth"), "from_negation", place.alias("place"))
+        place = F.concat("above", F.format_string("%02d.%09d/", position, "turn"))
+        target = F.when(F.col("tgt") == F.col("root"), F.col("root")).otherwise(F.col("tgt_decoded"))  # a root is met by its raw name too
+        hits = near.join(parents, "src").select("root", F.col("src").alias("source"), target.alias("target"), F.col("rel").alias("relation"), "w", F.lit(d).alias("depth"), "from_negation", place.alias("place"))
         hits = hits.filter((F.col("target") == F.col("root")) | (F.col("target") != F.col("source")))
         all_edges = hits if all_edges is None else all_edges.unionByName(hits)
         fresh = hits.join(known.select("root", F.col("label").alias("target")), ["root", "target"], "left_anti")
@@ -54,17 +55,21 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "root", "left").select("root", "n_nodes", *zero)
 
 
-def visible(nodes: DataFrame, edges: DataFrame, least_degree: int = 1, rounds: int = 4) -> DataFrame:
-    """Nodes that stay once edges from negated nodes go, nodes of low degree go, and then orphans, layer by layer."""
-    shown = edges.filter(~F.col("from_negation")).select("root", "source", "target")
-    ends = shown.select("root", F.explode(F.array("source", "target")).alias("label"))
-    busy = ends.groupBy("root", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least_degree).select("root", "label")
-    stay = nodes.filter("depth = 0").select("root", "label").unionByName(busy).distinct()
-    for _ in range(rounds):  # as many as layers: an orphan's children become orphans in the next round
-        kept = shown.join(stay.withColumnRenamed("label", "source"), ["root", "source"], "left_semi").join(stay.withColumnRenamed("label", "target"), ["root", "target"], "left_semi")
-        linked = kept.select("root", F.explode(F.array("source", "target")).alias("label")).distinct()
-        stay = nodes.filter("depth = 0").select("root", "label").unionByName(linked).distinct()
-    return nodes.join(stay, ["root", "label"], "left_semi")
+def visible(nodes: DataFrame, edges: DataFrame, least_degree: int = 1, show_negated: bool = False) -> DataFrame:
+    """Nodes that stay: the root, and those of ``least_degree`` or more edges that keep a shown edge to a node of such degree.
+
+    Degrees count all edges.  Edges from negated nodes are not shown unless
+    ``show_negated``.  A node that is dropped as an orphan has no shown
+    neighbour left, so dropping it makes no other orphan: one round is enough.
+    """
+    ends = edges.select("root", F.explode(F.array("source", "target")).alias("label"))
+    degrees = ends.groupBy("root", "label").agg(F.count("*").alias("n"))
+    rows = nodes.join(degrees, ["root", "label"], "left")
+    able = rows.filter((F.col("depth") == 0) | (F.coalesce("n", F.lit(0)) >= least_degree)).drop("n")
+    shown = edges if show_negated else edges.filter(~F.col("from_negation"))
+    both = shown.select("root", F.col("source").alias("label"), F.col("target").alias("other")).unionByName(shown.select("root", F.col("target").alias("label"), F.col("source").alias("other")))
+    linked = both.distinct().join(able.select("root", F.col("label").alias("other")), ["root", "other"], "left_semi").select("root", "label").distinct().withColumn("linked", F.lit(True))
+    return able.join(linked, ["root", "label"], "left").filter((F.col("depth") == 0) | F.col("linked")).drop("linked")
 
 
 def file_name(root):
