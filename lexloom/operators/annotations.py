@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom import schema
+from lexloom.functions.text import norm, one_line, pipe_safe
 
 
 def edge_annotations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,3 +43,57 @@ def disagreements(proposals: DataFrame) -> DataFrame:
     ours = category("category")
     differs = F.coalesce((F.coalesce("existing", F.lit("")) != "") & ours.isNotNull() & (F.lower("existing") != F.lower(ours)), F.lit(False))
     return proposals.withColumn("category", ours).withColumn("disagrees", differs)
+
+
+def of_triplets(asked: DataFrame, graph: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Per asked ``(subject, relation, target)`` its ``annotations`` (empty if none) and ``found``: whether the triplet exists.
+
+    A target is met by its name or its readable one, stripped and lowered; the first edge in order counts.
+    """
+    keyed = asked.select("subject", "relation", "target").distinct().withColumn("o", norm("target"))
+    edges = graph.select("id", F.col("src").alias("subject"), F.col("rel").alias("relation"), F.explode(F.array_distinct(F.array(norm("tgt"), norm("tgt_decoded")))).alias("o"))
+    first = keyed.join(edges, ["subject", "relation", "o"]).groupBy("subject", "relation", "target").agg(F.min("id").alias("rel_id"))
+    held = first.join(annotations, "rel_id", "left")
+    out = keyed.drop("o").join(held, ["subject", "relation", "target"], "left")
+    return out.select("subject", "relation", "target", F.coalesce("annotations", F.array().cast(annotations.schema["annotations"].dataType)).alias("annotations"), F.col("rel_id").isNotNull().alias("found"))
+
+
+def by_index(triplets: DataFrame, raw: DataFrame) -> DataFrame:
+    """``triplets`` (with ``index``) with the raw proposals ``(at, index, category, justification)`` of their index.
+
+    The last of several proposals counts, an index without a triplet is left
+    out, and a triplet without a proposal keeps a null category.
+    """
+    last = raw.groupBy("index").agg(F.max_by(F.struct("category", "justification"), "at").alias("x"))
+    said = triplets.join(last, "index", "left")
+    return said.select(*triplets.columns, category("x.category").alias("category"), F.trim(F.coalesce("x.justification", F.lit(""))).alias("justification"))
+
+
+def annotation_file(proposals: DataFrame, network: str) -> DataFrame:
+    """``(place, line)`` of the ``.annot`` file: head with the counts, annotated triplets, then those that differ from the graph, which is called ``network``.
+
+    Lines of a part are ordered by triplet; ``proposals`` has subject, relation,
+    target, category (null: not annotable), justification and existing.
+    """
+    safe = lambda c: F.trim(pipe_safe(F.coalesce(F.col(c), F.lit(""))))
+    differs = F.coalesce((F.coalesce("existing", F.lit("")) != "") & (F.lower("existing") != F.lower("category")), F.lit(False))
+    kind = F.when(F.col("category").isNull(), 0).when(differs, 2).otherwise(1)
+    head = F.concat(safe("subject"), F.lit("|"), F.col("relation"), F.lit("|"), safe("target"))
+    said = F.concat(F.lit(" < "), one_line(F.coalesce("justification", F.lit(""))), F.lit(" >"))
+    line = F.when(kind == 1, F.concat(head, F.lit("|"), "category", said)).when(kind == 2, F.concat(head, F.lit(f"|{network}:"), F.trim("existing"), F.lit(f"|{schema.PROPOSED}:"), "category", said))
+    rows = proposals.select(kind.alias("kind"), line.alias("line"))
+    n = rows.agg(*[F.count_if(F.col("kind") == k).cast("string").alias(f"n{k}") for k in (0, 1, 2)])
+    head_lines, differences = ([x.format(network=network) for x in part] for part in (schema.ANNOTATION_HEAD, schema.DIFFERENCES_HEAD))
+    first = [F.format_string(head_lines[0], "n1", "n2", "n0"), *map(F.lit, head_lines[1:])]
+    notes = n.select(F.explode(F.array(*[F.struct(F.lit(0).alias("part"), F.lit(i).alias("at"), x.alias("line")) for i, x in enumerate(first)])).alias("x"))
+    more = n.filter("n2 <> '0'").select(F.explode(F.array(*[F.struct(F.lit(2).alias("part"), F.lit(i).alias("at"), F.lit(x).alias("line")) for i, x in enumerate(differences)])).alias("x"))
+    heads = notes.unionByName(more).select(F.struct("x.part", "x.at", F.lit("").alias("key")).alias("place"), "x.line")
+    body = rows.filter("kind > 0").select(F.struct((2 * F.col("kind") - 1).cast("int").alias("part"), F.lit(0).alias("at"), F.col("line").alias("key")).alias("place"), "line")
+    return heads.unionByName(body)
+
+
+def file_counts(proposals: DataFrame) -> DataFrame:
+    """``(n_annotated, n_differing, n_skipped)`` of a file of proposals."""
+    differs = F.coalesce((F.coalesce("existing", F.lit("")) != "") & (F.lower("existing") != F.lower("category")), F.lit(False))
+    has = F.col("category").isNotNull()
+    return proposals.agg(F.count_if(has & ~differs).alias("n_annotated"), F.count_if(has & differs).alias("n_differing"), F.count_if(~has).alias("n_skipped"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import fold_accents, norm, one_line, pipe_safe
-from lexloom.operators.inference import CLAIM, RuleGraph, explanation, infer
+from lexloom import schema
+from lexloom.functions.text import fold_accents, norm, one_line
+from lexloom.operators.inference import RuleGraph, explanation, infer
 from lexloom.operators.verify import direct_hits
 
 
@@ -21,8 +22,10 @@ def validate(candidates: DataFrame, graph: RuleGraph, exclusions: DataFrame | No
     is among ``exclusions`` (term, relation, folded target), or a positive
     triplet has it.  ``inconsistent``: a triplet denies it.  Else ``ok``.
     """
-    names = graph.edges.select(F.col("a").alias("o")).union(graph.edges.select("b")).distinct().withColumn("exists", F.lit(True))
     claims = _as_claims(candidates).distinct()
+    asked = candidates.select(norm("target").alias("o")).distinct()
+    ends = [asked.join(graph.edges.select(F.col(end).alias("o")), "o", "left_semi") for end in ("a", "b")]
+    names = ends[0].union(ends[1]).distinct().withColumn("exists", F.lit(True))
     hits = direct_hits(graph, claims).select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "direct")
     rows = candidates.withColumn("o", norm("target")).join(names, "o", "left").join(hits, ["term", "relation", "target"], "left")
     if exclusions is not None:
@@ -68,13 +71,36 @@ def status_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("validation_status", "consolidation_status").agg(F.count("*").alias("n"))
 
 
-def proposals_file(proposals: DataFrame) -> DataFrame:
-    """``(section, line)`` of annotation proposals: the annotated ones, and those that disagree with the graph."""
-    safe = [pipe_safe(c) for c in ("subject", "relation", "target")]
-    annotated = proposals.filter("category is not null").select(F.lit("main").alias("section"), F.concat_ws(" | ", *safe, "category", F.coalesce("justification", F.lit(""))).alias("line"))
-    differs = (F.coalesce("existing", F.lit("")) != "") & (F.lower("existing") != F.lower(F.coalesce("category", F.lit(""))))
-    reported = proposals.filter(differs & F.col("category").isNotNull()).select(F.lit("disagreement").alias("section"), F.concat_ws(" | ", *safe, "existing", "category").alias("line"))
-    return annotated.unionByName(reported)
+def ready(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``ready_for_submission``: valid and consolidated."""
+    return candidates.withColumn("ready_for_submission", F.coalesce((F.col("validation_status") == "ok") & (F.col("consolidation_status") == "consolidated"), F.lit(False)))
 
 
-CLAIM_COLUMNS = CLAIM
+def submission_file(candidates: DataFrame, network: str, senses: DataFrame | None = None) -> DataFrame:
+    """``(place, line)`` of the ``.enrich`` file: a head with the count, then the lines, with names of ``senses`` (name, decoded) made readable."""
+    rows = candidates
+    if senses is not None:
+        for end in ("term", "target"):
+            rows = rows.join(senses.select(F.col("name").alias(end), F.col("decoded").alias(f"{end}_shown")), end, "left")
+            rows = rows.withColumn(end, F.coalesce(f"{end}_shown", end)).drop(f"{end}_shown")
+    body = submission_lines(rows).select(F.struct(F.lit(1).alias("part"), F.lit(0).alias("at"), F.col("line").alias("key")).alias("place"), "line")
+    head = [x.format(network=network) for x in schema.SUBMISSION_HEAD]
+    n = body.agg(F.count("*").cast("string").alias("n"))
+    lines = [F.format_string(head[0], "n"), *map(F.lit, head[1:])]
+    top = n.select(F.explode(F.array(*[F.struct(F.lit(0).alias("part"), F.lit(i).alias("at"), x.alias("line")) for i, x in enumerate(lines)])).alias("x"))
+    return top.select(F.struct("x.part", "x.at", F.lit("").alias("key")).alias("place"), "x.line").unionByName(body)
+
+
+def registry(consolidated: DataFrame) -> DataFrame:
+    """One row per folded (term, relation, target) of consolidated candidates, with the first explanation in order and its names as given."""
+    key = [fold_accents("term").alias("kt"), F.lower(F.trim("relation")).alias("kr"), fold_accents("target").alias("ko")]
+    good = consolidated.filter("consolidation_status = 'consolidated'")
+    first = good.select(*key, F.struct("term", "relation", "target", "consolidation_explanation", "consolidation_schema").alias("x")).groupBy("kt", "kr", "ko").agg(F.min("x").alias("x"))
+    return first.select("x.*")
+
+
+def merge_registries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` and those of ``new`` whose folded key ``old`` has not."""
+    key = lambda df: df.select("*", fold_accents("term").alias("kt"), F.lower(F.trim("relation")).alias("kr"), fold_accents("target").alias("ko"))
+    fresh = key(new).join(key(old).select("kt", "kr", "ko"), ["kt", "kr", "ko"], "left_anti").drop("kt", "kr", "ko")
+    return old.unionByName(fresh.select(*old.columns))

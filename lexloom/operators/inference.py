@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,8 @@ class RuleGraph:
         out = cls(store(graph, "graph"), top_k)
         out.edges = store(out.edges, "edges")
         out.probe = store(out.probe, "probe")
+        out.best = store(out.best, "best")
+        out.generic = store(out.generic, "generic")
         return out
 
     @cached_property
@@ -57,27 +59,36 @@ class RuleGraph:
 
     @cached_property
     def probe(self) -> DataFrame:
-        """``(a, rel, b, w)``: the weight of the first edge whose target's name or decoded name is ``b``."""
-        keys = self.edges.select("a", "rel", F.explode(F.array_distinct(F.array("b", "b2"))).alias("b"), "id", "w")
-        return keys.groupBy("a", "rel", "b").agg(F.min_by("w", "id").alias("w"))
+        """``(a, rel, b, w, edge, shown)`` of the first edge whose target's name or decoded name is ``b``."""
+        keys = self.edges.select("a", "rel", F.explode(F.array_distinct(F.array("b", "b2"))).alias("b"), "id", "w", "shown")
+        return keys.groupBy("a", "rel", "b").agg(F.min(F.struct("id", "w", "shown")).alias("x")).select("a", "rel", "b", "x.w", F.col("x.id").alias("edge"), "x.shown")
+
+    @cached_property
+    def best(self) -> DataFrame:
+        """``(a, rel, turn, mid, m, shown, w1)``: the strongest positive targets of every (source, relation), as many as any schema reads."""
+        turn = F.row_number().over(Window.partitionBy("a", "rel").orderBy(F.col("w").desc(), "id"))
+        top = self.edges.filter("w > 0").withColumn("turn", turn).filter(F.col("turn") <= max(self.top_k, schema.REFUTATION_SCAN))
+        return top.select("a", "rel", "turn", F.col("tgt").alias("mid"), F.col("b").alias("m"), "shown", F.col("w").alias("w1"))
+
+    @cached_property
+    def generic(self) -> DataFrame:
+        """As :attr:`best` over ``r_isa``, targets of one name once and the term itself left out before the cut."""
+        once = self.edges.filter("w > 0 and rel = 'r_isa' and a <> b").groupBy("a", "b").agg(F.min(F.struct((-F.col("w")).alias("minus"), "id", "tgt", "shown")).alias("x"))
+        turn = F.row_number().over(Window.partitionBy("a").orderBy("x.minus", "x.id"))
+        top = once.withColumn("turn", turn).filter(F.col("turn") <= max(1, self.top_k))
+        return top.select("a", "turn", F.col("x.tgt").alias("mid"), F.col("b").alias("m"), F.col("x.shown").alias("shown"), (-F.col("x.minus")).alias("w1"))
 
     def hop(self, claims: DataFrame, first: Column | str, take: int | None = None, end: str = "s") -> DataFrame:
         """Claims with the top positive targets of (their subject, ``first``): ``turn``, ``mid``, ``m``, ``shown``, ``w1``."""
         wanted = claims.withColumn("r1", F.lit(first) if isinstance(first, str) else first)
-        sources = wanted.select(F.col(end).alias("a"), F.col("r1").alias("rel")).distinct()
-        turn = F.row_number().over(Window.partitionBy("a", "rel").orderBy(F.col("w").desc(), "id"))
-        best = self.edges.filter("w > 0").join(sources, ["a", "rel"], "left_semi").withColumn("turn", turn).filter(F.col("turn") <= max(1, take or self.top_k))
-        best = best.select(F.col("a").alias(end), F.col("rel").alias("r1"), "turn", F.col("tgt").alias("mid"), F.col("b").alias("m"), "shown", F.col("w").alias("w1"))
+        best = self.best.filter(F.col("turn") <= max(1, take or self.top_k)).withColumnsRenamed({"a": end, "rel": "r1"})
+        if isinstance(first, str):
+            best = best.filter(F.col("r1") == first)
         return wanted.join(best, [end, "r1"])
 
     def generics(self, claims: DataFrame, end: str = "s", take: int | None = None) -> DataFrame:
-        """As :meth:`hop` over ``r_isa``, targets of one name once and the term itself left out before the cut."""
-        sources = claims.select(F.col(end).alias("a")).distinct()
-        best = self.edges.filter("w > 0 and rel = 'r_isa' and a <> b").join(sources, "a", "left_semi")
-        once = best.groupBy("a", "b").agg(F.min(F.struct((-F.col("w")).alias("minus"), "id", "tgt", "shown")).alias("x"))
-        turn = F.row_number().over(Window.partitionBy("a").orderBy("x.minus", "x.id"))
-        once = once.withColumn("turn", turn).filter(F.col("turn") <= max(1, take or self.top_k))
-        return claims.join(once.select(F.col("a").alias(end), "turn", F.col("x.tgt").alias("mid"), F.col("b").alias("m"), F.col("x.shown").alias("shown"), (-F.col("x.minus")).alias("w1")), end)
+        """As :meth:`hop` over :attr:`generic`."""
+        return claims.join(self.generic.filter(F.col("turn") <= max(1, take or self.top_k)).withColumnRenamed("a", end), end)
 
     def meet(self, rows: DataFrame, source: str, relation: Column | str, target: str, name: str = "w2") -> DataFrame:
         """``rows`` joined with the probe of (``source``, ``relation``, ``target``)."""
@@ -222,6 +233,8 @@ SCHEMAS: dict[str, Schema] = {f.__name__: f for f in [contradiction, tautology,
 #: The order in which schemas are tried; the last one from effort 2 on.
 CASCADE = ["contradiction", "tautology", "prefix", "inverse", "implication", "isa_incompatible", "class_elimination", "antonym_contrast", "deduction_isa", "transitivity", "geo_propagation", "hyponym_propagation", "cohyponym"]
 CASCADE_2 = [*CASCADE, "composition"]
+#: Schemas of the cascade that look at no hop beyond the claim's own ends.
+GUARDS = 5
 
 
 def keyed(claims: DataFrame) -> DataFrame:
@@ -247,11 +260,15 @@ def infer(graph: RuleGraph, claims: DataFrame, effort: int = 1) -> DataFrame:
     """Every claim with the answer of the first schema that fires; a silent claim has weight 0 and no schema."""
     order = CASCADE_2 if effort >= 2 else CASCADE
     claims = store(claims, "claims")  # every schema reads them
-    answers = None
-    for rank, name in enumerate(order):
-        part = run_schema(graph, claims, name).withColumn("rank", F.lit(rank))
-        answers = part if answers is None else answers.unionByName(part)
-    first = answers.groupBy(*CLAIM).agg(F.min_by(F.struct("schema", "weight", "confidence", "consensus", "proof"), "rank").alias("x")).select(*CLAIM, "x.*")
+    # The guards and single look-ups first; only claims without an answer go on to the two-hop schemas.
+    parts, asked = [], claims
+    for stage in (order[:GUARDS], order[GUARDS:]):
+        answers = reduce(DataFrame.unionByName, [run_schema(graph, asked, name).withColumn("rank", F.lit(order.index(name))) for name in stage])
+        first = answers.groupBy(*CLAIM).agg(F.min_by(F.struct("schema", "weight", "confidence", "consensus", "proof"), "rank").alias("x")).select(*CLAIM, "x.*")
+        parts.append(store(first, "answers"))
+        if len(parts) == 1:
+            asked = store(asked.select(*CLAIM).distinct().join(parts[0].select(*CLAIM), CLAIM, "left_anti"), "claims")
+    first = parts[0].unionByName(parts[1])
     none = F.array().cast(f"array<{STEP}>")
     out = claims.join(first, CLAIM, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom import schema
-from lexloom.functions.text import fold_accents, polarity
+from lexloom.functions.text import fold_accents, polarity, whole
 
 #: Relation and default limit of each named lookup.
 NAMED = {
@@ -47,9 +47,14 @@ def check_relations(asked: list[str], types: DataFrame) -> None:
         raise UnknownRelation(", ".join(missing))
 
 
-def select_edges(graph: DataFrame, relations: list[str] | None = None, without: list[str] | None = None, least: float | None = None, most: float | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """Edges by relation, weight and source ``terms`` (a column ``term``); every filter is optional."""
+def select_edges(graph: DataFrame, relations: list[str] | None = None, without: list[str] | None = None, least: float | None = None, most: float | None = None, terms: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Edges by relation, weight and source ``terms`` (a column ``term``); every filter is optional.
+
+    With the graph's type table ``types`` a relation that it does not have is an error.
+    """
     out = graph
+    if types is not None:
+        check_relations([*(relations or []), *(without or [])], types)
     if relations is not None:
         out = out.filter(F.col("rel").isin(relations))
     if without:
@@ -94,11 +99,62 @@ def between(graph: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select(F.col("src").alias("source"), F.col("rel").alias("relation"), F.col("tgt_decoded").alias("target"), "w", turn.alias("turn"))
 
 
-def explore(graph: DataFrame, relation: str, least: float | None, limit: int) -> DataFrame:
-    """Edges by signed weight, chunks kept, weights to one decimal."""
+def known_names(terms: DataFrame, graph: DataFrame) -> DataFrame:
+    """The distinct ``term`` of ``terms`` that name an end of some edge; the graph is only probed for the names asked."""
+    asked = terms.select("term").distinct()
+    ends = [asked.join(graph.select(F.col(end).alias("term")), "term", "left_semi") for end in ("src", "tgt")]
+    return ends[0].union(ends[1]).distinct()
+
+
+def between_or_missing(graph: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As :func:`between`, and for a pair with an unknown end one row that names it (``missing``; the first end first) and nothing else."""
+    asked = pairs.select("a", "b").distinct()
+    known = known_names(asked.select(F.explode(F.array("a", "b")).alias("term")), graph).withColumn("known", F.lit(True))
+    ends = asked.join(known.withColumnsRenamed({"term": "a", "known": "known_a"}), "a", "left").join(known.withColumnsRenamed({"term": "b", "known": "known_b"}), "b", "left")
+    missing = F.when(F.col("known_a").isNull(), F.col("a")).when(F.col("known_b").isNull(), F.col("b"))
+    lost = ends.withColumn("missing", missing).filter("missing is not null")
+    rows = between(graph, ends.filter("known_a and known_b"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in ("source", "target", "turn")]
+    error = lost.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("turn"), *empty, "missing")
+    return rows.withColumn("missing", F.lit(None).cast("string")).unionByName(error)
+
+
+def synonyms_by_node_weight(graph: DataFrame, nodes: DataFrame, least: float = 25.0, limit: int = 30) -> DataFrame:
+    """``(source, target, node_w, turn)``: the first ``limit`` synonyms of ``least`` or more in edge order, then by the weight of their node."""
+    return _nodes_of(graph, nodes, "r_syn", least, limit, F.col("node_w").desc())
+
+
+def hypernyms_in_order(graph: DataFrame, nodes: DataFrame, least: float = 25.0, limit: int = 30) -> DataFrame:
+    """As :func:`synonyms_by_node_weight` over ``r_isa``, in edge order."""
+    return _nodes_of(graph, nodes, "r_isa", least, limit, F.col("place"))
+
+
+def _nodes_of(graph: DataFrame, nodes: DataFrame, relation: str, least: float, limit: int, order) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("src").orderBy("id"))
+    first = select_edges(graph, [relation], least=least).withColumn("place", place).filter(F.col("place") <= limit)
+    named = first.join(nodes.select(F.col("name").alias("tgt"), F.col("w").alias("node_w")), "tgt")
+    turn = F.row_number().over(Window.partitionBy("src").orderBy(order, "place"))
+    return named.select(F.col("src").alias("source"), F.col("tgt").alias("target"), "node_w", turn.alias("turn"))
+
+
+def existing_for_enrichment(graph: DataFrame, pairs: DataFrame, limit: int = 500) -> DataFrame:
+    """Every triplet of each asked ``(term, relation)``, negative ones too, up to ``limit`` of the strongest, with the folded name to avoid."""
+    asked = pairs.select(F.col("term").alias("src"), F.col("relation").alias("rel")).distinct()
+    turn = F.row_number().over(Window.partitionBy("src", "rel").orderBy(F.abs("w").desc(), "id"))
+    kept = graph.join(asked, ["src", "rel"], "left_semi").filter(F.col("tgt_type") != schema.CHUNK_TYPE).withColumn("turn", turn).filter(F.col("turn") <= limit)
+    return kept.select(F.col("src").alias("term"), F.col("rel").alias("relation"), F.col("tgt_decoded").alias("target"), "w", polarity("w").alias("polarity"), fold_accents("tgt_decoded").alias("excluded"), "turn")
+
+
+def explore(graph: DataFrame, relation: str, least: float | None, limit: int, annotations: DataFrame | None = None) -> DataFrame:
+    """Edges by signed weight, chunks kept, weights to one decimal; with ``annotations`` (rel_id, annotations) also their text."""
     turn = F.row_number().over(Window.partitionBy("src").orderBy(F.col("w").desc(), "id"))
     kept = select_edges(graph, [relation], least=least).withColumn("turn", turn).filter(F.col("turn") <= limit)
-    return kept.select(F.col("src").alias("source"), F.col("tgt_decoded").alias("target"), F.round("w", 1).alias("w"), "turn")
+    public = [F.col("src").alias("source"), F.col("tgt_decoded").alias("target"), F.round("w", 1).alias("w"), "turn"]
+    if annotations is None:
+        return kept.select(*public)
+    said = F.array_join(F.transform("annotations", lambda a: F.concat(a.value, F.lit(" (w="), whole(a.w), F.lit(")"))), " ; ")
+    raw = F.when(F.col("tgt") != F.col("tgt_decoded"), F.col("tgt")).otherwise("")
+    return kept.join(annotations, kept["id"] == annotations["rel_id"], "left").select(*public, F.coalesce(said, F.lit("")).alias("annotations"), raw.alias("target_id"))
 
 
 def relation_list(types: DataFrame, prefix: str = "") -> DataFrame:
@@ -108,8 +164,7 @@ def relation_list(types: DataFrame, prefix: str = "") -> DataFrame:
 
 def existing_terms(terms: DataFrame, graph: DataFrame) -> DataFrame:
     """``(term, known)``: whether the graph has a node of that name."""
-    nodes = graph.select(F.col("src").alias("term")).union(graph.select("tgt")).distinct().withColumn("known", F.lit(True))
-    return terms.join(nodes, "term", "left").select("term", F.coalesce("known", F.lit(False)).alias("known"))
+    return terms.join(known_names(terms, graph).withColumn("known", F.lit(True)), "term", "left").select("term", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def distinct_targets(graph: DataFrame, relation: str) -> DataFrame:

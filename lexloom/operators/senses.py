@@ -25,14 +25,28 @@ def decode_names(nodes: DataFrame, always: bool = False) -> DataFrame:
     return grouped.select("id", "name", decoded.alias("decoded"), path.alias("path"), ids.alias("path_ids"))
 
 
-def list_senses(nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """``(term, sense_id, sense, decoded, path, weight, turn)``: the senses of every term, strongest first."""
+def lookup_terms(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per asked ``term`` its node as ``(term, id, name, decoded, type, weight, error)``; an unknown term has an error only."""
+    shown = decode_names(nodes).select("id", "decoded")
+    found = nodes.join(asked.select(F.col("term").alias("name")).distinct(), "name", "left_semi").join(shown, "id", "left")
+    found = found.select(F.col("name").alias("term"), "id", "name", F.coalesce("decoded", "name").alias("decoded"), "type", F.col("w").alias("weight"))
+    error = F.when(F.col("id").isNull(), F.concat(F.lit("terme inconnu : "), "term"))
+    return asked.select("term").distinct().join(found, "term", "left").withColumn("error", error)
+
+
+def nodes_by_id(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes whose id is asked; an unknown id gives no row."""
+    return nodes.join(asked.select("id").distinct(), "id", "left_semi")
+
+
+def list_senses(nodes: DataFrame, graph: DataFrame, limit: int = 30) -> DataFrame:
+    """``(term, sense_id, sense, decoded, path, weight, turn)``: the ``limit`` strongest senses of every term."""
     term = F.substring_index("name", ">", 1)
     links = graph.filter("rel = 'r_raff_sem'").groupBy(F.col("src").alias("term"), F.col("tgt").alias("name")).agg(F.max("w").alias("link"))
     found = decode_names(nodes, always=True).withColumn("term", term).join(nodes.select("id", F.col("w").alias("own")), "id").join(links, ["term", "name"], "left")
     weight = F.coalesce("link", "own")
     turn = F.row_number().over(Window.partitionBy("term").orderBy(weight.desc(), "id"))
-    return found.select("term", F.col("id").alias("sense_id"), F.col("name").alias("sense"), "decoded", "path", weight.alias("weight"), turn.alias("turn"))
+    return found.select("term", F.col("id").alias("sense_id"), F.col("name").alias("sense"), "decoded", "path", weight.alias("weight"), turn.alias("turn")).filter(F.col("turn") <= limit)
 
 
 def resolve_senses(terms: DataFrame, senses: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom import schema
+from lexloom.functions.text import whole
+
 
 def by_relation(graph: DataFrame) -> DataFrame:
     w = F.col("w")
@@ -28,8 +31,6 @@ def gaps(terms: DataFrame, graph: DataFrame, relations: list[str], least: int =
     Counts are over the ``seen`` strongest triplets of a term and relation.
     Terms meet relations by an exploded literal, not a join.
     """
-    from pyspark.sql import Window
-
     wanted = terms.select("term", F.explode(F.array(*[F.lit(r) for r in sorted(set(relations))])).alias("relation"))
     turn = F.row_number().over(Window.partitionBy("src", "rel").orderBy(F.abs("w").desc(), "id"))
     top = graph.filter(F.col("rel").isin(relations)).withColumn("turn", turn).filter(F.col("turn") <= seen)
@@ -38,3 +39,17 @@ def gaps(terms: DataFrame, graph: DataFrame, relations: list[str], least: int =
     kind = F.when((n_pos == 0) & (n_neg > 0), "negative_filled").when(n_pos == 0, "missing").when(n_pos < least, "low_coverage")
     severity = F.when(kind == "negative_filled", 0.3).when(kind == "missing", 1.0).otherwise(0.6)
     return wanted.join(counts, ["term", "relation"], "left").select("term", "relation", kind.alias("gap_type"), severity.alias("severity"), n_pos.alias("n_pos"), n_neg.alias("n_neg")).filter(F.col("gap_type").isNotNull())
+
+
+def gap_details(gaps: DataFrame, graph: DataFrame, network: str) -> DataFrame:
+    """``gaps`` with ``detail``: the count in words, of a negative-filled one also its three most negative targets."""
+    turn = F.row_number().over(Window.partitionBy("src", "rel").orderBy("w", "id"))
+    asked = gaps.filter("gap_type = 'negative_filled'").select(F.col("term").alias("src"), F.col("relation").alias("rel")).distinct()
+    worst = graph.filter("w < 0").join(asked, ["src", "rel"], "left_semi").withColumn("turn", turn).filter("turn <= 3")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "tgt", "w"))), lambda x: F.concat(x.tgt, F.lit(" (w="), whole(x.w), F.lit(")"))), "; ")
+    named = worst.groupBy(F.col("src").alias("term"), F.col("rel").alias("relation")).agg(shown.alias("worst"))
+    texts = {k: v.format(network=network) for k, v in schema.GAP_TEXTS.items()}
+    kind, pair = F.col("gap_type"), ["term", "relation"]
+    detail = F.when(kind == "negative_filled", F.format_string(texts["negative_filled"], F.col("n_neg").cast("string"), *pair, "worst"))
+    detail = detail.when(kind == "missing", F.format_string(texts["missing"], *pair)).otherwise(F.format_string(texts["low_coverage"], F.col("n_pos").cast("string"), *pair))
+    return gaps.join(named, pair, "left").select(*gaps.columns, detail.alias("detail"))

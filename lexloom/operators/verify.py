@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import norm, whole
-from lexloom.operators.inference import CLAIM, STEP, RuleGraph, infer, keyed
+from lexloom.operators.inference import CLAIM, STEP, RuleGraph, explanation, infer, keyed
+from lexloom.operators.senses import resolve_senses
 
 STATUSES = ["supported", "contradicted", "unknown"]
 
 
 def direct_hits(graph: RuleGraph, claims: DataFrame) -> DataFrame:
-    """Claims with a triplet of their own, matched by name or decoded name: ``direct`` is its weight."""
-    return graph.meet(keyed(claims), "s", F.col("relation"), "o", "direct").select(*CLAIM, "direct")
+    """Claims with a triplet of their own, matched by name or decoded name: ``direct`` is its weight, ``edge`` its id, ``hit`` its target as shown."""
+    probe = graph.probe.select(F.col("a").alias("s"), F.col("rel").alias("relation"), F.col("b").alias("o"), F.col("w").alias("direct"), "edge", F.col("shown").alias("hit"))
+    return keyed(claims).join(probe, ["s", "relation", "o"]).select(*CLAIM, "direct", "edge", "hit")
+
+
+def resolve_claims(claims: DataFrame, senses: DataFrame) -> DataFrame:
+    """``claims`` with soft references to a sense, as subject or object, replaced by the sense's name; one that fits no sense stays."""
+    asked = claims.select(F.explode(F.array("subject", "object")).alias("soft")).filter(F.contains("soft", F.lit(">"))).distinct()
+    names = resolve_senses(asked, senses).filter("name is not null")
+    out = claims
+    for end in ("subject", "object"):
+        out = out.join(names.select(F.col("soft").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
+    resolved = {c: F.coalesce(f"{c}_name", c).alias(c) for c in ("subject", "object")}
+    return out.select(*[resolved.get(c, F.col(c)) for c in claims.columns])
 
 
 def indicative(graph: RuleGraph, claims: DataFrame, limit: int = 5) -> DataFrame:
@@ -27,21 +40,31 @@ def indicative(graph: RuleGraph, claims: DataFrame, limit: int = 5) -> DataFrame
     return top.groupBy("s", "relation").agg(F.count("*").alias("n"), shown.alias("evidence")).filter(F.col("n") >= limit).drop("n")
 
 
-def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool = False, relations: list[str] | None = None) -> DataFrame:
-    """``claims`` with ``status``, ``confidence``, ``schema``, ``weight``, ``proof`` and ``evidence``.
+def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool = False, relations: list[str] | None = None, annotations: DataFrame | None = None, senses: DataFrame | None = None, network: str = "Le réseau") -> DataFrame:
+    """``claims`` with ``status``, ``confidence``, ``schema``, ``weight``, ``proof``, ``evidence`` and ``explanation``.
 
     ``claims`` has subject, relation, object and a boolean ``polarity`` (null:
     true).  A weight of zero counts as a denial here.  ``bypass`` lets the
     rules speak before the direct triplet.  ``relations`` are the known ones.
+    With ``senses`` soft references are resolved first; with ``annotations``
+    (rel_id, annotations) a direct triplet's are named.  Explanations call the
+    graph ``network``.
     """
+    if senses is not None:
+        claims = resolve_claims(claims, senses)
     says = F.coalesce("polarity", F.lit(True))
     known = F.col("relation").isin(relations) if relations is not None else F.lit(True)
     rows = claims.join(direct_hits(graph, claims), CLAIM, "left")
-    answers = infer(graph, claims.select(*CLAIM).distinct(), effort).select(*CLAIM, "schema", F.col("weight").alias("inferred"), F.col("confidence").alias("sure"), "proof") if effort >= 1 else None
-    if answers is not None:
+    if annotations is not None:
+        rows = rows.join(annotations.withColumnRenamed("rel_id", "edge"), "edge", "left")
+    else:
+        rows = rows.withColumn("annotations", F.lit(None).cast("array<struct<kind:string,value:string,w:double>>"))
+    if effort >= 1:
+        answers = infer(graph, claims.select(*CLAIM).distinct(), effort)
+        answers = answers.select(*CLAIM, "schema", F.col("weight").alias("inferred"), F.col("confidence").alias("sure"), "proof", explanation(answers).alias("said"))
         rows = rows.join(answers, CLAIM, "left")
     else:
-        rows = rows.select("*", F.lit(None).cast("string").alias("schema"), F.lit(0.0).alias("inferred"), F.lit(0.0).alias("sure"), F.array().cast(f"array<{STEP}>").alias("proof"))
+        rows = rows.select("*", F.lit(None).cast("string").alias("schema"), F.lit(0.0).alias("inferred"), F.lit(0.0).alias("sure"), F.array().cast(f"array<{STEP}>").alias("proof"), F.lit("").alias("said"))
     evidence = indicative(graph, claims)
     rows = rows.withColumn("_s", norm("subject")).join(evidence.withColumnRenamed("s", "_s"), ["_s", "relation"], "left")
     by_rule = (F.col("inferred") != 0) & (F.col("direct").isNull() | F.lit(bypass))
@@ -52,15 +75,27 @@ def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool =
     status = F.when(weight.isNull(), "unknown").when(agrees, "supported").otherwise("contradicted")
     sure = F.when(F.col("how") == "rule", F.col("sure")).when(F.col("how") == "direct", F.bround(F.tanh(F.abs("direct") / schema.STRONG_WEIGHT), 3)).when(F.col("how") == "hint", 0.3).otherwise(0.0)
     ruled = F.col("how") == "rule"
-    return rows.select(*claims.columns, status.alias("status"), sure.alias("confidence"), F.when(ruled, F.col("schema")).alias("schema"), weight.alias("weight"), F.when(ruled, F.col("proof")).otherwise(F.array().cast(f"array<{STEP}>")).alias("proof"), F.when(F.col("how") == "hint", F.col("evidence")).alias("evidence"))
+    return rows.select(*claims.columns, status.alias("status"), sure.alias("confidence"), F.when(ruled, F.col("schema")).alias("schema"), weight.alias("weight"), F.when(ruled, F.col("proof")).otherwise(F.array().cast(f"array<{STEP}>")).alias("proof"), F.when(F.col("how") == "hint", F.col("evidence")).alias("evidence"), _text(known, network).alias("explanation"))
+
+
+def _text(known: Column, network: str) -> Column:
+    """A verdict in words."""
+    texts = {k: v.format(network=network) for k, v in schema.VERDICT_TEXTS.items()}
+    claim = ["subject", "relation", "object"]
+    shown = F.array_join(F.transform(F.slice("annotations", 1, 3), lambda a: F.concat(a.value, F.lit(" (w="), whole(a.w), F.lit(")"))), ", ")
+    exceptions = F.slice(F.filter("annotations", lambda a: a.kind == "exception"), 1, 3)
+    named = F.array_join(F.transform(exceptions, lambda a: a.value), ", ")
+    direct = F.concat(
+        F.format_string(texts["direct"], "subject", "relation", "hit", whole("direct"), F.when(F.col("direct") > 0, "affirmation").otherwise("négation")),
+        F.when(F.size("annotations") > 0, F.format_string(texts["annotations"], shown)).otherwise(""),
+        F.when(F.size(exceptions) > 0, F.format_string(texts["exceptions"], named)).otherwise(""),
+    )
+    inferred = F.concat(F.when(F.col("direct").isNotNull(), texts["forced"]).otherwise(texts["inferred"]), "said")
+    out = F.when(~known, F.format_string(texts["unknown_relation"], "relation")).when(F.col("how") == "rule", inferred).when(F.col("how") == "direct", direct)
+    return out.when(F.col("how") == "hint", F.format_string(texts["hint"], *claim, "subject", "relation")).otherwise(F.format_string(texts["unknown"], *claim))
 
 
 def summary(verdicts: DataFrame) -> DataFrame:
     """Count per status, also of those without a claim, and the total."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
     return verdicts.agg(*counts, F.count("*").alias("total"))
-
-
-def annotations_text(annotations: Column) -> Column:
-    """The three strongest annotations as ``value (weight)``."""
-    return F.array_join(F.transform(F.slice(annotations, 1, 3), lambda a: F.concat(a.value, F.lit(" ("), whole(a.w), F.lit(")"))), ", ")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.operators import annotations, enrich, inference, lookup, senses, stats, subgraph, verify
 from lexloom.operators.inference import RuleGraph
-from lexloom.plans import oracles
+from lexloom.plans import more_oracles, oracles
 from lexloom.sources import derived, relation_docs, text_files
 from lexloom.sources.graph import triplets
 from lexloom.sources.storage import store
@@ -341,4 +342,157 @@ def claim_lines(spark, sf_dir):
     return text_files.parse_claim_lines(lines).select("line", "subject", "relation", "object")
 
 
-ORACLES = oracles.build()
+@query
+def named_lookups(spark, sf_dir):
+    """Every named lookup for all terms, with its usual limit."""
+    g = derived.graph(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [_public(lookup.named_lookup(g, name)).withColumn("lookup", F.lit(name)) for name in lookup.NAMED]).drop("target_id")
+
+
+@query
+def lookup_between_missing(spark, sf_dir):
+    """All edges between the ends of each claim, or the end that the graph does not know."""
+    pairs = derived.claims(spark, sf_dir).select(F.col("subject").alias("a"), F.upper("object").alias("b"))
+    return _public(lookup.between_or_missing(derived.graph(spark, sf_dir), pairs))
+
+
+@query
+def existing_for_enrichment(spark, sf_dir):
+    pairs = derived.claims(spark, sf_dir).select(F.col("subject").alias("term"), "relation")
+    return _public(lookup.existing_for_enrichment(derived.graph(spark, sf_dir), pairs))
+
+
+def _named_nodes(g: DataFrame) -> DataFrame:
+    return stats.degree(g).select(F.col("term").alias("name"), F.col("degree").alias("w"))
+
+
+@query
+def synonyms_by_node_weight(spark, sf_dir):
+    g = derived.graph(spark, sf_dir)
+    return _public(lookup.synonyms_by_node_weight(g, _named_nodes(g)))
+
+
+@query
+def hypernyms_in_order(spark, sf_dir):
+    g = derived.graph(spark, sf_dir)
+    return _public(lookup.hypernyms_in_order(g, _named_nodes(g), 0.0, 2))
+
+
+@query
+def gap_details(spark, sf_dir):
+    g = derived.graph(spark, sf_dir)
+    found = stats.gaps(g.select(F.col("src").alias("term")).distinct(), g, ["r_carac", "r_lieu", "r_make"])
+    return stats.gap_details(found, g, "le graphe").select("term", "relation", "gap_type", "detail")
+
+
+@query
+def indicative_evidence(spark, sf_dir):
+    """The strongest triplets of the subject and relation of all claims."""
+    found = verify.indicative(RuleGraph(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir))
+    shown = F.transform("evidence", lambda x: F.concat_ws(":", x.target, F.bround(x.w, 0).cast("long").cast("string")))
+    return found.select("s", "relation", F.array_join(shown, ",").alias("evidence"))
+
+
+@query
+def verdict_texts(spark, sf_dir):
+    """Verdicts without inference, in words."""
+    return _verified(spark, sf_dir, 0).select("subject", "relation", "object", "explanation")
+
+
+@query
+def ready_candidates(spark, sf_dir):
+    return enrich.ready(_consolidated(spark, sf_dir)).select("term", "relation", "target", "ready_for_submission")
+
+
+@query
+def proven_triplets(spark, sf_dir):
+    """Candidates in upper case that a registered consolidation proves."""
+    made = store(_consolidated(spark, sf_dir), "candidates")
+    asked = made.select(F.upper("term").alias("term"), "relation", F.upper("target").alias("target")).distinct()
+    return enrich.proven(asked, enrich.registry(made))
+
+
+@query
+def registry_merge(spark, sf_dir):
+    """Consolidated places and others, merged on folded names; the count per relation."""
+    made = store(enrich.registry(_consolidated(spark, sf_dir)), "registry")
+    old = made.filter("relation = 'r_lieu'").withColumn("term", F.upper("term"))
+    return enrich.merge_registries(old, made).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query
+def submission_file_size(spark, sf_dir):
+    """Lines of the submission file by part."""
+    found = enrich.submission_file(_consolidated(spark, sf_dir), "du graphe")
+    return found.groupBy(F.col("place.part").cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query
+def lookup_term(spark, sf_dir):
+    nodes = _fixture(spark)[0]
+    asked = nodes.select(F.col("name").alias("term")).union(spark.sql("SELECT 'inconnu' AS term"))
+    return senses.lookup_terms(asked, nodes).select("term", "id", "decoded", F.col("type").cast("long").alias("type"), "weight", F.col("error").isNotNull().alias("unknown"))
+
+
+@query
+def node_by_id(spark, sf_dir):
+    return senses.nodes_by_id(spark.sql("SELECT id FROM VALUES (2L), (66699L), (5555L) AS t(id)"), _fixture(spark)[0]).select("id", "name", "w")
+
+
+@query
+def lookup_target_id(spark, sf_dir):
+    """The strongest triplets of a graph with senses and chunks, with the ids of targets that are senses."""
+    return _public(lookup.top_edges(triplets(*_fixture(spark)), 3))
+
+
+@query
+def triplet_annotations(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    g = triplets(nodes, edges, types)
+    asked = g.select(F.col("src").alias("subject"), F.col("rel").alias("relation"), F.upper("tgt_decoded").alias("target")).union(spark.sql("SELECT 'avocat', 'r_isa', 'rien'"))
+    found = annotations.of_triplets(asked, g, annotations.edge_annotations(nodes, edges))
+    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, a.w.cast("long").cast("string")))
+    return found.select("subject", "relation", "target", F.array_join(shown, ",").alias("annotations"), "found")
+
+
+@query
+def explore_annotated(spark, sf_dir):
+    nodes, edges, types = _fixture(spark)
+    return _public(lookup.explore(triplets(nodes, edges, types), "r_has_part", None, 5, annotations.edge_annotations(nodes, edges)))
+
+
+def _proposals(spark: SparkSession) -> DataFrame:
+    nodes, edges, types = _fixture(spark)
+    top = annotations.annotable(triplets(nodes, edges, types), annotations.edge_annotations(nodes, edges))
+    listed = top.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).cast("int"))  # a literal table of a few rows
+    raw = spark.sql(f"SELECT * FROM (VALUES {more_oracles.FIXTURE_RAW}) AS t(at, index, category, justification)")
+    return annotations.by_index(listed, raw)
+
+
+@query
+def proposals_by_index(spark, sf_dir):
+    return _proposals(spark).select("id", "subject", "relation", "target", "existing", "category", "justification")
+
+
+@query
+def annotation_file(spark, sf_dir):
+    found = annotations.annotation_file(_proposals(spark), "graphe")
+    return found.select(F.col("place.part").cast("long").alias("part"), F.col("place.at").cast("long").alias("spot"), "line")
+
+
+@query
+def annotation_file_counts(spark, sf_dir):
+    return annotations.file_counts(_proposals(spark))
+
+
+@query
+def verify_soft_senses(spark, sf_dir):
+    """Claims about senses by their readable names."""
+    nodes, edges, types = _fixture(spark)
+    g = triplets(nodes, edges, types)
+    claims = spark.sql(f"SELECT subject, relation, object, true AS polarity FROM (VALUES {more_oracles.FIXTURE_CLAIMS}) AS t(subject, relation, object)")
+    found = verify.verify(RuleGraph.stored(g), claims, 0, senses=senses.list_senses(nodes, g), annotations=annotations.edge_annotations(nodes, edges), network="Le graphe")
+    return found.select("subject", "relation", "object", "status", "weight", "explanation")
+
+
+ORACLES = oracles.build() | more_oracles.build()

@@ -156,7 +156,7 @@ def _subgraph(depth: int) -> str:
 
     def hits(d: int) -> str:
         layer = f"l{d - 1}"
-        return f"""h{d} AS (SELECT l.root, t.src AS source, t.tgt AS target, t.rel AS relation, t.w, {d} AS depth, l.negated AS from_negation, l.place || printf('%02d.%03d/', CAST(t.pos AS INT), CAST(t.turn AS INT)) AS place
+        return f"""h{d} AS (SELECT l.root, t.src AS source, t.tgt AS target, t.rel AS relation, t.w, {d} AS depth, l.negated AS from_negation, l.place || printf('%02d.%09d/', CAST(t.pos AS INT), CAST(t.turn AS INT)) AS place
   FROM {layer} l JOIN ({level(d)}) t ON t.src = l.label AND t.turn <= 3 WHERE t.tgt = l.root OR t.tgt <> t.src),
 l{d} AS (SELECT root, target AS label, {d} AS depth, relation AS kind, place, w < 0 AS negated FROM (
   SELECT h.*, row_number() OVER (PARTITION BY root, target ORDER BY place) AS k FROM h{d} h WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT root, label FROM l{i}' for i in range(d))}) x WHERE x.root = h.root AND x.label = h.target)) WHERE k = 1)"""

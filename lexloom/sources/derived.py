@@ -28,14 +28,14 @@ UNION ALL SELECT s_name, 'r_lieu', n_name, CAST(50 AS DOUBLE) FROM {supplier} JO
 UNION ALL SELECT n_name, 'r_holo', r_name, CAST(100 AS DOUBLE) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name, 'r_has_part', n_name, CAST(100 AS DOUBLE) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name, 'r_lieu', 'earth', CAST(60 AS DOUBLE) FROM {region}
-UNION ALL SELECT c_mktsegment, 'r_hypo', c_name, CAST(40 AS DOUBLE) FROM {customer} WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_mktsegment, 'r_hypo', c_name, CAST(40 AS DOUBLE) FROM {customer} WHERE c_acctbal > 4000
 UNION ALL SELECT 'user' || CAST(user_id AS STRING), 'r_agent-1', event_type, CAST(count(*) AS DOUBLE) FROM {events} GROUP BY user_id, event_type
 UNION ALL SELECT src, rel, tgt, CAST(w AS DOUBLE) FROM (VALUES
   ('component', 'r_carac', 'edible', -60), ('article', 'r_carac', 'portable', 70), ('component', 'r_carac', 'shiny', 0),
   ('cold', 'r_anto', 'hot', 90), ('hot', 'r_anto', 'cold', 90), ('small', 'r_anto', 'large', 90), ('large', 'r_anto', 'small', 90),
   ('new', 'r_anto', 'old', 90), ('old', 'r_anto', 'new', 90), ('MACHINERY', 'r_isa-incompatible', 'HOUSEHOLD', 55),
   ('luxury', 'r_carac-1', 'BUILDING', -45), ('MACHINERY', 'r_carac', 'heavy', 30), ('segment', 'r_carac', 'heavy', 20),
-  ('bolt', 'r_syn', 'screw', 70), ('gear', 'r_isa', 'article', 80), ('AFRICA', 'r_carac', 'warm', 0)) AS t(src, rel, tgt, w)
+  ('bolt', 'r_syn', 'screw', 70), ('screw', 'r_syn', 'bolt', 60), ('gear', 'r_isa', 'article', 80), ('AFRICA', 'r_carac', 'warm', 0)) AS t(src, rel, tgt, w)
 """
 
 _ID = {"spark": "CAST(conv(substring(md5(src || '|' || rel || '|' || tgt), 1, 15), 16, 10) AS BIGINT)", "duckdb": "CAST('0x' || substr(md5(src || '|' || rel || '|' || tgt), 1, 15) AS BIGINT)"}
@@ -49,7 +49,7 @@ UNION SELECT r_name, 'r_lieu-1', n_name FROM {nation} JOIN {region} ON n_regionk
 UNION SELECT c_mktsegment, 'r_hypo', c_name FROM {customer}
 UNION SELECT c_name, 'r_isa', x FROM {customer}, (VALUES ('HOUSEHOLD'), ('segment'), ('article')) AS t(x)
 UNION SELECT c_name, 'r_carac', x FROM {customer}, (VALUES ('solvent'), ('luxury'), ('heavy')) AS t(x)
-UNION SELECT p_name, 'r_isa', x FROM {part}, (VALUES ('component'), ('article'), ('bolt'), ('hot'), ('large')) AS t(x)
+UNION SELECT p_name, 'r_isa', x FROM {part}, (VALUES ('component'), ('article'), ('bolt'), ('screw'), ('hot'), ('large')) AS t(x)
 UNION SELECT p_name, 'r_carac', x FROM {part}, (VALUES ('cold'), ('hot'), ('small'), ('large'), ('new'), ('old'), ('edible'), ('portable'), ('shiny')) AS t(x)
 UNION SELECT p_name, 'r_isa', p_name FROM {part}
 UNION SELECT p_name, 'r_anto', p_name FROM {part}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,15 @@ def parse_relation_docs(lines: DataFrame) -> DataFrame:
     return found.select("code", F.col("title").alias("display_name"), F.array_join(F.transform("texts", lambda t: t.text), " ").alias("description"), F.transform("examples", lambda e: F.struct(e.a.alias("a"), e.rel.alias("rel"), e.b.alias("b"))).alias("examples"))
 
 
+def _from_cp1252(content: str) -> Column:
+    """Text of bytes in cp1252, which Spark reads as Latin-1 but for the 32 codes from 0x80 on."""
+    codes = bytes(range(0x80, 0xA0))
+    return F.translate(F.decode(content, "iso-8859-1"), codes.decode("latin-1"), codes.decode("cp1252", "replace"))
+
+
 def read_relation_docs(spark: SparkSession, path: str) -> DataFrame:
     """Parse the Markdown files (cp1252) at ``path``, each read whole."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), F.decode("content", "windows-1252").alias("body"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), _from_cp1252("content").alias("body"))
     return parse_relation_docs(files.select("doc", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")))
 
 

@@ -5,12 +5,12 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalog
+from lexloom.plans import catalog, more_oracles
 from lexloom.sources import sinks, text_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "events", "labels"]
-CHOSEN = ["lookup_out_topk", "gaps_classify", "geo_propagation", "cohyponym", "decode_names", "disambiguate", "resolve_soft_sense", "annotations_for_edges", "annotation_disagreement", "sense_contamination", "duplicate_sense_signal"]
+CHOSEN = [*more_oracles.build(), "synonym_equiv", "term_exists", "lookup_out_topk", "gaps_classify", "geo_propagation", "cohyponym", "decode_names", "disambiguate", "resolve_soft_sense", "annotations_for_edges", "annotation_disagreement", "sense_contamination", "duplicate_sense_signal"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
