@@ -146,6 +146,128 @@ bsd-4-clause | bsd | (?:original|4 clause|four clause) bsd license
 bsd-4-clause | bsd | bsd (?:4|four) clause(?: license)?
 bsd-0-clause | bsd | (?:bsd zero clause|zero clause bsd|0bsd)(?: license)?
 mit-0 | mit no attribution | mit no attribution(?: license)?
+mit-modern | mit modern variant | (?:the )?mit modern variant(?: license)?
+mit-cmu | cmu license | (?:mit )?cmu license
+mit-feh | feh license | feh license
+aal | assurance license | attribution assurance license
+adsl | amazon digital services license | amazon digital services license
+aml | apple mit license | apple mit license
+apl-1.0 | adaptive public license | adaptive public license {_V}1 0
+afl-1.1 | academic free license | academic free license {_V}1 1
+afl-1.2 | academic free license | academic free license {_V}1 2
+afl-2.0 | academic free license | academic free license {_V}2 0
+osl-1.1 | open software license | open software license {_V}1 1
+osl-2.0 | open software license | open software license {_V}2 0
+apsl-1.1 | apple public source license | apple public source license {_V}1 1
+apsl-1.2 | apple public source license | apple public source license {_V}1 2
+bittorrent-1.0 | bittorrent open source license | bittorrent open source license {_V}1 0
+bittorrent-1.1 | bittorrent open source license | bittorrent open source license {_V}1 1
+catosl-1.1 | trusted open source license | computer associates trusted open source license {_V}1 1
+cdla-permissive-1.0 | community data license agreement | community data license agreement permissive {_V}1 0
+cdla-permissive-2.0 | community data license agreement | community data license agreement permissive {_V}2 0
+cdla-sharing-1.0 | community data license agreement | community data license agreement sharing {_V}1 0
+cecill-b | cecill b | cecill b(?: free software license agreement)?
+cecill-c | cecill c | cecill c(?: free software license agreement)?
+cern-ohl-1.1 | cern open hardware licen | cern open hardware licen[cs]e {_V}v?1 1
+cern-ohl-1.2 | cern open hardware licen | cern open hardware licen[cs]e {_V}v?1 2
+cern-ohl-2.0 | cern open hardware licen | cern open hardware licen[cs]e {_V}v?2(?: 0)?
+cern-ohl-p-2.0 | cern ohl p | cern ohl p(?: v?2(?: 0)?)?
+cern-ohl-s-2.0 | cern ohl s | cern ohl s(?: v?2(?: 0)?)?
+cern-ohl-w-2.0 | cern ohl w | cern ohl w(?: v?2(?: 0)?)?
+clartistic | clarified artistic license | clarified artistic license
+cpol-1.02 | code project open license | code project open license (?:cpol )?{_V}1 02
+cua-opl-1.0 | cua office public license | cua office public license {_V}1 0
+d-fsl-1.0 | deutsche freie software lizenz | deutsche freie software lizenz
+efl-1.0 | eiffel forum license | eiffel forum license {_V}1
+efl-2.0 | eiffel forum license | eiffel forum license {_V}2
+entessa | entessa public license | entessa public license(?: {_V}1 0)?
+erlpl-1.1 | erlang public license | erlang public license {_V}1 1
+eudatagrid | eu datagrid software license | eu datagrid software license
+fair | fair license | fair license
+frameworx-1.0 | frameworx open license | frameworx open license {_V}1 0
+freetype | freetype project license | freetype project license
+gfdl-1.1-or-later | free documentation license | gnu free documentation license {_V}1 1 or any later version
+gfdl-1.2-or-later | free documentation license | gnu free documentation license {_V}1 2 or any later version
+gfdl-1.3-or-later | free documentation license | gnu free documentation license {_V}1 3 or any later version
+lgpl-2.1-or-later | general public license | gnu lesser general public license {_V}v?2 1 or (?:at your option )?any later version
+lgpl-3.0-or-later | general public license | gnu lesser general public license {_V}v?3(?: 0)? or (?:at your option )?any later version
+agpl-3.0-or-later | general public license | gnu affero general public license {_V}v?3(?: 0)? or (?:at your option )?any later version
+gpl-2.0-classpath | classpath exception | gnu general public license {_V}v?2(?: 0)? with (?:the )?classpath exception
+gpl-2.0-only | general public license | gnu general public license {_V}v?2(?: 0)? only
+gpl-3.0-only | general public license | gnu general public license {_V}v?3(?: 0)? only
+gsoap-1.3b | gsoap public license | gsoap public license {_V}1 3b?
+hpnd | historical permission notice | historical permission notice and disclaimer
+icu | icu license | icu license
+intel | intel open source license | intel open source license
+ipa | ipa font license | ipa font license
+ijg | independent jpeg group | independent jpeg group (?:s )?license
+json-evil | not evil | (?:the )?software shall be used for good not evil
+liliq-p-1.1 | licence libre du qu | licence libre du qu[^ ]+ permissive {_V}1 1
+liliq-r-1.1 | licence libre du qu | licence libre du qu[^ ]+ r[^ ]+ {_V}1 1
+linux-openib | openib bsd license | (?:linux )?openib bsd license
+lppl-1.1 | project public license | latex project public license {_V}1 1
+lppl-1.2 | project public license | latex project public license {_V}1 2
+miros | miros license | (?:the )?miros licen[cs]e
+motosoto | motosoto open source license | motosoto open source license
+mpl-2.0-no-copyleft | secondary licenses | incompatible with secondary licenses
+ms-lpl | microsoft limited public license | microsoft limited public license
+ms-lrl | microsoft limited reciprocal license | microsoft limited reciprocal license
+multics | multics license | multics license
+naist-2003 | nara institute | nara institute of science and technology license
+nasa-1.3 | nasa open source agreement | nasa open source agreement {_V}1 3
+naumen | naumen public license | naumen public license
+ngpl | nethack general public license | nethack general public license
+nokia | nokia open source license | nokia open source license
+npl-1.0 | netscape public license | netscape public license {_V}1 0
+nposl-3.0 | non profit open software license | non profit open software license {_V}3 0
+oclc-2.0 | oclc research public license | oclc research public license {_V}2 0
+ogtsl | open group test suite license | open group test suite license
+oldap-2.8 | openldap public license | openldap public license {_V}2 8
+oldap | openldap public license | openldap public license
+oset-2.1 | oset public license | oset public license {_V}2 1
+parity-7.0 | parity public license | parity public license 7 0 0
+prosperity-3.0 | prosperity public license | prosperity public license 3 0 0
+polyform-internal-use-1.0 | polyform internal use license | polyform internal use license 1 0 0
+polyform-perimeter-1.0 | polyform perimeter license | polyform perimeter license 1 0 0
+polyform-strict-1.0 | polyform strict license | polyform strict license 1 0 0
+rpl-1.1 | reciprocal public license | reciprocal public license {_V}1 1
+rpl-1.5 | reciprocal public license | reciprocal public license {_V}1 5
+rpsl-1.0 | realnetworks public source license | realnetworks public source license {_V}1 0
+rscpl | ricoh source code public license | ricoh source code public license
+sgi-b-2.0 | sgi free software license | sgi free software license b {_V}2 0
+simpl-2.0 | simple public license | simple public license {_V}2 0
+sissl | industry standards source license | sun industry standards source license
+spl-1.0 | sun public license | sun public license {_V}1 0
+tcl | tcl license | tcl(?: tk)? license
+ucl-1.0 | upstream compatibility license | upstream compatibility license {_V}1 0
+unicode-dfs | unicode license agreement | unicode license agreement(?: data files and software)?
+unicode-3.0 | unicode license | unicode license {_V}v?3
+vostrom | vostrom public license | vostrom public license
+x11-distribute | x11 license distribution | x11 license distribution modification variant
+xnet | x net license | x net license
+yahoo-1.1 | yahoo public license | yahoo public license {_V}1 1
+zed | zed license | zed license
+zend-2.0 | zend license | zend license {_V}2 0
+zimbra-1.3 | zimbra public license | zimbra public license {_V}1 3
+bsd-1-clause | bsd | (?:bsd (?:1|one) clause|(?:1|one) clause bsd)(?: license)?
+bsd-2-clause-patent | bsd | bsd (?:2|two) clause plus patent(?: license)?
+bsd-3-clause-clear | clear bsd license | (?:3 clause )?clear bsd license
+bsd-protection | bsd protection license | bsd protection license
+bsd-source-code | bsd source code attribution | bsd source code attribution
+cc-by-2.0 | commons attribution | creative commons attribution {_V}2 0(?: generic)?
+cc-by-2.5 | commons attribution | creative commons attribution {_V}2 5(?: generic)?
+cc-by-sa-2.0 | commons attribution | creative commons attribution share ?alike {_V}2 0(?: generic)?
+cc-by-sa-2.5 | commons attribution | creative commons attribution share ?alike {_V}2 5(?: generic)?
+cc-by-nc-3.0 | commons attribution | creative commons attribution non ?commercial {_V}3 0(?: unported)?
+cc-by-nc-sa-3.0 | commons attribution | creative commons attribution non ?commercial share ?alike {_V}3 0(?: unported)?
+cc-by-nd-3.0 | commons attribution | creative commons attribution no ?deriv(?:ative)?s {_V}3 0(?: unported)?
+cc-by-nc-nd-3.0 | commons attribution | creative commons attribution non ?commercial no ?deriv(?:ative)?s {_V}3 0(?: unported)?
+llama-2 | llama | (?:meta )?llama 2 community license(?: agreement)?
+llama-3 | llama | (?:meta )?llama 3(?: [123])? community license(?: agreement)?
+gemma | gemma terms of use | gemma terms of use
+bigscience-rail-1.0 | bigscience | bigscience (?:bloom )?rail (?:license )?{_V}1 0
+fsl-1.1 | functional source license | functional source license {_V}1 1
+commons-clause | commons clause | (?:the )?commons clause license condition(?: {_V}1 0)?
 """
 
 #: Sentences of the licences' own texts.
@@ -174,7 +296,7 @@ cc-by-nc-sa-4.0 | creativecommons org licenses | creativecommons org licenses by
 cc-by-nd-4.0 | creativecommons org licenses | creativecommons org licenses by nd 4 0
 cc-by-nc-nd-4.0 | creativecommons org licenses | creativecommons org licenses by nc nd 4 0
 public-domain | public domain | (?:placed|released|dedicated) (?:in|into|to) the public domain
-proprietary | all rights reserved | copyright (?:c )?(?:[0-9]{4} )?[^ ]{1,40} all rights reserved
+proprietary | all rights reserved | copyright (?:c )?(?:[0-9]{4} )?[^ ]+ all rights reserved
 proprietary | unauthorized copying | unauthorized copying of this (?:file|work|document) (?:via any medium )?is strictly prohibited
 """
 
@@ -235,9 +357,9 @@ public-domain | public domain | public domain(?: dedication)?
 #: Notices that point at some licence without saying which.
 _HINTS = r"""
 unknown-license | licensed under | licensed under the terms of
-unknown-license | licensed under | licensed under (?:the |a |an )?[^ ]{1,40} licen[cs]e
-unknown-license | released under | released under (?:the |a |an )?[^ ]{1,40} licen[cs]e
-unknown-license | distributed under | distributed under (?:the |a |an )?[^ ]{1,40} licen[cs]e
+unknown-license | licensed under | licensed under (?:the |a |an )?[^ ]+ licen[cs]e
+unknown-license | released under | released under (?:the |a |an )?[^ ]+ licen[cs]e
+unknown-license | distributed under | distributed under (?:the |a |an )?[^ ]+ licen[cs]e
 unknown-license | see the license | see the license file for
 proprietary | all rights reserved | all rights reserved
 """
@@ -258,6 +380,6 @@ RULES = _rules()
 
 def stem(rule: Rule) -> str:
     """Text inside one word that every match of the rule contains, whatever stands between words."""
-    if "licen" in rule.keyword or rule.pattern.endswith("licen[cs]e"):
+    if "licen" in rule.keyword or rule.pattern.endswith(("licen[cs]e", "license")):
         return "licen"
     return max(rule.keyword.split(" "), key=len)

@@ -17,13 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.license_rules import RULES, Rule, stem
-from lexloom.llm.text import WORD
+from lexloom.llm.text import JAVA_WORD, WORD
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BASE_CONFIDENCE = 0.8
-#: Words that a match of any rule has at most; bounds how far apart two overlapping detections can start.
-MATCH_WORDS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,31 +46,45 @@ def _numbered(pattern: str) -> str:
     return "(?:^| )[0-9]+:" + "".join(out) + "(?: |$)"
 
 
+def most_words(rules: list[Rule]) -> int:
+    """Words that a match of any rule has at most: every blank of a pattern parts two words."""
+    return max((r.pattern.count(" ") + 1 for r in rules), default=1)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _places(numbered: Column, pattern: Column) -> Column:
-    """``array<struct<start, end>>`` of a numbered pattern's matches, in words, end exclusive."""
+def _place(match: Column) -> Column:
+    """``struct<start, end>`` of a match in numbered text, in words, end exclusive."""
+    words = F.split(F.trim(match), "  ")
+    start = F.substring_index(words[0], ":", 1).cast("int")
+    return F.struct(start.alias("start"), (start + F.size(words)).alias("end"))
 
-    def place(match: Column) -> Column:
-        words = F.split(F.trim(match), "  ")
-        start = F.substring_index(words[0], ":", 1).cast("int")
-        return F.struct(start.alias("start"), (start + F.size(words)).alias("end"))
 
-    return F.transform(F.regexp_extract_all(numbered, pattern, F.lit(0)), place)
+def _hits(rules: list[Rule]) -> Column:
+    """Rules with a match, from columns ``words`` and ``numbered``: their facts and the ``found`` texts.
 
+    Every pattern is a literal, so it is compiled once a task.  It is one SQL
+    expression, as hundreds of rules are slow to build call by call.
+    """
 
-def _rule_table(rules: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(_numbered(r.pattern)).alias("pattern")) for r in rules])
+    def tried(r: Rule) -> str:
+        facts = f"'number', {r.number}, 'priority', {r.priority}, 'confidence', {r.confidence}D, 'label', r'{r.label}'"
+        return f"named_struct({facts}, 'found', if(contains(t.w, r'{r.keyword}'), regexp_extract_all(t.n, r'{_numbered(r.pattern)}', 0), null))"
 
+    every = ", ".join(map(tried, rules)) or "named_struct('number', 0, 'priority', 0, 'confidence', 0D, 'label', '', 'found', array(''))"
+    return F.expr(f"transform(array(named_struct('w', words, 'n', numbered)), t -> filter(array({every}), r -> size(r.found) > 0))[0]")
 
-def _detections(words: Column, numbered: Column, rules: list[Rule]) -> Column:
+
+def _detections(hits: Column) -> Column:
     """Detections of all rules, ordered by start, longest first, then rank."""
-    due = F.filter(_rule_table(rules), lambda r: F.contains(words, r.keyword))
-    found = F.flatten(F.transform(due, lambda r: F.transform(_places(numbered, r.pattern), lambda p: F.struct(p.start.alias("start"), (-p.end).alias("minus_end"), r.priority.alias("priority"), r.number.alias("number"), r.label.alias("label"), r.confidence.alias("confidence")))))
-    return F.array_sort(found)
+
+    def detection(r: Column, match: Column) -> Column:
+        return _let(_place(match), lambda p: F.struct(p.start.alias("start"), (-p.end).alias("minus_end"), r.priority.alias("priority"), r.number.alias("number"), r.label.alias("label"), r.confidence.alias("confidence")))
+
+    return F.array_sort(F.flatten(F.transform(hits, lambda r: F.transform(r.found, lambda m: detection(r, m)))))
 
 
 def _outranks(g: Column, h: Column) -> Column:
@@ -83,33 +95,27 @@ def _outranks(g: Column, h: Column) -> Column:
     return ((covers | covered) & (g.priority < h.priority)) | (covers & (g.priority == h.priority) & (~same | (g.number < h.number)))
 
 
-def _survivors(found: Column, n_rules: int) -> Column:
-    reach = MATCH_WORDS * n_rules  # no more detections can start within one match before another
-
-    def stays(h: Column, i: Column) -> Column:
-        near = F.slice(found, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
-        return ~F.exists(near, lambda g: _outranks(g, h))
-
-    return F.filter(found, stays)
-
-
-def verdict(text: Column, rules: list[Rule]) -> Column:
-    """``struct<base: array<struct<start,end,label>>, kept: array<detection>>`` of a text that passed the gate."""
-    words = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAP, " "))
+def _survivors(found: Column, rules: list[Rule]) -> Column:
+    """Detections that no other suppresses; each is held against those near it in the order of starts."""
+    widest = most_words(rules)
 
-    def of_words(w: Column) -> Column:
-        numbered = F.array_join(F.transform(F.split(w, " "), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x)), "  ")
-        return _let(numbered, lambda n: of_numbered(w, n))
+    def spans(step: int) -> Column:
+        """Detections that are ``step`` apart in the order never overlap."""
+        return F.forall(F.sequence(F.lit(0), F.size(found)), lambda i: F.coalesce(F.get(found, i + step).start - F.get(found, i).start >= widest, F.lit(True)))
 
-    def of_numbered(w: Column, n: Column) -> Column:
-        base = [_base_places(n, phrase, label) for phrase, label in BASE.items()]
-        return _let(_detections(w, n, rules), lambda d: F.struct(F.concat(*base).alias("base"), _survivors(d, len(rules)).alias("kept")))
+    def among(reach: Column) -> Column:
+        near = lambda i: F.slice(found, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
+        return F.filter(found, lambda h, i: ~F.exists(near(i), lambda g: _outranks(g, h)))
 
-    return _let(words, of_words)
+    reach = F.lit(widest * len(rules))  # no more detections can start within one match
+    for step in (512, 64, 8):
+        reach = F.when(spans(step), step).otherwise(reach)
+    return _let(reach, among)
 
 
-def _base_places(numbered: Column, phrase: str, label: str) -> Column:
-    return F.transform(_places(numbered, F.lit(_numbered(phrase))), lambda p: F.struct(p.start.alias("start"), p.end.alias("end"), F.lit(label).alias("label")))
+def _base_places(phrase: str, label: str) -> Column:
+    matches = F.regexp_extract_all("numbered", F.lit(_numbered(phrase)), F.lit(0))
+    return F.transform(matches, lambda m: _let(_place(m), lambda p: F.struct(p.start.alias("start"), p.end.alias("end"), F.lit(label).alias("label"))))
 
 
 def may_match(text: Column, rules: list[Rule]) -> Column:
@@ -134,9 +140,14 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None, id_col: str
     """
     rules = RULES if rules is None else rules
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    found = F.when(may_match(F.col("text"), rules), verdict(F.col("text"), rules))
-    return rows.select("doc_id", n_words.alias("n_words"), found.alias("found")).select("doc_id", "n_words", "found.base", "found.kept")
+    n_words = F.regexp_count("text", F.lit(JAVA_WORD)).cast("long")
+    words = F.trim(F.regexp_replace(F.translate("text", _UPPER, _LOWER), _GAP, " "))
+    gated = rows.select("doc_id", n_words.alias("n_words"), F.when(may_match(F.col("text"), rules), words).alias("words"))
+    numbered = F.array_join(F.transform(F.split("words", " "), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x)), "  ")
+    hits = gated.withColumn("numbered", numbered).withColumn("hits", F.when(F.col("numbered").isNotNull(), _hits(rules)))
+    base = F.concat(*[_base_places(phrase, label) for phrase, label in BASE.items()])
+    kept = _let(_detections(F.col("hits")), lambda found: _survivors(found, rules))
+    return hits.select("doc_id", "n_words", base.alias("base"), kept.alias("kept"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,37 +1,20 @@
-"""Shared-folder materialisation: the way this subpackage cuts lineage.
-
-Executors may be lost at any time, so intermediate results that are read more
-than once are written as Parquet below ``spark.checkpoint.dir``, which all
-machines share.  Only where that setting is absent (tests, a laptop) a
-temporary folder is made.
-"""
+"""The way this subpackage cuts lineage: tables in the shared folder, gone when the application ends."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from lexloom.sources.storage import store as materialise
 
-_own: dict[str, str] = {}
+__all__ = ["materialise", "packed", "unpacked"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables, as the session names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    set_by_user = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_user.isDefined():
-        return set_by_user.get().rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="lexloom-")
-    return f"file://{_own[app]}"
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``keys``, and all columns of ``df`` as one struct ``row``, so that no name of theirs can meet one of ours."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return a scan of the copy."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that :func:`packed` put away."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -6,6 +6,8 @@ import re
 
 #: Words of licence, benchmark and decontamination operators, as a regular expression of Spark, DuckDB and Python.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lowering, as a plain union: Java matches it many times faster than a negated one.
+JAVA_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Words between ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
