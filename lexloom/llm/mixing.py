@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.storage import materialise
+from lexloom.llm.storage import materialise, packed, unpacked
 
 LEVELS = ["domain", "lang", "source"]
 HASH_BITS = 60
@@ -50,12 +50,13 @@ def split_budget(children: DataFrame, parents: DataFrame | None, keys: list[str]
     rows = children.withColumn("budget", F.lit(budget)) if parents is None else children.join(parents, above)
     rows = rows.withColumn("w", _weight(level, weights))
     family = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
-    order = family.orderBy((F.col("cap") / F.col("w")), level)
+    # A child of weight 0 gets nothing and comes last.
+    order = family.orderBy((F.col("cap") / F.nullif(F.col("w"), F.lit(0.0))).asc_nulls_last(), level)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("w").over(family) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rows = rows.withColumn("rate", left / weight_left).withColumn("turn", F.row_number().over(order))
-    rows = rows.withColumn("full", F.col("cap") <= F.col("w") * F.col("rate"))
+    rows = rows.withColumn("rate", F.coalesce(left / F.nullif(weight_left, F.lit(0.0)), F.lit(0.0))).withColumn("turn", F.row_number().over(order))
+    rows = rows.withColumn("full", (F.col("w") > 0) & (F.col("cap") <= F.col("w") * F.col("rate")))
     rows = rows.withColumn("open", F.min(F.when(~F.col("full"), F.struct("turn", "rate"))).over(family))
     share = F.when(F.col("open").isNull() | (F.col("turn") < F.col("open.turn")), F.col("cap")).otherwise(F.col("w") * F.col("open.rate"))
     return rows.select(*keys, share.alias("budget"))
@@ -114,7 +115,8 @@ def mix(docs: DataFrame, budget_share: float = 0.6, max_epochs: float = 2.0, wei
     """Per row ``doc_id``, the leaf, ``n_tokens``, the leaf's ``target`` and ``copies``, the times the mix takes it.
 
     ``docs`` has doc_id, text, lang and source.  ``weights`` names weights by
-    level and value, 1 for others.  The budget is ``budget_share`` of all
+    level and value, 1 for others; a weight of 0 takes nothing, even where
+    that leaves some of the budget unspent.  The budget is ``budget_share`` of all
     tokens.  Null names make a leaf of the empty name, null texts have no
     tokens, rows of one id share a place in the order and are taken together;
     a leaf without tokens takes nothing.  Other columns are ignored.
@@ -125,14 +127,17 @@ def mix(docs: DataFrame, budget_share: float = 0.6, max_epochs: float = 2.0, wei
 
 
 def take(docs: DataFrame, budget_share: float, max_epochs: float, weights: dict[str, dict[str, float]], seed: int = 17, domain: Column | None = None) -> DataFrame:
-    """``docs`` as the mix takes them: a row per copy, columns as they were."""
+    """``docs`` as the mix takes them: a row per copy, columns as they were, whatever their names.
+
+    Nulls, ties, repeated rows and empty texts count as in :func:`mix`: rows of
+    one id share a place in the order and come together, a leaf without tokens
+    gives no row.  An empty table gives an empty one.
+    """
     leaf = _leaf_columns(docs, domain)
     rows = materialise(docs.select("doc_id", *leaf, words_in(F.col("text")).alias("n_tokens")), "mix-rows")
-    plan = plan_mix(rows, budget_share, max_epochs, weights, seed).select(F.struct(*LEVELS).alias("_leaf"), F.struct("epochs", "cut").alias("_plan"))
-    placed = docs.withColumn("_leaf", F.struct(*leaf)).join(plan, "_leaf")
-    copies = (F.col("_plan.epochs") + F.when(draw(seed, F.col("_plan.epochs"), F.col("doc_id")) <= F.col("_plan.cut"), 1).otherwise(0)).cast("int")
-    repeated = placed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*docs.columns)
+    plan = plan_mix(rows, budget_share, max_epochs, weights, seed).select(*LEVELS, "epochs", "cut")
+    placed = packed(docs, doc_id=docs["doc_id"], **dict(zip(LEVELS, leaf))).join(plan, LEVELS)
+    return unpacked(placed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies(seed)))), docs.columns)
 
 
 #: Weights of the registered query: English is held to half, the rest shared.
