@@ -3,7 +3,8 @@
 Score of a document with features x: sigmoid of ``b + w.x`` plus the sum over
 all feature pairs of ``<v_i, v_j> x_i x_j``, computed in linear time as half of
 ``sum_f (sum_i v_if x_i)^2 - sum_i (v_if x_i)^2``.  Features are built on the
-executors; a bounded sample of labelled rows trains the machine on the driver.
+executors, metadata from the text too; a bounded sample of labelled rows trains
+the machine on the driver and calibrates its score.
 """
 
 from __future__ import annotations
@@ -17,21 +18,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word buckets; structure statistics take the places after them.
+from lexloom.llm.storage import packed, unpacked
+
+#: Word buckets; structure statistics and metadata take the places after them.
 BUCKETS = 1 << 16
 RANK = 8
 #: Labelled rows that train the machine at most (the ones with the smallest hash of their id).
 SAMPLE = 4000
-EPOCHS = 6
+#: Passes over the rows, and mini-batches at least: few rows are passed over more often.
+EPOCHS, STEPS = 6, 400
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
 _tokens = re.compile(r"[^ \t-\r]+").findall
 STATISTICS = ["bias", "log_words", "mean_word", "symbols", "signs_per_word", "bangs", "bars", "digits", "upper", "words_per_line", "distinct_words", "distinct_lines", "stops", "non_ascii", "echoes"]
-WIDTH = BUCKETS + len(STATISTICS)
+#: Metadata that every document has, whatever its table says: its size in characters and lines.
+METADATA = ["log_chars", "log_lines"]
+WIDTH = BUCKETS + len(STATISTICS) + len(METADATA)
 
 
 class _Buckets(dict):
@@ -45,7 +51,7 @@ class _Buckets(dict):
 
 
 def structure(text: str, words: list[str]) -> list[float]:
-    """The statistics of :data:`STATISTICS`, each about 0 to 1."""
+    """The statistics of :data:`STATISTICS` and :data:`METADATA`, each about 0 to 1."""
     n, chars = max(len(words), 1), max(len(text), 1)
     lines = text.split("\n")
     joined = max(sum(map(len, words)), 1)
@@ -66,11 +72,14 @@ def structure(text: str, words: list[str]) -> list[float]:
         sum(map(text.count, ".,;")) / n,
         1 - len(text.encode("ascii", "ignore")) / chars,
         sum(map(str.__eq__, words, words[1:])) / n,
+        # Metadata.
+        np.log1p(len(text)) / 12,
+        np.log1p(len(lines)) / 8,
     ]
 
 
 def featurise(text: str | None, buckets: dict[str, int]) -> tuple[list[int], list[float]]:
-    """Places and values of a text's features: words by square root of their share, then the statistics."""
+    """Places and values of a text's features: words by square root of their share, then statistics and metadata."""
     text = text or ""
     words = _tokens(text)
     counts = Counter(map(buckets.__getitem__, words))
@@ -84,6 +93,9 @@ class FactorisationMachine:
 
     w: np.ndarray
     v: np.ndarray
+    #: Calibration of the log-odds.
+    slope: float = 1.0
+    offset: float = 0.0
 
     def raw(self, places: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log-odds of ragged rows: row r has the features from ``starts[r]`` on; no row is empty."""
@@ -92,7 +104,7 @@ class FactorisationMachine:
         return linear + 0.5 * (np.add.reduceat(vx, starts) ** 2 - np.add.reduceat(vx * vx, starts)).sum(1)
 
     def score(self, places: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(places, values, starts), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(places, values, starts) + self.offset, -30, 30)))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, rank: int = RANK, batch: int = 64, rate: float = 0.05, decay: float = 1e-5) -> FactorisationMachine:
@@ -103,6 +115,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         return fm
     p = np.clip(labels.mean(), 0.01, 0.99)
     fm.w[BUCKETS] = np.log(p / (1 - p))
+    epochs = max(epochs, -(-STEPS * batch // len(rows)))
     gw, gv = np.full(WIDTH, 1e-2, np.float32), np.full((WIDTH, rank), 1e-2, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -133,33 +146,66 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def calibrate(raw: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset that make log-odds into probabilities (Platt: smoothed targets, Newton steps)."""
+    good = float(labels.sum())
+    bad = len(labels) - good
+    if not good or not bad:
+        return 1.0, 0.0
+    target = np.where(labels > 0.5, (good + 1) / (good + 2), 1 / (bad + 2))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+        gradient = np.array([((p - target) * raw).sum(), (p - target).sum()])
+        v = p * (1 - p) + 1e-9
+        curve = np.array([[(v * raw * raw).sum() + 1e-6, (v * raw).sum()], [(v * raw).sum(), v.sum() + 1e-6]])
+        step = np.linalg.solve(curve, gradient)
+        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
-    """Train on at most ``sample`` labelled rows outside the held-out fold; rows without text or label are left out."""
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    """Train on at most ``sample`` labelled rows outside the held-out fold, and calibrate on every fifth of them.
+
+    Rows without text, id or label are left out.  Of several labels of one id
+    the smallest counts, of several texts the first in order, so the driver
+    gets one row of at most :data:`WIDTH` features per id.  Without labelled
+    rows the machine gives every text one half.
+    """
+    usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
+    by_id = labels.filter(usable).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("double")).alias("label"))
+    chosen = by_id.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")  # at most ``sample`` rows are broadcast
+    rows = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for b in batches:
-            found = [featurise(x, buckets) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["id", "label", "places", "values"])
+            found = [featurise(x, buckets) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["id", "label", "places", "values"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, label double, places array<int>, values array<float>").toPandas()
-    got = got.assign(size=got["places"].map(len)).sort_values(["id", "label", "size"], kind="stable").head(sample)
-    return train([(np.asarray(p), np.asarray(v)) for p, v in zip(got["places"], got["values"])], got["label"].to_numpy(float))
-
-
-def score(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) as a struct column ``quality_verdict``.
-
-    Only the text is an input.  Null and empty texts get the score of an empty
-    text.  Every row is scored, repeated ones alike; other columns pass through.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    verdict = "struct<score:double,predicted:int>"
-
-    @F.pandas_udf(verdict)
+    got = rows.mapInArrow(run, f"id {kind}, label double, places array<int>, values array<float>").toPandas().sort_values("id", kind="stable")
+    features = [(np.asarray(p), np.asarray(v)) for p, v in zip(got["places"], got["values"])]
+    truth = got["label"].to_numpy(float)
+    aside = np.arange(len(features)) % 5 == 4
+    machine = train([x for x, a in zip(features, aside) if not a], truth[~aside])
+    if aside.any():
+        held = [x for x, a in zip(features, aside) if a]
+        sizes = np.array([len(p) for p, _ in held])
+        raw = machine.raw(np.concatenate([p for p, _ in held]), np.concatenate([v for _, v in held]), np.cumsum(sizes) - sizes)
+        machine.slope, machine.offset = calibrate(raw, truth[aside])
+    return machine
+
+
+def _verdict(machine: FactorisationMachine, text: Column, threshold: float) -> Column:
+    """``struct<score, predicted>`` of a text."""
+    shared = SparkSession.active().sparkContext.broadcast(machine)
+
+    @F.pandas_udf("struct<score:double,predicted:int>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         buckets, fm = _Buckets(), shared.value
         for texts in batches:
@@ -170,10 +216,22 @@ def score(docs: DataFrame, machine: FactorisationMachine, threshold: float = THR
                 scores[at : at + 64] = fm.score(np.concatenate([p for p, _ in found]).astype(np.int64), np.concatenate([v for _, v in found]).astype(np.float32), np.cumsum(sizes) - sizes)
             yield pd.DataFrame({"score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
-    judge = judge.asNondeterministic()  # else a filter on the verdict would be run twice
-    return docs.withColumn("quality_verdict", judge(F.col(text_col)))
+    return judge.asNondeterministic()(text)  # else a filter on the verdict would be run twice
+
+
+def score(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+
+    Only the text is an input.  Null and empty texts get the score of an empty
+    text, texts of any length are read whole.  Every row is scored, repeated
+    ones alike, and null ids are kept; an empty table gives an empty result.
+    Other columns are ignored, whatever their names.
+    """
+    found = docs.select(F.col(id_col).alias("doc_id"), _verdict(machine, F.col(text_col), threshold).alias("verdict"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "verdict.score", "verdict.predicted")
 
 
-def report(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest form of :func:`score`."""
-    return scored.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "quality_verdict.score", "quality_verdict.predicted")
+def accepted(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, columns as they were; nulls and repeats as in :func:`score`."""
+    judged = packed(docs, verdict=_verdict(machine, docs[text_col], threshold))
+    return unpacked(judged.filter("verdict.predicted = 1"), docs.columns)

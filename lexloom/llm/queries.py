@@ -24,7 +24,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
-    return quality.report(quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels"))))
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
