@@ -8,19 +8,21 @@ are joined with the windows on prefix shingles only, the offset and the length
 of the text bound where a window can lie, and the words there are compared.
 
 Items are a stated query set: their windows travel to the executors in blocks
-of at most ``block`` windows, and every block meets every document.
+of about ``block`` windows, one at a time, and every block meets every document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.text import words_of
+from lexloom.llm.storage import materialise
+from lexloom.llm.text import JAVA_WORD, words_of
 
 SHINGLE = 3
 #: Windows that travel in one broadcast: about 100 MB of Python objects at most.
@@ -109,22 +111,47 @@ class PrefixIndex:
         return merged, items
 
 
-def match_windows(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str, block: int) -> DataFrame:
-    """``docs`` as ``(doc_id, text, payload)`` with ``n_words``, ``spans`` of hit words and the ids ``found``."""
-    spark = docs.sparkSession
-    all_windows = windows(items, width, item_col, item_text_col)
-    n_blocks = max(1, -(-all_windows.count() // block))
-    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("payload"))
-    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("spans"), F.array().cast("array<string>").alias("found"))
-    corpus = docs.select(F.col(text_col).alias("text"))
+def prefix_indexes(texts: DataFrame, all_windows: DataFrame, n_blocks: int) -> Iterator[PrefixIndex]:
+    """The windows' prefix indexes, block by block; each is one scan of ``texts`` for the counts of its shingles."""
+    spark = texts.sparkSession
     for k in range(n_blocks):
         part = all_windows if n_blocks == 1 else all_windows.filter(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         rows = [(r.window.encode().split(b" "), r["items"]) for r in part.collect()]  # one block of the query set
         known = spark.sparkContext.broadcast({s for words, _ in rows for s in _shingles(words)})
-        counts = {r.shingle.encode(): r.n for r in shingle_counts(corpus, known).collect()} if rows else {}
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(PrefixIndex(rows, counts))), out.schema)
-    return out
+        counts = {r.shingle.encode(): r.n for r in shingle_counts(texts, known).collect()} if rows else {}
+        known.unpersist()
+        yield PrefixIndex(rows, counts)
+
+
+def match_windows(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str, block: int) -> DataFrame:
+    """``doc_id``, ``text``, the other columns as struct ``row``, ``n_words``, ``spans`` of hit words and the ids ``found``.
+
+    Where all windows fit one block, documents are read with it once.  Else
+    every block is a job of its own that stores the hits of the texts it finds,
+    its broadcast is let go, and the hits are joined by the texts' keys.
+    """
+    spark = docs.sparkSession
+    all_windows = materialise(windows(items, width, item_col, item_text_col), "windows")
+    n_blocks = max(1, -(-all_windows.count() // block))
+    text = docs[text_col]
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    texts = docs.select(text.alias("text"))
+    if n_blocks == 1:
+        shared = spark.sparkContext.broadcast(next(prefix_indexes(texts, all_windows, 1)))
+        empty = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("spans"), F.array().cast("array<string>").alias("found"))
+        return empty.mapInArrow(_matcher(shared), empty.schema)
+    keyed = rows.filter(F.col("text").isNotNull()).select("text_key", "text")
+    stored = []
+    for index in prefix_indexes(texts, all_windows, n_blocks):
+        shared = spark.sparkContext.broadcast(index)
+        hits = keyed.mapInArrow(_finder(shared), f"text_key long, spans {_HITS}, found array<string>")
+        stored.append(materialise(hits.dropDuplicates(["text_key"]), "block-hits"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, stored).groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("found")).alias("found"))
+    out = rows.join(materialise(every, "hits"), "text_key", "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(JAVA_WORD)), F.lit(0)).cast("long")
+    return out.select("doc_id", "text", "row", n_words.alias("n_words"), F.coalesce("spans", F.array().cast(_HITS)).alias("spans"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -141,11 +168,33 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_co
     return out.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), listed.alias("items"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any hit, with all their columns as they were."""
-    out = match_windows(docs, items, width, id_col, text_col, "item_id", "text", BLOCK).filter(F.size("spans") == 0)
-    back = {id_col: F.col("doc_id"), text_col: F.col("text")}
-    return out.select(*[back.get(c, F.col("payload").getField(c)).alias(c) for c in docs.columns])
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents without any hit, with all their columns as they were.
+
+    Documents without words have no hit and stay; repeated rows stay or go
+    alike; names of columns do not matter; an empty table gives an empty one.
+    """
+    out = match_windows(docs, items, width, id_col, text_col, "item_id", "text", block)
+    clean = out.filter(F.size("spans") == 0)
+    return clean.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _finder(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keys, spans, found = [], [], []
+            texts = batch.column(1)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                merged, items = index.hits(words_of(texts[i].as_py()))
+                if merged:
+                    keys.append(key)
+                    spans.append([{"start": a, "end": b} for a, b in merged])
+                    found.append([x for x in items if x is not None])
+            pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pairs), pa.array(found, pa.list_(pa.string()))], ["text_key", "spans", "found"])
+
+    return run
 
 
 def _matcher(shared):
@@ -153,14 +202,12 @@ def _matcher(shared):
         index = shared.value
         for batch in batches:
             n_words, spans, found = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("found").to_pylist())
-            texts = batch.column("text")
-            for i, (old_spans, old_items) in enumerate(before):
-                words = words_of(texts[i].as_py())
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
                 merged, items = index.hits(words)
                 n_words.append(len(words))
-                spans.append(old_spans + [{"start": a, "end": b} for a, b in merged])
-                found.append(old_items + [x for x in items if x is not None])
+                spans.append([{"start": a, "end": b} for a, b in merged])
+                found.append([x for x in items if x is not None])
             fresh = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, batch.schema.field("spans").type), "found": pa.array(found, batch.schema.field("found").type)}
             yield pa.RecordBatch.from_arrays([fresh.get(f.name, batch.column(j)) for j, f in enumerate(batch.schema)], schema=batch.schema)
 
