@@ -139,14 +139,20 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks cut out of their texts; columns as they were."""
-    found = find_repeats(docs, id_col, text_col).filter("n_removed_chunks > 0").select(F.col("doc_id").alias("_g_id"), F.col("text_key").alias("_g_key"), F.col("spans").alias("_g_spans")).distinct()
+    """``docs`` with the repeated chunks cut out of their texts; columns as they were, whatever their names.
+
+    Null texts stay null and empty ones empty.  Rows equal in id and text are
+    one document and are cut alike, ids may be null; of equal chunks the one of
+    the smallest place stays.  An empty table gives an empty one.
+    """
+    found = find_repeats(docs, id_col, text_col).filter("n_removed_chunks > 0").select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "spans").distinct()
     found = materialise(found, "removed")
-    same = docs[id_col].eqNullSafe(found["_g_id"]) & (F.xxhash64(docs[text_col]) == found["_g_key"])
-    joined = docs.join(found, same, "left")
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.exists("_g_spans", lambda s: (s.start <= i) & (i < s.end))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_g_spans").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), docs[id_col].alias("own_id"), docs[text_col].alias("body"), F.xxhash64(docs[text_col]).alias("own_key"))
+    joined = rows.join(found, rows["own_id"].eqNullSafe(found["cut_id"]) & (rows["own_key"] == found["cut_key"]), "left")
+    kept = F.array_join(F.filter(F.split("body", "\n"), lambda _, i: ~F.exists("spans", lambda s: (s.start <= i) & (i < s.end))), "\n")
+    text = F.when(F.col("spans").isNull(), F.col("body")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(found: DataFrame) -> DataFrame:
