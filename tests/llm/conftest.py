@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, shard string, score string, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, shard string, score string, size string, row string, epochs string, cut string, verdict string, spans string, component string, own_id string, suspect string"
 
 
 def make_documents(seed: int = 3, n: int = 60) -> list[tuple]:
@@ -26,7 +26,7 @@ def make_documents(seed: int = 3, n: int = 60) -> list[tuple]:
         (210, text(30) + "\n" + shared, "fr", "b"), (0, rows[0][1], rows[0][2], rows[0][3]), (211, "Apache License, Version 2.0. Released under the MIT-License; cc by 4.0", "en", "a"),
         (212, "mail x.y+1@mail.example.com, ip 10.0.0.255 and 1.2.3.999, card 4111 1111 1111 1111 1, 4111-1111-1111-1111, tel +1 (555) 123-4567.", "en", "a"),
     ]
-    return [(i, t, lang, source, len(t or ""), "x", None, "7", "y", "z") for i, t, lang, source in rows]
+    return [(i, t, lang, source, len(t or ""), "x", None, "7", "y", "z", *"abcdefgh") for i, t, lang, source in rows]
 
 
 @pytest.fixture(scope="session")
