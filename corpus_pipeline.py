@@ -7,7 +7,6 @@ rows are written as Parquet into the shared folder and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, mixing, neardup, quality, sharding
 from lexloom.llm.storage import materialise
@@ -19,7 +18,7 @@ MIX = {"budget_share": 1.0, "max_epochs": 2.0, "weights": mixing.WEIGHTS}
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones, accepts."""
     machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, machine).filter(F.col("quality_verdict.predicted") == 1).select(*docs.columns)
+    return quality.accepted(docs, machine)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
