@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexloom import schema
 from lexloom.functions.text import fold_accents, norm, one_line
 from lexloom.operators.inference import RuleGraph, explanation, infer
+from lexloom.operators.stats import gaps
 from lexloom.operators.verify import direct_hits
+from lexloom.sources.storage import store
 
 
 def _as_claims(candidates: DataFrame) -> DataFrame:
@@ -52,6 +54,13 @@ def consolidate(candidates: DataFrame, graph: RuleGraph, effort: int = 1) -> Dat
     return rows.select(*keep, left.alias("confidence"), status.alias("consolidation_status"), F.when(valid, F.col("consolidation_schema")).alias("consolidation_schema"), F.when(valid, F.col("consolidation_explanation")).alias("consolidation_explanation"))
 
 
+def fill_gaps(terms: DataFrame, proposals: DataFrame, graph: RuleGraph, relations: list[str] | None = None, effort: int = 1) -> DataFrame:
+    """The ``proposals`` that meet a gap of ``terms``, with its ``gap_type``, validated and consolidated."""
+    found = gaps(terms, graph.graph, relations).select("term", "relation", "gap_type")
+    wanted = store(proposals.join(found, ["term", "relation"]), "proposals")
+    return consolidate(validate(wanted, graph), graph, effort)
+
+
 def submission_lines(candidates: DataFrame) -> DataFrame:
     """``term | relation | target | annotation < explanation >`` of consolidated, valid candidates."""
     good = candidates.filter("consolidation_status = 'consolidated' and validation_status = 'ok'")

@@ -25,12 +25,14 @@ def degree(graph: DataFrame) -> DataFrame:
     return ends.groupBy("term").agg(F.count("*").alias("degree"))
 
 
-def gaps(terms: DataFrame, graph: DataFrame, relations: list[str], least: int = 3, seen: int = 50) -> DataFrame:
+def gaps(terms: DataFrame, graph: DataFrame, relations: list[str] | None = None, least: int = 3, seen: int = 50) -> DataFrame:
     """``(term, relation, gap_type, severity, n_pos, n_neg)`` of terms whose relation lacks positive triplets.
 
     Counts are over the ``seen`` strongest triplets of a term and relation.
-    Terms meet relations by an exploded literal, not a join.
+    Terms meet relations by an exploded literal, not a join; without
+    ``relations`` it is those of nouns and of verbs.
     """
+    relations = relations if relations is not None else [*schema.NOUN_GAPS, *schema.VERB_GAPS]
     wanted = terms.select("term", F.explode(F.array(*[F.lit(r) for r in sorted(set(relations))])).alias("relation"))
     turn = F.row_number().over(Window.partitionBy("src", "rel").orderBy(F.abs("w").desc(), "id"))
     top = graph.filter(F.col("rel").isin(relations)).withColumn("turn", turn).filter(F.col("turn") <= seen)

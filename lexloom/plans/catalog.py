@@ -427,6 +427,23 @@ def submission_file_size(spark, sf_dir):
     return found.groupBy(F.col("place.part").cast("long").alias("part")).agg(F.count("*").alias("n"))
 
 
+@query
+def enrich_chain(spark, sf_dir):
+    """Gaps of all terms, and the candidates that meet one, validated and consolidated."""
+    g = RuleGraph.stored(derived.graph(spark, sf_dir))
+    terms = g.graph.select(F.col("src").alias("term")).distinct()
+    found = enrich.fill_gaps(terms, _candidates(spark, sf_dir), g, ["r_carac", "r_lieu", "r_make"])
+    return found.select("term", "relation", "target", "gap_type", "confidence", "validation_status", "consolidation_status")
+
+
+@query
+def gaps_of_usual_relations(spark, sf_dir):
+    """Gaps over the relations of nouns and verbs, counted."""
+    g = derived.graph(spark, sf_dir)
+    found = stats.gaps(g.select(F.col("src").alias("term")).distinct(), g)
+    return found.groupBy("relation", "gap_type").agg(F.count("*").alias("n"))
+
+
 @query
 def lookup_term(spark, sf_dir):
     nodes = _fixture(spark)[0]

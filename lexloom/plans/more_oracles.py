@@ -16,6 +16,13 @@ def _whole(w: str) -> str:
     return f"CAST(CAST(round_even({w}, 0) AS BIGINT) AS VARCHAR)"
 
 
+def _gaps(relations: list[str]) -> str:
+    """Gaps over ``k``, the 50 strongest triplets of every source and relation."""
+    names = ", ".join(f"('{r}')" for r in relations)
+    counts = f"SELECT t.term, r.relation, count(*) FILTER (WHERE k.w > 0) AS p, count(*) FILTER (WHERE k.w < 0) AS n FROM (SELECT DISTINCT src AS term FROM e) t CROSS JOIN (VALUES {names}) AS r(relation) LEFT JOIN k ON k.src = t.term AND k.rel = r.relation GROUP BY ALL"
+    return f"gaps AS (SELECT term, relation, CASE WHEN p = 0 AND n > 0 THEN 'negative_filled' WHEN p = 0 THEN 'missing' ELSE 'low_coverage' END AS gap_type FROM ({counts}) WHERE p < 3)"
+
+
 def on_derived_graph() -> dict[str, str]:
     g, c = f"WITH {o._graph()} ", f"WITH {o._claims()}"
     both = f"{c}, {o._answers(CASCADE)}, {o._VALID}, {o._CONSOLIDATED}"
@@ -60,6 +67,8 @@ LEFT JOIN (SELECT a, rel, count(*) AS n FROM n GROUP BY ALL) h ON h.a = c.s AND
         "proven_triplets": f"{both}, good AS (SELECT DISTINCT lower(term) AS kt, relation AS kr, lower(target) AS ko FROM cons WHERE consolidation_status = 'consolidated') SELECT DISTINCT upper(term) AS term, relation, upper(target) AS target FROM cons SEMI JOIN good ON kt = lower(term) AND kr = relation AND ko = lower(target)",
         "registry_merge": f"{both} SELECT relation, count(*) AS n FROM (SELECT DISTINCT lower(term), relation, lower(target) FROM cons WHERE consolidation_status = 'consolidated') GROUP BY relation",
         "submission_file_size": f"{both} SELECT part, count(*) AS n FROM (SELECT CAST(0 AS BIGINT) AS part FROM range(3) UNION ALL SELECT 1 FROM cons WHERE consolidation_status = 'consolidated') GROUP BY part",
+        "enrich_chain": f"{both}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50), {_gaps(['r_carac', 'r_lieu', 'r_make'])} SELECT c.term, c.relation, c.target, g.gap_type, c.confidence, c.validation_status, c.consolidation_status FROM cons c JOIN gaps g ON g.term = c.term AND g.relation = c.relation",
+        "gaps_of_usual_relations": f"{g}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50), {_gaps(sorted({*schema.NOUN_GAPS, *schema.VERB_GAPS}))} SELECT relation, gap_type, count(*) AS n FROM gaps GROUP BY ALL",
         "claim_lines": f"{c} SELECT DISTINCT string_split(subject, ' ')[1] || ' ' || relation || ' | ' || object AS line, string_split(subject, ' ')[1] AS subject, relation, object FROM claims",
         "synonyms_by_node_weight": by_node("node_w DESC, place", "r_syn", 25, 30),
         "hypernyms_in_order": by_node("place", "r_isa", 0, 2),
