@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.membership import may_contain
-from lexloom.llm.storage import materialise
+from lexloom.llm.storage import materialise, packed, unpacked
 from lexloom.llm.text import lower_ascii
 
 SHINGLE = 5
@@ -200,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` and ``kept``.
+    """Per row ``doc_id``, ``text_key``, ``n_shingles``, ``component_id``, ``kept`` and ``component`` (null without words).
 
     ``component_id`` is the smallest id among the rows reachable over links,
     ``kept`` marks the rows with that id.  A null or empty text, or one without
@@ -242,23 +242,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.select("node", "min_id")
     linked = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(ids, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    found = materialise(linked.join(least, "root").select("node", "component_id"), "components")
-    by_class = materialise(ids.join(found, "node", "left").select("node", F.coalesce("component_id", "min_id").alias("component_id")), "classes")
+    found = materialise(linked.join(least, "root").select("node", "root", "component_id"), "components")
+    by_class = materialise(ids.join(found, "node", "left").select("node", F.coalesce("component_id", "min_id").alias("component_id"), F.coalesce("root", "node").alias("component")), "classes")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = sketched.select("doc_id", "text_key", "n", "node").join(by_class, "node", "left")
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    gone = materialise(gone, "gone")
-    own = [F.col(id_col), F.xxhash64(text_col)]
-    suspect = docs.withColumn("_suspect", may_contain(gone, ["_gone_id", "_gone_key"], own))
-    unseen = suspect.filter(~F.col("_suspect")).select(*docs.columns)
-    seen = suspect.filter("_suspect").withColumn("_key", own[1])
-    same = seen[id_col].eqNullSafe(gone["_gone_id"]) & (seen["_key"] == gone["_gone_key"])
-    return unseen.unionByName(seen.join(gone.hint("merge"), same, "left_anti").select(*docs.columns))
+    """``docs`` with exactly one row of each component, columns as they were.
+
+    It is the row of the smallest id (nulls last), of several such rows that of
+    the smallest text key, and any one of rows equal in both.  Rows without
+    words stay, all of them.  An empty table gives an empty one.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col).filter(F.col("component").isNotNull()).select("doc_id", "text_key", "component"), "members")
+    # A struct's nulls come first, so a flag puts null ids last.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    best = found.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    member = found.join(best, "component")
+    chosen = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key"))
+    by_text = member.groupBy(F.col("doc_id").alias("out_id"), F.col("text_key").alias("out_key")).agg(F.max(chosen).alias("stays"), F.count("*").alias("times"))
+    # Rows that go, and rows of which one is to stay of several.
+    out = materialise(by_text.filter(~F.col("stays") | (F.col("times") > 1)), "gone")
+    own = [docs[id_col], F.xxhash64(docs[text_col])]
+    rows = packed(docs, own_id=own[0], own_key=own[1], suspect=may_contain(out, ["out_id", "out_key"], own))
+    seen = rows.filter("suspect")
+    same = seen["own_id"].eqNullSafe(out["out_id"]) & (seen["own_key"] == out["out_key"])
+    kept = seen.join(out.select("out_id", "out_key").hint("merge"), same, "left_anti").select("row")
+    one_of = seen.join(out.filter("stays").hint("merge"), same).groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row")
+    return unpacked(rows.filter("not suspect").select("row").unionByName(kept).unionByName(one_of), docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:

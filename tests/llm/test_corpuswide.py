@@ -1,7 +1,10 @@
 """Operators that compare or order documents, against plain Python."""
 
+import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import linededup, mixing, neardup, sharding
 
 
@@ -34,10 +37,46 @@ def test_near_duplicates(docs, documents, no_docs):
     got = neardup.report(neardup.near_duplicates(docs)).collect()
     assert Counter(tuple(r) for r in got) == expected
     kept = neardup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(n for (_, _, _, k), n in expected.items() if k)
+    roots = {find(k) for k in range(len(sets)) if sets[k]}
+    left = kept.select("doc_id", "text").collect()
+    assert kept.columns == docs.columns and len(left) == len(roots) + sum(not x for x in sets)
+    assert {find(k) for k, (i, t, *_) in enumerate(documents) if (i, t) in set(left) and sets[k]} == roots
+    for k in roots:  # the smallest id stays
+        ids = [x for x in least[k] if x is not None]
+        assert not ids or min(ids) in {r.doc_id for r in left}
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_family_of_variants(spark):
+    """Variants that share bands without being similar enough, in bands of several blocks, against all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(1500):  # most pairs are near 0.6 to 0.7, some above 0.75
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(60)] = word()
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_line_dedup(docs, documents, no_docs):
     found = linededup.find_repeats(docs)
     rows = {(r.doc_id, r.n_lines): r for r in linededup.report(found).collect()}
@@ -91,6 +130,15 @@ def test_budget_goes_to_siblings_first(spark):
     assert got == {"a": 40.0, "b": 10.0, "c": 50.0, "d": 100.0}
 
 
+def test_weight_of_zero_takes_nothing(spark):
+    rows = [(i, "a b c d", lang, f"s{i % 2}") for i, lang in enumerate(["en", "fr", "de"] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one = F.lit("all")
+    got = mixing.mix(docs, 0.5, 2.0, {"lang": {"fr": 0.0}}, domain=one).collect()
+    assert {r.lang: sum(c.copies for c in got if c.lang == r.lang) for r in got} == {"en": 6, "fr": 0, "de": 6}
+    assert sum(r.copies for r in mixing.mix(docs, 0.5, 2.0, {"lang": dict.fromkeys(["en", "fr", "de"], 0.0)}, domain=one).collect()) == 0
+
+
 def brute_capacity(sizes, k):
     low, high = max(sizes), sum(sizes)
     while low < high:
