@@ -184,19 +184,31 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node reachable over ``edges`` ``(a, b)``, by large-star and small-star rounds."""
+    """``(node, root)``: the smallest node reachable over ``edges`` ``(a, b)``, by large-star and small-star rounds until only stars are left."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = edges.union(edges.select("v", "u"))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # One row per edge at most; repeats go with those of the second half.
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = materialise(large, "star")
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = materialise(small.filter("u <> v").distinct(), "star")
-        if small.count() == edges.count() and not small.exceptAll(edges).take(1):
-            return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = small
+        edges = materialise(small.filter("u <> v").distinct(), "star")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        # A node with two upper ends, or with an upper and a lower one, is in no star.
+        if not ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("downs")).filter("ups > 1 or ups = 1 and downs = 1").count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` ``(node, root)`` after more ``links`` ``(a, b)``: only the components that these touch are compared again."""
+    for side in ("a", "b"):
+        at = roots.select(F.col("node").alias(side), F.col("root").alias("known"))
+        links = links.join(at, side, "left").withColumn(side, F.coalesce("known", side)).drop("known")
+    top = components(links)
+    above = top.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(top)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.take(1):
         extra = materialise(confirm(more, classes, docs), "links")
         if extra.take(1):
-            roots = components(links.unionByName(extra))
+            roots = joined_components(roots, extra)
 
     ids = classes.select("node", "min_id")
     linked = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(ids, "node"), "linked")
