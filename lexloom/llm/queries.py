@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, licenses, linededup, mixing, neardup, perplexity, pii, quality, sharding, tokens
+from lexloom.llm import decontaminate, fim, licenses, linededup, mixing, neardup, perplexity, pii, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and restored."""
+    return fim.report(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
@@ -75,5 +80,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL, "op11_fill_in_middle": fim.SQL}
