@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, fim, licenses, linededup, mixing, neardup, perplexity, pii, quality, sharding, tokens
+from lexloom.llm import decontaminate, fim, licenses, linededup, mixing, neardup, perplexity, pii, prefixtrie, quality, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.report(toxicity.find_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun with turns of its group's first one."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), prefixtrie.Graft())
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
@@ -81,5 +92,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_toxicity": op12_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL, "op11_fill_in_middle": fim.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op5_decontamination": decontaminate.SQL, "op9_near_duplicates": neardup.SQL, "op11_fill_in_middle": fim.SQL, "op13_prefix_trie": prefixtrie.SQL}
