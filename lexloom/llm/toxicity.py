@@ -16,6 +16,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from lexloom.llm.quality import calibrate
 SAMPLE = 4000
 #: Hashed features, for a word itself, the word to its left and the word to its right.
 BUCKETS = 1 << 18
-#: Steps of training, on pieces of at most so many tokens.
-STEPS, PIECE = 40, 128
+#: Steps of training, on pieces of at most so many tokens; the part of a word's features that a step sees, so that unseen words with some of them are known too.
+STEPS, PIECE, SEEN = 40, 128, 0.5
 #: Share of a seed's documents that are toxic, both kinds taken as equally many; share of false seeds that is borne.
 PURITY, FALSE_SEEDS = 0.98, 0.02
 #: Length of the word beginnings that may be seeds.
@@ -49,13 +50,25 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+class _Numbers(dict):
+    """Words in the order in which they were first seen."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, found: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+
+
 def features(word: str) -> list[int]:
-    """Buckets of a word: itself, its beginnings and endings, its shape."""
+    """Buckets of a word: its shape and length, itself, its beginnings and endings (of so many bytes)."""
     low = word.lower()
-    n = len(low)
-    shape = "upper" if word.isupper() and n > 1 else "title" if word[:1].isupper() else "lower"
-    found = [f"w {low}", f"k {shape}", f"n {min(n, 12)}", *[f"p {low[:k]}" for k in range(2, 8) if k < n], *[f"s {low[-k:]}" for k in range(2, 5) if k < n]]
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
+    b = low.encode("utf-8", "surrogatepass")
+    n, crc = len(b), zlib.crc32
+    shape = 0 if word == low else 1 if word[1:] == low[1:] else 2
+    found = [crc(b, 1), *[crc(b[:k], 2) for k in range(2, min(8, n))], *[crc(b[-k:], 3) for k in range(2, min(5, n))]]
+    return [shape, 3 + min(n, 12), *[16 + h % (BUCKETS - 16) for h in found]]
 
 
 def ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +131,16 @@ class Emissions:
 
     def __init__(self, model: Field) -> None:
         self.model = model
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.of = np.zeros((3, 0))
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Emission of every token and the number of tokens of every text."""
         if len(self.number) > CACHE_SIZE:
-            self.number, self.of = {}, np.zeros((3, 0))
+            self.number, self.of = _Numbers(), np.zeros((3, 0))
         number, found = self.number, [words_of(t) if t else [] for t in texts]
         known = len(number)
-        codes = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
+        codes = number.of(found)
         if len(number) > known:
             fresh = [features(w) for w in list(number)[known:]]
             sizes = np.array([len(f) for f in fresh])
@@ -196,15 +209,15 @@ def is_seed(word: str, chosen: set[str]) -> bool:
     return low in chosen or any(f"{low[:k]}*" in chosen for k in BEGINNINGS if k < len(low))
 
 
-def train(texts: list[str], toxic: np.ndarray, rate: float = 0.2, decay: float = 1e-6) -> Field:
+def train(texts: list[str], toxic: np.ndarray, rate: float = 0.4, decay: float = 1e-6, seed: int = 7) -> Field:
     """Tags by :func:`seeds`; then the likelihood of the tags is raised by adaptive steps over all pieces."""
     model = Field()
     found = [words_of(t) for t in texts]
     chosen = seeds(found, toxic)
     if not chosen:
         return model
-    number: dict[str, int] = {}
-    codes = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
+    number = _Numbers()
+    codes = number.of(found)
     seed_word = np.array([is_seed(w, chosen) for w in number], bool)
     truth = (seed_word[codes] & np.repeat(toxic, [len(w) for w in found])).astype(float)
     sizes = np.array([n for words in found for n in [PIECE] * (len(words) // PIECE) + [len(words) % PIECE] if n], np.int64)
@@ -218,9 +231,10 @@ def train(texts: list[str], toxic: np.ndarray, rate: float = 0.2, decay: float =
     truth_step = np.bincount((truth[:-1] * 2 + truth[1:]).astype(int)[inside[1:]], minlength=4).reshape(2, 2)
     speed = np.zeros_like(model.weights)
     small = np.zeros(6)
-    n = len(codes)
+    n, rng = len(codes), np.random.default_rng(seed)
     for _ in range(STEPS):
-        of = np.add.reduceat(model.weights[:, flat], word_starts, 1)
+        seen = rng.random(len(flat)) < SEEN
+        of = np.add.reduceat(model.weights[:, flat] * seen, word_starts, 1)
         odds = np.empty(n)
         odds[to] = np.exp(np.clip(_joined(of, codes, sizes) + model.bias, -30, 30))
         move = np.exp(model.moves)
@@ -233,7 +247,7 @@ def train(texts: list[str], toxic: np.ndarray, rate: float = 0.2, decay: float =
         left, right = error[1:] * inside[1:], error[:-1] * inside[1:]
         per_word = [np.bincount(codes, error, len(number)), np.bincount(codes[:-1], left, len(number)), np.bincount(codes[1:], right, len(number))]
         for role in range(3):
-            g = np.bincount(flat, np.repeat(per_word[role], counts), BUCKETS) + decay * n * model.weights[role]
+            g = np.bincount(flat, np.repeat(per_word[role], counts) * seen, BUCKETS) + decay * n * model.weights[role]
             speed[role] += g * g
             model.weights[role] -= rate * g / (np.sqrt(speed[role]) + 1e-3)
         g = np.array([error.sum(), error[firsts].sum(), *(steps - truth_step).ravel()])
@@ -255,7 +269,10 @@ def _gathered(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """Train on at most ``sample`` labelled rows outside the held-out fold, half of them toxic; every fifth calibrates the score.
+    """Train on at most ``sample`` labelled rows outside the held-out fold, half of them toxic.
+
+    The field learns from four fifths of them, the score is calibrated on all:
+    a small table has too few toxic rows for a fold of their own.
 
     Rows without text, id or label are left out.  Of several labels of one id
     the largest counts, of several texts the first in order.  The score leans
@@ -274,11 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     share = (have.get(True, 0) + 1) / (sum(have.values()) + 2)
     prior = float(np.log(share / (1 - share)))
     aside = np.arange(len(got)) % 5 == 4
-    pick = lambda kind: [t for t, a in zip(texts, aside) if a == kind]
-    model = train(pick(False), toxic[~aside])
-    if model.weights.any() and aside.any():
-        model.slope, model.offset = calibrate(np.log(gather(model, pick(True)) + FLOOR), toxic[aside].astype(float))
-        in_sample = (toxic[aside].sum() + 1) / (aside.sum() + 2)
+    model = train([t for t, a in zip(texts, aside) if not a], toxic[~aside])
+    if model.weights.any():
+        model.slope, model.offset = calibrate(np.log(gather(model, texts) + FLOOR), toxic.astype(float))
+        in_sample = (toxic.sum() + 1) / (len(toxic) + 2)
         model.offset += prior - float(np.log(in_sample / (1 - in_sample)))
     else:
         model.offset = prior
