@@ -58,14 +58,17 @@ def of_triplets(asked: DataFrame, graph: DataFrame, annotations: DataFrame) -> D
     return out.select("subject", "relation", "target", F.coalesce("annotations", F.array().cast(annotations.schema["annotations"].dataType)).alias("annotations"), F.col("rel_id").isNotNull().alias("found"))
 
 
-def by_index(triplets: DataFrame, raw: DataFrame) -> DataFrame:
+def by_index(triplets: DataFrame, raw: DataFrame, within: list[str] | None = None) -> DataFrame:
     """``triplets`` (with ``index``) with the raw proposals ``(at, index, category, justification)`` of their index.
 
-    The last of several proposals counts, an index without a triplet is left
-    out, and a triplet without a proposal keeps a null category.
+    Indices count inside the list that was asked about, which the columns
+    ``within`` name if there are several.  The last of several proposals
+    counts, an index without a triplet is left out, and a triplet without a
+    proposal keeps a null category.
     """
-    last = raw.groupBy("index").agg(F.max_by(F.struct("category", "justification"), "at").alias("x"))
-    said = triplets.join(last, "index", "left")
+    key = [*(within or []), "index"]
+    last = raw.groupBy(*key).agg(F.max_by(F.struct("category", "justification"), "at").alias("x"))
+    said = triplets.join(last, key, "left")
     return said.select(*triplets.columns, category("x.category").alias("category"), F.trim(F.coalesce("x.justification", F.lit(""))).alias("justification"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import norm
+from lexloom.sources.keyed import KEPT
 from lexloom.sources.storage import store
 
 STEP = "struct<source:string,relation:string,target:string,w:double,note:string>"
@@ -45,14 +46,19 @@ class RuleGraph:
 
     @classmethod
     def stored(cls, graph: DataFrame, top_k: int = schema.TOP_K) -> RuleGraph:
-        """With the shared views written once; what a cascade, which reads them in every schema, should use."""
-        out = cls(store(graph, "graph"), top_k)
-        out.edges = store(out.edges, "edges")
-        out.probe = store(out.probe, "probe")
-        out.best = store(out.best, "best")
-        out.generic = store(out.generic, "generic")
+        """With the shared views written once for all who ask for those of the same graph; what a cascade, which reads them in every schema, should use."""
+        keep = KEPT.of
+        out = cls(keep(graph, "graph"), top_k)
+        out.edges = keep(out.edges, "edges")
+        out.probe = keep(out.probe, "probe")
+        out.best = keep(out.best, "best")
+        out.generic = keep(out.generic, "generic")
         return out
 
+    def release(self) -> int:
+        """Delete the stored views; how many there were."""
+        return sum(KEPT.release(view) for view in (self.generic, self.best, self.probe, self.edges, self.graph))
+
     @cached_property
     def edges(self) -> DataFrame:
         return self.graph.select("id", norm("src").alias("a"), "rel", norm("tgt").alias("b"), norm("tgt_decoded").alias("b2"), "tgt", F.col("tgt_decoded").alias("shown"), "w")

@@ -137,11 +137,13 @@ def _nodes_of(graph: DataFrame, nodes: DataFrame, relation: str, least: float, l
     return named.select(F.col("src").alias("source"), F.col("tgt").alias("target"), "node_w", turn.alias("turn"))
 
 
-def existing_for_enrichment(graph: DataFrame, pairs: DataFrame, limit: int = 500) -> DataFrame:
-    """Every triplet of each asked ``(term, relation)``, negative ones too, up to ``limit`` of the strongest, with the folded name to avoid."""
+def existing_for_enrichment(graph: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every triplet of each asked ``(term, relation)``, negative ones too, strongest first (all, or ``limit`` of them), with the folded name to avoid."""
     asked = pairs.select(F.col("term").alias("src"), F.col("relation").alias("rel")).distinct()
     turn = F.row_number().over(Window.partitionBy("src", "rel").orderBy(F.abs("w").desc(), "id"))
-    kept = graph.join(asked, ["src", "rel"], "left_semi").filter(F.col("tgt_type") != schema.CHUNK_TYPE).withColumn("turn", turn).filter(F.col("turn") <= limit)
+    kept = graph.join(asked, ["src", "rel"], "left_semi").filter(F.col("tgt_type") != schema.CHUNK_TYPE).withColumn("turn", turn)
+    if limit is not None:
+        kept = kept.filter(F.col("turn") <= limit)
     return kept.select(F.col("src").alias("term"), F.col("rel").alias("relation"), F.col("tgt_decoded").alias("target"), "w", polarity("w").alias("polarity"), fold_accents("tgt_decoded").alias("excluded"), "turn")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,14 +39,49 @@ def nodes_by_id(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(asked.select("id").distinct(), "id", "left_semi")
 
 
-def list_senses(nodes: DataFrame, graph: DataFrame, limit: int = 30) -> DataFrame:
-    """``(term, sense_id, sense, decoded, path, weight, turn)``: the ``limit`` strongest senses of every term."""
+def list_senses(nodes: DataFrame, graph: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(term, sense_id, sense, decoded, path, weight, turn)``: all senses of every term, strongest first, or its ``limit`` strongest."""
     term = F.substring_index("name", ">", 1)
     links = graph.filter("rel = 'r_raff_sem'").groupBy(F.col("src").alias("term"), F.col("tgt").alias("name")).agg(F.max("w").alias("link"))
     found = decode_names(nodes, always=True).withColumn("term", term).join(nodes.select("id", F.col("w").alias("own")), "id").join(links, ["term", "name"], "left")
     weight = F.coalesce("link", "own")
     turn = F.row_number().over(Window.partitionBy("term").orderBy(weight.desc(), "id"))
-    return found.select("term", F.col("id").alias("sense_id"), F.col("name").alias("sense"), "decoded", "path", weight.alias("weight"), turn.alias("turn")).filter(F.col("turn") <= limit)
+    listed = found.select("term", F.col("id").alias("sense_id"), F.col("name").alias("sense"), "decoded", "path", weight.alias("weight"), turn.alias("turn"))
+    return listed if limit is None else listed.filter(F.col("turn") <= limit)
+
+
+#: Longest piece of a text by which it is found.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """All distinct pieces of a text of up to :data:`GRAM` characters."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in range(1, GRAM + 1)]), lambda n: F.substr(text, i, n)))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def _key_grams(text: Column) -> Column:
+    """The pieces of full length (or the text itself if it is shorter) of a text: whatever holds the text holds each of them."""
+    whole = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(whole, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Distinct ``(group, needle, hay)``: the texts ``needle`` that a text ``hay`` of the same ``group`` contains.
+
+    A needle is sent to the rarest of its pieces only, a hay to all of its own,
+    so pairs without a common piece never meet; what meets is compared.  Empty
+    needles are in every hay and must not be asked.
+    """
+    needles, hays = needles.select("group", "needle").distinct(), hays.select("group", "hay").distinct()
+    held = hays.select("group", "hay", F.explode(_grams(F.col("hay"))).alias("gram"))
+    asked = needles.select("group", "needle", F.explode(_key_grams(F.col("needle"))).alias("gram"))
+    # A needle with a piece that no hay of its group holds is in none of them.
+    often = held.groupBy("group", "gram").agg(F.count("*").alias("n"))
+    counted = asked.join(often, ["group", "gram"], "left").groupBy("group", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
+    rarest = counted.filter("x.n > 0").select("group", "needle", "x.gram")
+    return rarest.join(held, ["group", "gram"]).filter(F.contains("hay", F.col("needle"))).select("group", "needle", "hay")
 
 
 def resolve_senses(terms: DataFrame, senses: DataFrame) -> DataFrame:
@@ -55,15 +90,24 @@ def resolve_senses(terms: DataFrame, senses: DataFrame) -> DataFrame:
     A term without hints, or with numeric ones only, is its own name.  A hint
     matches if it contains, or is contained in, a part of the path, or is
     contained in the decoded name; the earliest listed of the best senses wins.
+    Hints find their senses by the pieces of their texts, so a term may have
+    any number of senses.
     """
     hints = F.filter(F.transform(F.split("soft", ">"), lambda x: F.lower(F.trim(x))), lambda x, i: (i > 0) & (x != ""))
-    asked = terms.select("soft", F.trim(F.substring_index("soft", ">", 1)).alias("term"), hints.alias("hints"))
+    asked = terms.select("soft", F.trim(F.substring_index("soft", ">", 1)).alias("term"), hints.alias("hints")).distinct()
     direct = asked.filter(F.forall("hints", lambda h: h.rlike("^[0-9]+$"))).select("soft", F.when(F.size("hints") == 0, F.col("term")).otherwise(F.col("soft")).alias("name"))
-    matches = lambda h: F.exists("path", lambda p: F.contains(F.lower(p), h) | F.contains(h, F.lower(p))) | F.contains(F.lower("decoded"), h)
-    scored = asked.join(senses, "term").withColumn("score", F.size(F.filter("hints", matches))).filter("score > 0")
+    open_ = asked.join(direct.select("soft"), "soft", "left_anti")
+    hinted = open_.select("soft", F.col("term").alias("group"), F.posexplode("hints").alias("at", "hint"))
+    known = senses.select(F.col("term").alias("group"), "sense", "turn", "sense_id", F.lower("decoded").alias("shown"), F.explode(F.transform("path", lambda p: F.lower(p))).alias("part"))
+    each = hinted.select("group", F.col("hint")).distinct()
+    # The decoded name holds every part of the path: a hint inside a part is inside the name too.
+    inside = contained_pairs(each.withColumnRenamed("hint", "needle"), known.select("group", F.col("shown").alias("hay"))).select("group", F.col("needle").alias("hint"), F.col("hay").alias("shown"))
+    around = contained_pairs(known.filter("part <> ''").select("group", F.col("part").alias("needle")), each.withColumnRenamed("hint", "hay")).select("group", F.col("hay").alias("hint"), F.col("needle").alias("part"))
+    columns = ["group", "hint", "sense", "turn", "sense_id"]
+    met = inside.join(known, ["group", "shown"]).select(columns).union(around.join(known, ["group", "part"]).select(columns)).distinct()
+    scored = hinted.join(met, ["group", "hint"]).groupBy("soft", "sense", "turn", "sense_id").agg(F.count("*").alias("score"))
     best = scored.groupBy("soft").agg(F.min_by("sense", F.struct(-F.col("score"), "turn", "sense_id")).alias("name"))
-    rest = asked.select("soft").distinct().join(direct.select("soft").distinct(), "soft", "left_anti").join(best, "soft", "left")
-    return direct.distinct().unionByName(rest.select("soft", "name"))
+    return direct.unionByName(open_.select("soft").join(best, "soft", "left"))
 
 
 def contaminated_senses(senses: DataFrame, graph: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import norm, whole
+from lexloom.operators.budget import infer_within
 from lexloom.operators.inference import CLAIM, STEP, RuleGraph, explanation, infer, keyed
 from lexloom.operators.senses import resolve_senses
 
@@ -40,7 +41,7 @@ def indicative(graph: RuleGraph, claims: DataFrame, limit: int = 5) -> DataFrame
     return top.groupBy("s", "relation").agg(F.count("*").alias("n"), shown.alias("evidence")).filter(F.col("n") >= limit).drop("n")
 
 
-def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool = False, relations: list[str] | None = None, annotations: DataFrame | None = None, senses: DataFrame | None = None, network: str = "Le réseau") -> DataFrame:
+def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool = False, relations: list[str] | None = None, annotations: DataFrame | None = None, senses: DataFrame | None = None, network: str = "Le réseau", budget: int | None = None) -> DataFrame:
     """``claims`` with ``status``, ``confidence``, ``schema``, ``weight``, ``proof``, ``evidence`` and ``explanation``.
 
     ``claims`` has subject, relation, object and a boolean ``polarity`` (null:
@@ -48,7 +49,8 @@ def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool =
     rules speak before the direct triplet.  ``relations`` are the known ones.
     With ``senses`` soft references are resolved first; with ``annotations``
     (rel_id, annotations) a direct triplet's are named.  Explanations call the
-    graph ``network``.
+    graph ``network``.  With a ``budget`` the rules are silent about a claim
+    that needs more look-ups.
     """
     if senses is not None:
         claims = resolve_claims(claims, senses)
@@ -60,7 +62,8 @@ def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool =
     else:
         rows = rows.withColumn("annotations", F.lit(None).cast("array<struct<kind:string,value:string,w:double>>"))
     if effort >= 1:
-        answers = infer(graph, claims.select(*CLAIM).distinct(), effort)
+        asked = claims.select(*CLAIM).distinct()
+        answers = infer(graph, asked, effort) if budget is None else infer_within(graph, asked, budget, effort, relations)
         answers = answers.select(*CLAIM, "schema", F.col("weight").alias("inferred"), F.col("confidence").alias("sure"), "proof", explanation(answers).alias("said"))
         rows = rows.join(answers, CLAIM, "left")
     else:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom import schema
-from lexloom.operators import annotations, enrich, inference, lookup, senses, stats, subgraph, verify
+from lexloom.operators import annotations, budget, enrich, inference, lookup, senses, stats, subgraph, verify
 from lexloom.operators.inference import RuleGraph
-from lexloom.plans import more_oracles, oracles
+from lexloom.plans import budget_oracle, more_oracles, oracles
 from lexloom.sources import derived, relation_docs, text_files
 from lexloom.sources.graph import triplets
 from lexloom.sources.storage import store
@@ -170,6 +170,14 @@ def cascade_effort2(spark, sf_dir):
     return _flat(inference.infer(RuleGraph.stored(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2))
 
 
+@query
+def budgeted_inference(spark, sf_dir):
+    """The cascade within budgets of 1, 5 and 20 look-ups."""
+    found = store(budget.infer_with_costs(RuleGraph.stored(derived.graph(spark, sf_dir)), derived.claims(spark, sf_dir), 2, oracles.RELATIONS), "costs")
+    parts = [budget.within(found, b).withColumn("budget", F.lit(b).cast("long")) for b in budget_oracle.BUDGETS]
+    return reduce(DataFrame.unionByName, parts).select("subject", "relation", "object", "budget", "schema", "weight", "lookups_used")
+
+
 @query
 def explanations(spark, sf_dir):
     """The answers in words."""
@@ -512,4 +520,4 @@ def verify_soft_senses(spark, sf_dir):
     return found.select("subject", "relation", "object", "status", "weight", "explanation")
 
 
-ORACLES = oracles.build() | more_oracles.build()
+ORACLES = oracles.build() | more_oracles.build() | budget_oracle.build()
