@@ -60,7 +60,7 @@ def test_seeds_are_the_insults_only():
 
 
 def test_unseen_forms_and_spans(spark):
-    texts, toxic = make(random.Random(2), INSULTS, 500)
+    texts, toxic = make(random.Random(2), INSULTS, 1200)
     rows = [(i, t, int(b)) for i, (t, b) in enumerate(zip(texts, toxic.tolist()))]
     docs = spark.createDataFrame([(i, t, "a", "b") for i, t, _ in rows], "doc_id long, text string, score string, spans string")
     labels = spark.createDataFrame([(i, b) for i, _, b in rows] + [(3, None), (None, 1), (99999, 1)], "doc_id long, toxic int")
@@ -73,7 +73,7 @@ def test_unseen_forms_and_spans(spark):
     assert got[3]["score"] == got[4]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
     report = toxicity.report(toxicity.find_toxic(docs, model)).collect()
     held = [r for r in report if r["held_out"]]
-    assert {r["doc_id"] for r in held} == {i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert {r["doc_id"] for r in held} == {i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert np.mean([r["predicted"] == rows[r["doc_id"]][2] for r in held]) >= 0.97
 
 
