@@ -14,6 +14,7 @@ from lexloom.operators.inference import RuleGraph
 from lexloom.plans import budget_oracle, more_oracles, oracles
 from lexloom.sources import derived, relation_docs, text_files
 from lexloom.sources.graph import triplets
+from lexloom.sources.keyed import KEPT
 from lexloom.sources.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,11 @@ def query(f: Query) -> Query:
     return f
 
 
-def _types(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS id, name, 'help of ' || name AS help FROM (VALUES {', '.join(f"('{r}')" for r in oracles.RELATIONS)}) AS t(name)")
+def _types(spark, sf_dir) -> DataFrame:
+    """The relation types that the derived graph uses, numbered by name."""
+    used = derived.graph(spark, sf_dir).groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("n"))
+    number = F.row_number().over(Window.orderBy("name"))  # as many rows as there are relations
+    return used.select(number.cast("int").alias("id"), "name", F.concat(F.lit("used "), F.col("n").cast("string"), F.lit(" times")).alias("help"))
 
 
 def _public(df: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def polarity_split(spark, sf_dir):
 
 @query
 def relation_prefix(spark, sf_dir):
-    return lookup.relation_list(_types(spark), "r_has")
+    return lookup.relation_list(_types(spark, sf_dir), "r_has")
 
 
 @query
@@ -244,58 +248,56 @@ def submission_lines(spark, sf_dir):
     return enrich.submission_lines(_consolidated(spark, sf_dir))
 
 
-def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, name, CAST(type AS INT) AS type, CAST(w AS DOUBLE) AS w FROM (VALUES {oracles.FIXTURE_NODES}) AS t(id, name, type, w)")
-    edges = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(node1 AS BIGINT) AS node1, CAST(node2 AS BIGINT) AS node2, CAST(type AS INT) AS type, CAST(w AS DOUBLE) AS w FROM (VALUES {oracles.FIXTURE_EDGES}) AS t(id, node1, node2, type, w)")
-    types = spark.sql(f"SELECT CAST(id AS INT) AS id, name, name AS help FROM (VALUES {oracles.FIXTURE_TYPES}) AS t(id, name)")
-    return nodes, edges, types
+def _senses(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and triplets of the graph with senses."""
+    nodes, edges, types = derived.sense_graph(spark, sf_dir)
+    nodes, edges = KEPT.of(nodes, "nodes"), KEPT.of(edges, "edges")
+    return nodes, edges, KEPT.of(triplets(nodes, edges, types), "triplets")
 
 
 @query
 def decode_names(spark, sf_dir):
-    found = senses.decode_names(_fixture(spark)[0])
+    found = senses.decode_names(_senses(spark, sf_dir)[0])
     return found.select("id", "name", "decoded", F.array_join("path", "/").alias("path"))
 
 
 @query
 def disambiguate(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    return senses.list_senses(nodes, triplets(nodes, edges, types)).select("term", "sense_id", "decoded", "weight", F.col("turn").cast("long").alias("turn"))
+    """All senses of all terms, strongest first."""
+    nodes, _, g = _senses(spark, sf_dir)
+    return senses.list_senses(nodes, g).select("term", "sense_id", "decoded", "weight", F.col("turn").cast("long").alias("turn"))
 
 
 @query
 def resolve_soft_sense(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    asked = spark.sql(f"SELECT soft FROM (VALUES {oracles.FIXTURE_SOFT}) AS t(soft)")
-    return senses.resolve_senses(asked, senses.list_senses(nodes, triplets(nodes, edges, types)))
+    nodes, _, g = _senses(spark, sf_dir)
+    return senses.resolve_senses(derived.soft_names(spark, sf_dir), store(senses.list_senses(nodes, g), "senses"))
 
 
 @query
 def annotations_for_edges(spark, sf_dir):
-    nodes, edges, _ = _fixture(spark)
-    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, a.w.cast("long").cast("string")))
+    nodes, edges, _ = _senses(spark, sf_dir)
+    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, F.bround(a.w, 0).cast("long").cast("string")))
     return annotations.edge_annotations(nodes, edges).select("rel_id", F.array_join(shown, ",").alias("annotations"))
 
 
 @query
 def annotation_disagreement(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    top = annotations.annotable(triplets(nodes, edges, types), annotations.edge_annotations(nodes, edges))
-    proposed = top.withColumn("category", F.when(F.col("w") > 50, F.lit("Non specifique")).otherwise(F.lit("exception")))
+    nodes, edges, g = _senses(spark, sf_dir)
+    top = annotations.annotable(g, annotations.edge_annotations(nodes, edges))
+    proposed = top.withColumn("category", F.when(F.col("w") > 20, F.lit("Non specifique")).otherwise(F.lit("exception")))
     return annotations.disagreements(proposed).select("id", "subject", "relation", "target", "existing", "category", "disagrees")
 
 
 @query
 def sense_contamination(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    g = triplets(nodes, edges, types)
+    nodes, _, g = _senses(spark, sf_dir)
     return senses.contaminated_senses(senses.list_senses(nodes, g), g)
 
 
 @query
 def duplicate_sense_signal(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    g = triplets(nodes, edges, types)
+    nodes, _, g = _senses(spark, sf_dir)
     return senses.shared_by_senses(senses.list_senses(nodes, g), g)
 
 
@@ -332,14 +334,16 @@ def subgraph_visible(spark, sf_dir):
     return subgraph.visible(nodes, edges).select("root", "label")
 
 
-def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([("doc", i, x) for i, x in enumerate(text.split("\n"))], "doc string, pos int, line string")
-
-
 @query
 def relation_docs_parsed(spark, sf_dir):
-    found = relation_docs.parse_relation_docs(_lines(spark, oracles.DOCS))
-    return relation_docs.doc_text(found)
+    """Documents about all relations, written from the graph and parsed again."""
+    g = derived.graph(spark, sf_dir)
+    top = g.withColumn("turn", F.row_number().over(Window.partitionBy("rel").orderBy(F.abs("w").desc(), "id"))).filter("turn <= 5")
+    examples = top.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" | ", F.concat(F.lit("* "), "src"), "rel", "tgt").alias("line")))).alias("shown"))
+    text = g.groupBy("rel").agg(F.count("*").alias("n")).join(examples, "rel")
+    head = [F.lit("before"), F.concat(F.lit("### About "), "rel", F.lit(" (`"), "rel", F.lit("`)")), F.concat(F.lit("It has "), F.col("n").cast("string"), F.lit(" triplets.")), F.lit("")]
+    lines = F.concat(F.array(*head), F.transform("shown", lambda x: x.line), F.array(F.lit("# Other"), F.lit("* a | r_x | b")))
+    return relation_docs.doc_text(relation_docs.parse_relation_docs(text.select(F.col("rel").alias("doc"), F.posexplode(lines).alias("pos", "line"))))
 
 
 @query
@@ -454,69 +458,72 @@ def gaps_of_usual_relations(spark, sf_dir):
 
 @query
 def lookup_term(spark, sf_dir):
-    nodes = _fixture(spark)[0]
-    asked = nodes.select(F.col("name").alias("term")).union(spark.sql("SELECT 'inconnu' AS term"))
+    """All nodes by their names, and a name without a node for each customer."""
+    nodes = _senses(spark, sf_dir)[0]
+    asked = nodes.select(F.col("name").alias("term")).union(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("no "), "c_name")))
     return senses.lookup_terms(asked, nodes).select("term", "id", "decoded", F.col("type").cast("long").alias("type"), "weight", F.col("error").isNotNull().alias("unknown"))
 
 
 @query
 def node_by_id(spark, sf_dir):
-    return senses.nodes_by_id(spark.sql("SELECT id FROM VALUES (2L), (66699L), (5555L) AS t(id)"), _fixture(spark)[0]).select("id", "name", "w")
+    """The nodes at either end of all refinements."""
+    nodes, _, g = _senses(spark, sf_dir)
+    return senses.nodes_by_id(g.filter("rel = 'r_raff_sem'").select(F.col("tgt_id").alias("id")), nodes).select("id", "name", "w")
 
 
 @query
 def lookup_target_id(spark, sf_dir):
     """The strongest triplets of a graph with senses and chunks, with the ids of targets that are senses."""
-    return _public(lookup.top_edges(triplets(*_fixture(spark)), 3))
+    return _public(lookup.top_edges(_senses(spark, sf_dir)[2], 3))
 
 
 @query
 def triplet_annotations(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    g = triplets(nodes, edges, types)
-    asked = g.select(F.col("src").alias("subject"), F.col("rel").alias("relation"), F.upper("tgt_decoded").alias("target")).union(spark.sql("SELECT 'avocat', 'r_isa', 'rien'"))
+    """Annotations of all triplets, asked by their readable names in capitals, and of some that do not exist."""
+    nodes, edges, g = _senses(spark, sf_dir)
+    asked = g.select(F.col("src").alias("subject"), F.col("rel").alias("relation"), F.upper("tgt_decoded").alias("target"))
+    asked = asked.union(g.filter("rel = 'r_isa'").select("src", F.lit("r_isa"), F.lit("rien")))
     found = annotations.of_triplets(asked, g, annotations.edge_annotations(nodes, edges))
-    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, a.w.cast("long").cast("string")))
+    shown = F.transform("annotations", lambda a: F.concat_ws(":", a.kind, a.value, F.bround(a.w, 0).cast("long").cast("string")))
     return found.select("subject", "relation", "target", F.array_join(shown, ",").alias("annotations"), "found")
 
 
 @query
 def explore_annotated(spark, sf_dir):
-    nodes, edges, types = _fixture(spark)
-    return _public(lookup.explore(triplets(nodes, edges, types), "r_has_part", None, 5, annotations.edge_annotations(nodes, edges)))
+    nodes, edges, g = _senses(spark, sf_dir)
+    return _public(lookup.explore(g, "r_isa", None, 5, annotations.edge_annotations(nodes, edges)))
 
 
-def _proposals(spark: SparkSession) -> DataFrame:
-    nodes, edges, types = _fixture(spark)
-    top = annotations.annotable(triplets(nodes, edges, types), annotations.edge_annotations(nodes, edges))
-    listed = top.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).cast("int"))  # a literal table of a few rows
-    raw = spark.sql(f"SELECT * FROM (VALUES {more_oracles.FIXTURE_RAW}) AS t(at, index, category, justification)")
-    return annotations.by_index(listed, raw)
+def _proposals(spark, sf_dir) -> DataFrame:
+    """Proposals for the annotable triplets of every subject, as they come from a list of its own."""
+    nodes, edges, g = _senses(spark, sf_dir)
+    top = annotations.annotable(g, annotations.edge_annotations(nodes, edges))
+    listed = store(top.withColumn("index", F.row_number().over(Window.partitionBy("subject").orderBy("id"))), "listed")
+    return annotations.by_index(listed, spark.sql(more_oracles.RAW_PROPOSALS.format(listed="{listed}"), listed=listed), ["subject"])
 
 
 @query
 def proposals_by_index(spark, sf_dir):
-    return _proposals(spark).select("id", "subject", "relation", "target", "existing", "category", "justification")
+    return _proposals(spark, sf_dir).select("id", "subject", "relation", "target", "existing", "category", "justification")
 
 
 @query
 def annotation_file(spark, sf_dir):
-    found = annotations.annotation_file(_proposals(spark), "graphe")
+    found = annotations.annotation_file(_proposals(spark, sf_dir), "graphe")
     return found.select(F.col("place.part").cast("long").alias("part"), F.col("place.at").cast("long").alias("spot"), "line")
 
 
 @query
 def annotation_file_counts(spark, sf_dir):
-    return annotations.file_counts(_proposals(spark))
+    return annotations.file_counts(_proposals(spark, sf_dir))
 
 
 @query
 def verify_soft_senses(spark, sf_dir):
     """Claims about senses by their readable names."""
-    nodes, edges, types = _fixture(spark)
-    g = triplets(nodes, edges, types)
-    claims = spark.sql(f"SELECT subject, relation, object, true AS polarity FROM (VALUES {more_oracles.FIXTURE_CLAIMS}) AS t(subject, relation, object)")
-    found = verify.verify(RuleGraph.stored(g), claims, 0, senses=senses.list_senses(nodes, g), annotations=annotations.edge_annotations(nodes, edges), network="Le graphe")
+    nodes, edges, g = _senses(spark, sf_dir)
+    claims = derived.soft_claims(spark, sf_dir).withColumn("polarity", F.lit(True))
+    found = verify.verify(RuleGraph.stored(g), claims, 0, senses=store(senses.list_senses(nodes, g), "senses"), annotations=annotations.edge_annotations(nodes, edges), network="Le graphe")
     return found.select("subject", "relation", "object", "status", "weight", "explanation")
 
 

@@ -6,10 +6,14 @@ from lexloom import schema
 from lexloom.operators.inference import CASCADE
 from lexloom.operators.lookup import NAMED
 from lexloom.plans import oracles as o
+from lexloom.sources import derived
 
-#: Proposals as they arrive: order, index of the triplet, category, justification.
-FIXTURE_RAW = "(1, 1, 'constitutif', 'une  partie'), (2, 1, 'Contrastif', 'plutôt  ceci '), (3, 2, 'exception', 'rare'), (4, 3, 'nonsense', 'x'), (5, 4, 'non_specifique', 'a|b'), (6, 99, 'exception', 'none')"
-FIXTURE_CLAIMS = "('avocat>juriste', 'r_has_part', 'robe'), ('avocat', 'r_has_part', 'noyau'), ('souris>informatique', 'r_carac', 'petit'), ('souris>14', 'r_carac', 'grand'), ('avocat', 'r_has_part', 'robe')"
+#: Proposals as they arrive for the listed triplets of each subject: order, index, category, justification. Some indices do not exist.
+RAW_PROPOSALS = """
+SELECT subject, 1 AS at, index, CASE WHEN w > 45 THEN 'constitutif' WHEN w > 10 THEN 'non_specifique' WHEN w > 5 THEN 'nonsense' ELSE 'exception' END AS category, 'une  partie | de ' || target AS justification FROM {listed}
+UNION ALL SELECT subject, 2, index, 'Contrastif', ' plutôt  ceci ' FROM {listed} WHERE index % 3 = 0
+UNION ALL SELECT subject, 3, index + 100, 'exception', 'none' FROM {listed}
+"""
 
 
 def _whole(w: str) -> str:
@@ -46,7 +50,7 @@ SELECT a.root, a.label FROM able a LEFT JOIN linked l USING (root, label) WHERE
 ends AS (SELECT a, b, CASE WHEN a NOT IN {known} THEN a WHEN b NOT IN {known} THEN b END AS missing FROM asked)
 SELECT src AS source, rel AS relation, tgt AS target, w, row_number() OVER (PARTITION BY src, tgt ORDER BY w DESC, id) AS turn, CAST(NULL AS VARCHAR) AS missing FROM e SEMI JOIN ends ON src = a AND tgt = b AND missing IS NULL
 UNION ALL SELECT a, NULL, b, NULL, 1, missing FROM ends WHERE missing IS NOT NULL""",
-        "existing_for_enrichment": f"{c}, asked AS (SELECT DISTINCT subject, relation FROM claims) SELECT src AS term, rel AS relation, tgt AS target, w, {o._SIGN}, lower(trim(tgt)) AS excluded, turn FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM e) SEMI JOIN asked ON src = subject AND rel = relation WHERE turn <= 500",
+        "existing_for_enrichment": f"{c}, asked AS (SELECT DISTINCT subject, relation FROM claims) SELECT src AS term, rel AS relation, tgt AS target, w, {o._SIGN}, lower(trim(tgt)) AS excluded, turn FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM e) SEMI JOIN asked ON src = subject AND rel = relation",
         "gap_details": f"""WITH {o._graph()}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50),
 found AS (SELECT t.term, r.relation, count(*) FILTER (WHERE k.w > 0) AS p, count(*) FILTER (WHERE k.w < 0) AS n FROM (SELECT DISTINCT src AS term FROM e) t CROSS JOIN (VALUES ('r_carac'), ('r_lieu'), ('r_make')) AS r(relation) LEFT JOIN k ON k.src = t.term AND k.rel = r.relation GROUP BY ALL),
 worst AS (SELECT src, rel, string_agg(tgt || ' (w=' || {_whole("w")} || ')', '; ' ORDER BY turn) AS line FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY w, id) AS turn FROM e WHERE w < 0) WHERE turn <= 3 GROUP BY ALL)
@@ -75,29 +79,28 @@ LEFT JOIN (SELECT a, rel, count(*) AS n FROM n GROUP BY ALL) h ON h.a = c.s AND
     }
 
 
-def on_fixture() -> dict[str, str]:
-    fx = f"WITH {o._fixture()}"
-    value = "value || ' (w=' || CAST(CAST(w AS BIGINT) AS VARCHAR) || ')'"
-    said = f"said AS (SELECT rel_id, string_agg(kind || ':' || value || ':' || CAST(CAST(w AS BIGINT) AS VARCHAR), ',' ORDER BY abs(w) DESC, id) AS line, string_agg({value}, ' ; ' ORDER BY abs(w) DESC, id) AS shown FROM notes GROUP BY rel_id)"
+def on_senses() -> dict[str, str]:
+    fx = f"WITH {o._senses()}"
+    value = "value || ' (w=' || CAST(CAST(round_even(w, 0) AS BIGINT) AS VARCHAR) || ')'"
+    said = f"said AS (SELECT rel_id, string_agg(kind || ':' || value || ':' || CAST(CAST(round_even(w, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY abs(w) DESC, id) AS line, string_agg({value}, ' ; ' ORDER BY abs(w) DESC, id) AS shown FROM notes GROUP BY rel_id)"
     spelled = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in schema.CATEGORIES.items()) + ") AS k(spelling, canon)"
-    props = f"""raw(pos, index, category, justification) AS (VALUES {FIXTURE_RAW}),
-existing AS (SELECT rel_id, canon FROM notes JOIN {spelled} ON lower(trim(value)) = spelling QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) = 1),
+    props = f"""existing AS (SELECT rel_id, canon FROM notes JOIN {spelled} ON lower(trim(value)) = spelling QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) = 1),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM g WHERE rel IN ({o._list(schema.ANNOTATED)})) WHERE turn <= 8),
-listed AS (SELECT t.id, t.src AS subject, t.rel AS relation, t.tgt_decoded AS target, x.canon AS existing, row_number() OVER (ORDER BY t.id) AS index FROM top t LEFT JOIN existing x ON x.rel_id = t.id),
-last AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY index ORDER BY pos DESC) = 1),
+listed AS (SELECT t.id, t.src AS subject, t.rel AS relation, t.tgt_decoded AS target, t.w, x.canon AS existing, row_number() OVER (PARTITION BY t.src ORDER BY t.id) AS index FROM top t LEFT JOIN existing x ON x.rel_id = t.id),
+last AS (SELECT * FROM ({RAW_PROPOSALS.format(listed="listed")}) QUALIFY row_number() OVER (PARTITION BY subject, index ORDER BY "at" DESC) = 1),
 props AS (SELECT l.id, subject, relation, target, existing, canon AS category, trim(coalesce(r.justification, '')) AS justification, coalesce(existing <> '' AND existing <> canon, false) AS differs
-  FROM listed l LEFT JOIN last r USING (index) LEFT JOIN {spelled} ON lower(trim(r.category)) = spelling)"""
+  FROM listed l LEFT JOIN last r USING (subject, index) LEFT JOIN {spelled} ON lower(trim(r.category)) = spelling)"""
     counts = "count(*) FILTER (WHERE category IS NOT NULL AND NOT differs) AS n_annotated, count(*) FILTER (WHERE category IS NOT NULL AND differs) AS n_differing, count(*) FILTER (WHERE category IS NULL) AS n_skipped"
     return {
-        "lookup_term": f"{fx} SELECT n.name AS term, n.id, s.label AS decoded, CAST(n.type AS BIGINT) AS type, CAST(n.w AS DOUBLE) AS weight, false AS unknown FROM nodes n JOIN shown s ON s.id = n.id UNION ALL SELECT 'inconnu', NULL, NULL, NULL, NULL, true",
-        "node_by_id": f"{fx} SELECT id, name, CAST(w AS DOUBLE) AS w FROM nodes WHERE id IN (2, 66699, 5555)",
+        "lookup_term": f"{fx} SELECT n.name AS term, n.id, s.label AS decoded, CAST(n.type AS BIGINT) AS type, CAST(n.w AS DOUBLE) AS weight, false AS unknown FROM nodes n JOIN shown s ON s.id = n.id UNION ALL SELECT 'no ' || c_name, NULL, NULL, NULL, NULL, true FROM customer",
+        "node_by_id": f"{fx} SELECT id, name, CAST(w AS DOUBLE) AS w FROM nodes WHERE id IN (SELECT node2 FROM edges WHERE type = 1)",
         "lookup_target_id": f"""{fx}, wide AS (SELECT g.*, k.type AS tgt_type, e.node2 AS tgt_id FROM g JOIN edges e ON e.id = g.id JOIN nodes k ON k.id = e.node2)
 SELECT src AS source, rel AS relation, tgt_decoded AS target, CAST(w AS DOUBLE) AS w, {o._SIGN}, CASE WHEN tgt <> tgt_decoded THEN tgt_id END AS target_id, turn
 FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM wide WHERE tgt_type <> 8) WHERE turn <= 3""",
-        "triplet_annotations": f"""{fx}, {said}, asked AS (SELECT DISTINCT src AS subject, rel AS relation, upper(tgt_decoded) AS target FROM g UNION SELECT 'avocat', 'r_isa', 'rien'),
+        "triplet_annotations": f"""{fx}, {said}, asked AS (SELECT DISTINCT src AS subject, rel AS relation, upper(tgt_decoded) AS target FROM g UNION SELECT src, rel, 'rien' FROM g WHERE rel = 'r_isa'),
 hit AS (SELECT subject, relation, target, min(g.id) AS id FROM asked JOIN g ON g.src = subject AND g.rel = relation AND (lower(g.tgt) = lower(target) OR lower(g.tgt_decoded) = lower(target)) GROUP BY ALL)
 SELECT a.subject, a.relation, a.target, coalesce(line, '') AS annotations, h.id IS NOT NULL AS found FROM asked a LEFT JOIN hit h USING (subject, relation, target) LEFT JOIN said ON rel_id = h.id""",
-        "explore_annotated": f"{fx}, {said} SELECT src AS source, tgt_decoded AS target, CAST(w AS DOUBLE) AS w, turn, coalesce(shown, '') AS annotations, CASE WHEN tgt <> tgt_decoded THEN tgt ELSE '' END AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, id) AS turn FROM g WHERE rel = 'r_has_part') LEFT JOIN said ON rel_id = id WHERE turn <= 5",
+        "explore_annotated": f"{fx}, {said} SELECT src AS source, tgt_decoded AS target, round(w, 1) AS w, turn, coalesce(shown, '') AS annotations, CASE WHEN tgt <> tgt_decoded THEN tgt ELSE '' END AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, id) AS turn FROM g WHERE rel = 'r_isa') LEFT JOIN said ON rel_id = id WHERE turn <= 5",
         "proposals_by_index": f"{fx}, {props} SELECT id, subject, relation, target, existing, category, justification FROM props",
         "annotation_file_counts": f"{fx}, {props} SELECT {counts} FROM props",
         "annotation_file": f"""{fx}, {props}, n AS (SELECT {counts} FROM props)
@@ -105,18 +108,19 @@ SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS spot, '# Annotation graph
 UNION ALL SELECT 0, i, x FROM (VALUES (1, '# Section principale — format : sujet|relation|objet|annotation < justification >'), (2, '# Section SIGNALEMENT — format : sujet|relation|objet|graphe:<existant>|LLM:<proposé> < argument contre >'), (3, '')) AS t(i, x)
 UNION ALL SELECT 2, i, x FROM n, (VALUES (0, ''), (1, '=====SIGNALEMENT====='), (2, '# Triplets dont l''annotation LLM diffère de celle déjà présente dans graphe.')) AS t(i, x) WHERE n_differing > 0
 UNION ALL SELECT CASE WHEN differs THEN 3 ELSE 1 END, 0, replace(subject, '|', '/') || '|' || relation || '|' || replace(target, '|', '/') || CASE WHEN differs THEN '|graphe:' || existing || '|LLM:' ELSE '|' END || category || ' < ' || regexp_replace(justification, '\\s+', ' ', 'g') || ' >' FROM props WHERE category IS NOT NULL""",
-        "verify_soft_senses": f"""{fx}, k(subject, relation, object) AS (VALUES {FIXTURE_CLAIMS}),
+        "verify_soft_senses": f"""{fx}, k AS ({derived.duckdb(derived.SOFT_CLAIMS)}), asked AS (SELECT soft FROM (SELECT subject AS soft FROM k UNION SELECT object FROM k) WHERE contains(soft, '>')), {o.RESOLVED},
 top3 AS (SELECT rel_id, string_agg({value}, ', ' ORDER BY abs(w) DESC, id) AS line FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) AS turn FROM notes) WHERE turn <= 3 GROUP BY rel_id),
 exc AS (SELECT rel_id, string_agg(value, ', ' ORDER BY abs(w) DESC, id) AS line FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) AS turn FROM notes WHERE kind = 'exception') WHERE turn <= 3 GROUP BY rel_id),
-r AS (SELECT CASE subject WHEN 'avocat>juriste' THEN 'avocat>116477>66699' WHEN 'souris>informatique' THEN 'souris>17' ELSE subject END AS subject, relation, object FROM k),
-hit AS (SELECT r.*, g.id, g.w, g.tgt_decoded FROM r LEFT JOIN g ON g.src = r.subject AND g.rel = r.relation AND lower(g.tgt) = lower(r.object))
+r AS (SELECT coalesce(x.name, subject) AS subject, relation, coalesce(y.name, object) AS object FROM k LEFT JOIN resolved x ON x.soft = subject LEFT JOIN resolved y ON y.soft = object),
+hit AS (SELECT r.*, g.id, g.w, g.tgt_decoded FROM r LEFT JOIN g ON lower(g.src) = lower(r.subject) AND g.rel = r.relation AND lower(g.tgt) = lower(r.object))
 SELECT subject, relation, object, CASE WHEN w IS NULL THEN 'unknown' WHEN w > 0 THEN 'supported' ELSE 'contradicted' END AS status, CAST(w AS DOUBLE) AS weight,
-  CASE WHEN w IS NULL THEN 'Le graphe ne contient pas d''information vérifiable pour `' || subject || ' | ' || relation || ' | ' || object || '`.' ELSE
-  'Le graphe contient directement le triplet `' || subject || ' | ' || relation || ' | ' || tgt_decoded || '` avec poids ' || CAST(CAST(w AS BIGINT) AS VARCHAR) || ' (' || CASE WHEN w > 0 THEN 'affirmation' ELSE 'négation' END || ' consensuelle).'
+  CASE WHEN w IS NULL AND few.n >= 5 THEN 'Le graphe ne contient pas le triplet `' || subject || ' | ' || relation || ' | ' || object || '`. Les valeurs connues pour `' || subject || ' | ' || relation || ' | ?` sont listées dans `evidence_against` à titre indicatif (ne constituent pas une contradiction stricte).'
+  WHEN w IS NULL THEN 'Le graphe ne contient pas d''information vérifiable pour `' || subject || ' | ' || relation || ' | ' || object || '`.' ELSE
+  'Le graphe contient directement le triplet `' || subject || ' | ' || relation || ' | ' || tgt_decoded || '` avec poids ' || CAST(CAST(round_even(w, 0) AS BIGINT) AS VARCHAR) || ' (' || CASE WHEN w > 0 THEN 'affirmation' ELSE 'négation' END || ' consensuelle).'
   || coalesce(' Annotations Le graphe : ' || top3.line || '.', '') || coalesce(' Exception(s) annotée(s) : ' || exc.line || '.', '') END AS explanation
-FROM hit LEFT JOIN top3 ON top3.rel_id = hit.id LEFT JOIN exc ON exc.rel_id = hit.id""",
+FROM hit LEFT JOIN top3 ON top3.rel_id = hit.id LEFT JOIN exc ON exc.rel_id = hit.id LEFT JOIN (SELECT lower(src) AS a, rel, count(*) AS n FROM g GROUP BY ALL) few ON few.a = lower(subject) AND few.rel = relation""",
     }
 
 
 def build() -> dict[str, str]:
-    return on_derived_graph() | on_fixture()
+    return on_derived_graph() | on_senses()

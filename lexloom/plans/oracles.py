@@ -8,35 +8,6 @@ from lexloom.sources import derived
 
 RELATIONS = sorted({*schema.INVERSE, *schema.TRANSITIVE, *schema.PHRASES, "r_make", "r_isa-incompatible"})
 
-# A small graph with senses and reified annotations.
-FIXTURE_TYPES = "(5, 'r_syn'), (6, 'r_isa'), (9, 'r_has_part'), (17, 'r_carac'), (1, 'r_raff_sem'), (996, 'r_annotation_context'), (997, 'r_annotation_exception'), (998, 'r_annotation')"
-FIXTURE_NODES = """(1, 'avocat', 1, 50), (2, 'avocat>116477>66699', 1, 30), (3, 'avocat>87286', 1, 20), (4, 'avocat>robe', 1, 5), (5, 'avocat>999', 1, 4),
- (116477, 'personne', 1, 90), (66699, 'juriste', 1, 60), (87286, 'fruit', 1, 80), (10, 'robe', 1, 40), (11, 'noyau', 1, 30), (12, 'vert', 1, 20), (13, 'souris', 1, 50),
- (14, 'souris>15', 1, 25), (15, 'animal', 1, 80), (16, 'souris>17', 1, 35), (17, 'informatique', 1, 70), (18, 'petit', 1, 10), (19, 'queue', 1, 10),
- (30, ':r106', 3, 0), (31, ':r107', 3, 0), (32, ':r999', 3, 0), (33, 'non spécifique', 1, 5), (34, 'contrastif', 1, 5), (35, 'cuisine', 1, 5), (36, '_chunk', 8, 0), (37, 'rare', 4, 0)"""
-FIXTURE_EDGES = """(101, 1, 2, 1, 60), (102, 1, 3, 1, 80), (103, 13, 14, 1, 40), (104, 13, 16, 1, 40), (105, 1, 10, 9, 25), (106, 1, 11, 9, 70), (107, 1, 12, 17, 55),
- (108, 2, 10, 9, 90), (109, 3, 11, 9, 85), (110, 3, 12, 17, 65), (111, 13, 18, 17, 30), (112, 14, 18, 17, 44), (113, 16, 18, 17, 22), (114, 13, 19, 9, 61), (115, 14, 19, 9, -12),
- (120, 30, 33, 998, 200), (121, 30, 35, 996, 80), (122, 30, 36, 998, 300), (123, 30, 34, 997, -120), (124, 31, 34, 998, 10), (125, 31, 37, 998, 99), (126, 32, 35, 5, 7), (127, 1, 87286, 6, 33), (128, 2, 116477, 6, 77)"""
-FIXTURE_SOFT = "('avocat'), ('avocat>fruit'), ('avocat>juriste'), ('avocat>PERSONNE>xx'), ('avocat>87286'), ('avocat>nothing'), ('souris>anim'), ('souris>informatique'), ('unknown>x')"
-
-DOCS = """# Relations
-intro text
-### Generic term (`r_isa`)
-Links a term to a more general one.
-It is transitive.
-
-* chat | r_isa | animal
-* chien | r_isa | animal
-* rose | r_isa | fleur
-* merle | r_isa | oiseau
-### Whole (`r_holo`)
-A part and its whole.
-* roue | r_holo | voiture
-# Other
-* stray | r_x | line
-### No code here
-text"""
-
 
 def _graph() -> str:
     return f"e AS ({derived.duckdb(derived.edges_sql('duckdb'))})"
@@ -175,8 +146,10 @@ def _top(where: str, k: int, by: str = "src") -> str:
     return f"SELECT src AS source, rel AS relation, tgt AS target, w, {_SIGN}, turn FROM (SELECT *, row_number() OVER (PARTITION BY {by}, rel ORDER BY abs(w) DESC, id) AS turn FROM e WHERE {where}) WHERE turn <= {k}"
 
 
-def _fixture() -> str:
-    return f"""types(id, name) AS (VALUES {FIXTURE_TYPES}), nodes(id, name, type, w) AS (VALUES {FIXTURE_NODES}), edges(id, node1, node2, type, w) AS (VALUES {FIXTURE_EDGES}),
+def _senses() -> str:
+    """The graph with senses, from the tables as :mod:`lexloom.sources.derived` has it, and what is read off it."""
+    made = {name: derived.duckdb(sql) for name, sql in derived.sense_sql("duckdb").items()}
+    return f"""types AS ({made["types"]}), nodes AS ({made["nodes"]}), edges AS ({made["edges"]}),
 parts AS (SELECT n.id, n.name, i, string_split(n.name, '>')[i] AS tok FROM nodes n, unnest(range(2, len(string_split(n.name, '>')) + 1)) AS t(i) WHERE contains(n.name, '>')),
 labelled AS (SELECT p.id, p.name, i, CASE WHEN try_cast(tok AS BIGINT) IS NULL THEN tok ELSE coalesce(m.name, '<id:' || tok || '>') END AS txt, try_cast(tok AS BIGINT) IS NOT NULL AS num FROM parts p LEFT JOIN nodes m ON m.id = try_cast(tok AS BIGINT)),
 dec AS (SELECT id, name, string_split(name, '>')[1] AS term, string_split(name, '>')[1] || ' (' || string_agg(txt, ', ' ORDER BY i) || ')' AS full_name, bool_or(num) AS any_num, list(txt ORDER BY i) AS path FROM labelled GROUP BY id, name),
@@ -189,12 +162,18 @@ notes AS (SELECT CAST(substr(a.name, 3) AS BIGINT) AS rel_id, CASE e.type WHEN 9
   FROM edges e JOIN nodes a ON a.id = e.node1 AND regexp_full_match(a.name, ':r[0-9]+') JOIN nodes v ON v.id = e.node2 AND v.type = 1 WHERE e.type IN (996, 997, 998))"""
 
 
+#: The sense of every ``asked`` soft reference, each tried with all senses of its term.
+RESOLVED = """hinted AS (SELECT soft, trim(string_split(soft, '>')[1]) AS term, list_filter(list_transform(string_split(soft, '>')[2:], lambda x: lower(trim(x))), lambda x: x <> '') AS hints FROM asked),
+tried AS (SELECT soft, sense, turn, len(list_filter(hints, lambda h: len(list_filter(path, lambda p: contains(lower(p), h) OR contains(h, lower(p)))) > 0 OR contains(lower(decoded), h))) AS score FROM hinted JOIN senses USING (term)),
+resolved AS (SELECT h.soft, CASE WHEN len(hints) = 0 THEN h.term WHEN len(list_filter(hints, lambda x: NOT regexp_full_match(x, '[0-9]+'))) = 0 THEN h.soft ELSE b.sense END AS name
+  FROM hinted h LEFT JOIN (SELECT soft, sense FROM tried WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY soft ORDER BY score DESC, turn) = 1) b ON b.soft = h.soft)"""
+
+
 def build() -> dict[str, str]:
     g, c = f"WITH {_graph()} ", f"WITH {_claims()}"
     plain = "SELECT id, src, rel, tgt, w FROM e"
-    types = f"types AS (SELECT row_number() OVER (ORDER BY name) AS id, name, 'help of ' || name AS help FROM (VALUES {', '.join(f"('{r}')" for r in RELATIONS)}) AS t(name))"
     gaps = "gaps AS (SELECT term, relation, CASE WHEN p = 0 AND n > 0 THEN 'negative_filled' WHEN p = 0 THEN 'missing' ELSE 'low_coverage' END AS gap_type, CAST(CASE WHEN p = 0 AND n > 0 THEN 0.3 WHEN p = 0 THEN 1.0 ELSE 0.6 END AS DOUBLE) AS severity, p AS n_pos, n AS n_neg FROM (SELECT t.term, r.relation, count(*) FILTER (WHERE k.w > 0) AS p, count(*) FILTER (WHERE k.w < 0) AS n FROM (SELECT DISTINCT src AS term FROM e) t, (VALUES ('r_carac'), ('r_lieu'), ('r_make')) AS r(relation) LEFT JOIN (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50) k ON k.src = t.term AND k.rel = r.relation GROUP BY t.term, r.relation) WHERE p < 3)"
-    fx = f"WITH {_fixture()} "
+    fx = f"WITH {_senses()} "
     out = {
         "lookup_out_topk": g + _top("true", 3),
         "lookup_in_topk": g + _top("rel = 'r_isa'", 5, "tgt"),
@@ -208,7 +187,10 @@ def build() -> dict[str, str]:
         "named_characteristics": g + _top("rel = 'r_carac' AND w >= 10", 30),
         "explore_by_signed_weight": g + "SELECT src AS source, tgt AS target, round(w, 1) AS w, turn FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, id) AS turn FROM e WHERE rel = 'r_carac') WHERE turn <= 2",
         "polarity_split": g + f"SELECT rel, {_SIGN}, count(*) AS n FROM e GROUP BY ALL",
-        "relation_prefix": f"WITH {types} SELECT CAST(id AS INT) AS id, name, help FROM types WHERE starts_with(name, 'r_has')",
+        "relation_prefix": g + "SELECT CAST(row_number() OVER (ORDER BY rel) AS INT) AS id, rel AS name, 'used ' || CAST(n AS VARCHAR) || ' times' AS help FROM (SELECT rel, count(*) AS n FROM e GROUP BY rel) QUALIFY starts_with(rel, 'r_has')",
+        "relation_docs_parsed": g
+        + """, top AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY abs(w) DESC, id) AS turn FROM e)
+SELECT rel AS code, 'About ' || rel || ' : It has ' || count(*) || ' triplets.' AS summary, string_agg(src || ' ' || rel || ' ' || tgt, ' ; ' ORDER BY turn) FILTER (WHERE turn <= 3) AS examples FROM top GROUP BY rel""",
         "term_exists": c + "SELECT term, term IN (SELECT src FROM e UNION SELECT tgt FROM e) AS known FROM (SELECT DISTINCT object AS term FROM claims)",
         "exclusion_anti_join": c + "SELECT * FROM (SELECT DISTINCT subject AS term, relation, upper(object) AS target FROM claims) k WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = term AND rel = relation AND lower(tgt) = lower(target))",
         "distinct_targets": g + "SELECT DISTINCT src AS term, lower(trim(tgt)) AS target FROM e WHERE rel = 'r_lieu'",
@@ -233,18 +215,16 @@ def build() -> dict[str, str]:
     out["candidate_counts"] = f"{both} SELECT validation_status, consolidation_status, count(*) AS n FROM cons GROUP BY ALL"
     out["decode_names"] = fx + "SELECT id, name, CASE WHEN any_num THEN full_name ELSE name END AS decoded, array_to_string(path, '/') AS path FROM dec"
     out["disambiguate"] = fx + "SELECT term, sense_id, decoded, weight, turn FROM senses"
-    soft = f"asked(soft) AS (VALUES {FIXTURE_SOFT}), hinted AS (SELECT soft, string_split(soft, '>')[1] AS term, list_filter(list_transform(string_split(soft, '>')[2:], lambda x: lower(trim(x))), lambda x: x <> '') AS hints FROM asked)"
-    hit = "len(list_filter(hints, lambda h: len(list_filter(path, lambda p: contains(lower(p), h) OR contains(h, lower(p)))) > 0 OR contains(lower(decoded), h)))"
-    out["resolve_soft_sense"] = f"WITH {_fixture()}, {soft} SELECT h.soft, CASE WHEN len(hints) = 0 THEN h.term WHEN len(list_filter(hints, lambda x: NOT regexp_full_match(x, '[0-9]+'))) = 0 THEN h.soft ELSE b.sense END AS name FROM hinted h LEFT JOIN (SELECT soft, sense FROM (SELECT soft, sense, turn, {hit} AS score FROM hinted JOIN senses USING (term)) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY soft ORDER BY score DESC, turn) = 1) b ON b.soft = h.soft"
-    out["annotations_for_edges"] = fx + "SELECT rel_id, string_agg(kind || ':' || value || ':' || CAST(CAST(w AS BIGINT) AS VARCHAR), ',' ORDER BY abs(w) DESC, id) AS annotations FROM notes GROUP BY rel_id"
+    out["resolve_soft_sense"] = f"WITH {_senses()}, asked AS ({derived.duckdb(derived.SOFT)}), {RESOLVED} SELECT soft, name FROM resolved"
+    out["annotations_for_edges"] = fx + "SELECT rel_id, string_agg(kind || ':' || value || ':' || CAST(CAST(round_even(w, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY abs(w) DESC, id) AS annotations FROM notes GROUP BY rel_id"
     known = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in schema.CATEGORIES.items()) + ") AS k(spelling, canon)"
     out["annotation_disagreement"] = (
         fx
-        + f"SELECT id, subject, relation, target, existing, category, coalesce(existing <> '' AND existing <> category, false) AS disagrees FROM (SELECT g.id, g.src AS subject, g.rel AS relation, g.tgt_decoded AS target, x.canon AS existing, CASE WHEN g.w > 50 THEN 'non spécifique' ELSE 'exception' END AS category FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM g WHERE rel IN ({_list(schema.ANNOTATED)})) g LEFT JOIN (SELECT rel_id, canon FROM notes JOIN {known} ON lower(trim(value)) = spelling QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) = 1) x ON x.rel_id = g.id WHERE g.turn <= 8)"
+        + f"SELECT id, subject, relation, target, existing, category, coalesce(existing <> '' AND existing <> category, false) AS disagrees FROM (SELECT g.id, g.src AS subject, g.rel AS relation, g.tgt_decoded AS target, x.canon AS existing, CASE WHEN g.w > 20 THEN 'non spécifique' ELSE 'exception' END AS category FROM (SELECT *, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM g WHERE rel IN ({_list(schema.ANNOTATED)})) g LEFT JOIN (SELECT rel_id, canon FROM notes JOIN {known} ON lower(trim(value)) = spelling QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY abs(w) DESC, id) = 1) x ON x.rel_id = g.id WHERE g.turn <= 8)"
     )
     held = "held AS (SELECT DISTINCT s.term, s.sense, s.turn, g.rel, g.tgt FROM senses s JOIN g ON g.src = s.sense)"
-    out["sense_contamination"] = f"WITH {_fixture()}, {held} SELECT DISTINCT h.term, h.rel, h.tgt, h.sense FROM held h JOIN g ON g.src = h.term AND g.rel = h.rel AND g.tgt = h.tgt WHERE h.turn > 1 AND NOT EXISTS (SELECT 1 FROM held f WHERE f.turn = 1 AND f.term = h.term AND f.rel = h.rel AND f.tgt = h.tgt)"
-    out["duplicate_sense_signal"] = f"WITH {_fixture()}, {held} SELECT term, rel, tgt, count(*) AS n_senses FROM held GROUP BY ALL HAVING count(*) > 1"
+    out["sense_contamination"] = f"WITH {_senses()}, {held} SELECT DISTINCT h.term, h.rel, h.tgt, h.sense FROM held h JOIN g ON g.src = h.term AND g.rel = h.rel AND g.tgt = h.tgt WHERE h.turn > 1 AND NOT EXISTS (SELECT 1 FROM held f WHERE f.turn = 1 AND f.term = h.term AND f.rel = h.rel AND f.tgt = h.tgt)"
+    out["duplicate_sense_signal"] = f"WITH {_senses()}, {held} SELECT term, rel, tgt, count(*) AS n_senses FROM held GROUP BY ALL HAVING count(*) > 1"
     out["subgraph_depth1"] = f"WITH {_subgraph(1)} SELECT root, source, target, relation, w, {_LABEL}, place FROM sg_edges"
     out["subgraph_depth2"] = f"WITH {_subgraph(2)} SELECT root, source, target, relation, w, {_LABEL}, place, from_negation FROM sg_edges"
     out["subgraph_nodes"] = f"WITH {_subgraph(2)} SELECT root, label, CAST(depth AS BIGINT) AS depth, kind, negated FROM sg_nodes"
