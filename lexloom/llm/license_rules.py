@@ -207,7 +207,7 @@ liliq-r-1.1 | licence libre du qu | licence libre du qu[^ ]+ r[^ ]+ {_V}1 1
 linux-openib | openib bsd license | (?:linux )?openib bsd license
 lppl-1.1 | project public license | latex project public license {_V}1 1
 lppl-1.2 | project public license | latex project public license {_V}1 2
-miros | miros license | (?:the )?miros licen[cs]e
+miros | miros licen | (?:the )?miros licen[cs]e
 motosoto | motosoto open source license | motosoto open source license
 mpl-2.0-no-copyleft | secondary licenses | incompatible with secondary licenses
 ms-lpl | microsoft limited public license | microsoft limited public license
@@ -238,7 +238,7 @@ sgi-b-2.0 | sgi free software license | sgi free software license b {_V}2 0
 simpl-2.0 | simple public license | simple public license {_V}2 0
 sissl | industry standards source license | sun industry standards source license
 spl-1.0 | sun public license | sun public license {_V}1 0
-tcl | tcl license | tcl(?: tk)? license
+tcl | tcl | tcl(?: tk)? license
 ucl-1.0 | upstream compatibility license | upstream compatibility license {_V}1 0
 unicode-dfs | unicode license agreement | unicode license agreement(?: data files and software)?
 unicode-3.0 | unicode license | unicode license {_V}v?3
@@ -321,7 +321,7 @@ mit | expat license | expat license
 mit-x11 | x11 license | (?:mit )?x11 license
 isc | isc license | isc license
 zlib | zlib license | zlib license
-bsd | bsd license | bsd (?:style )?license
+bsd | bsd | bsd (?:style )?license
 python | python software foundation license | python software foundation license
 php | php license | php license
 unlicense | unlicense | (?:the )?unlicense(?:d license)?

@@ -3,6 +3,7 @@
 import os
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -36,10 +37,52 @@ def test_license_base_and_labels(docs, documents, no_docs):
     assert licenses.report(licenses.scan_licenses(no_docs)).count() == 0
 
 
-def test_every_rule_holds_its_keyword_and_stem():
+def written_out(pattern):
+    """Texts that stand for all alternatives of a pattern; an open class gives two of its characters."""
+    parser = re._parser
+
+    def expand(items):
+        texts = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                found = [chr(arg)]
+            elif name == "NOT_LITERAL":
+                found = ["x", "é"]
+            elif name == "IN":
+                found = ["x", "7"] if str(arg[0][0]) == "NEGATE" else [c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else [chr(a[0]), chr(a[1])])]
+            elif name == "SUBPATTERN":
+                found = expand(arg[-1])
+            elif name == "BRANCH":
+                found = [x for way in arg[1] for x in expand(way)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                once = expand(arg[2])
+                low, high = arg[0], min(arg[1], arg[0] + 1)
+                found = [x for n in range(low, high + 1) for x in ([""] if n == 0 else [y * n for y in once])]
+            else:
+                raise AssertionError(name)
+            texts = [t + f for t in texts for f in found]
+        return texts
+
+    return expand(parser.parse(pattern))
+
+
+def test_every_match_of_a_rule_holds_its_keyword_and_stem():
     assert sum(r.priority > 0 for r in RULES) >= 300
     for r in RULES:
-        assert stem(r) in r.pattern.replace("[cs]", "c") or stem(r) in r.keyword
+        for text in written_out(r.pattern):
+            assert re.fullmatch(r.pattern, text), (r, text)
+            assert r.keyword in text and stem(r) in text, (r, text)
+
+
+def test_no_match_is_lost_at_a_gate(spark):
+    """Every alternative of every rule, as a text, has the labels that it has without keywords and stems."""
+    texts = sorted({t for r in RULES for t in written_out(r.pattern)})
+    asked = spark.createDataFrame(list(enumerate([f"x {t} y" for t in texts] + ["the BSD style license", "Tcl Tk License", "MirOS licence"])), "doc_id long, text string").repartition(8)
+    ungated = [replace(r, keyword="") for r in RULES]
+    got, full = ({r.doc_id: r.labels for r in licenses.report(licenses.scan_licenses(asked, rules)).collect()} for rules in (RULES, ungated))
+    assert got == full and all(full[i] for i in range(len(texts)))
+    assert [got[len(texts) + i] for i in range(3)] == ["bsd", "tcl", "miros"]
 
 
 def test_license_suppression(spark):
