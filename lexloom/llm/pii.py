@@ -220,7 +220,7 @@ class Tagger:
         return loss, {name: x / rows for name, x in g.items()}
 
 
-def train(ids: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[Tagger, list[float]]:
+def train(ids: np.ndarray, tags: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[Tagger, list[float]]:
     """Fit by Adam on windows of character ids with their tags; returns the tagger and the mean loss of each epoch."""
     tagger = Tagger.fresh(seed)
     rng = np.random.default_rng(seed)
@@ -247,11 +247,41 @@ def train(ids: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, r
 
 # --- labelled spans -------------------------------------------------------------------------------------------------
 
+#: What every secret has inside: a digit, or a capital behind a small letter.
+_secret_like = re.compile(r"[0-9]|[a-z][A-Z]").search
+
+
 def _luhn_number(rng: np.random.Generator, size: int) -> str:
     body = "".join(map(str, rng.integers(0, 10, size - 1)))
     return next(body + c for c in string.digits if luhn(body + c))
 
 
+_B62 = string.ascii_letters + string.digits
+#: Alphabets of secrets.
+ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base64": f"{_B62}+/", "url": f"{_B62}-_", "mixed": _B62, "upper": string.ascii_uppercase + string.digits, "lower": string.ascii_lowercase + string.digits}
+#: What some secrets begin with.
+PREFIXES = ["sk_live_", "ghp_", "AKIA", "xoxb-", "pk-", "AIza", "glpat-", "eyJ"]
+
+
+def secret_text(rng: np.random.Generator, alphabet: str | None = None, size: int | None = None) -> str:
+    """An invented secret: of one alphabet, some with a prefix, in dashed groups or with padding; it holds a digit or changes case inside."""
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    kind = alphabet or pick([*ALPHABETS, "prefixed", "dashed"])
+    n = size or int(rng.integers(16, 44) if rng.random() < 0.6 else rng.integers(44, 210))
+    chars = ALPHABETS.get(kind) or (ALPHABETS["mixed"] if kind == "prefixed" else pick([ALPHABETS["hex"], ALPHABETS["upper"]]))
+    while True:
+        text = "".join(chars[i] for i in rng.integers(0, len(chars), n))
+        if kind == "prefixed":
+            text = (pick(PREFIXES) + text)[:n]
+        elif kind == "dashed":
+            step = pick([4, 5, 8])
+            text = "-".join(text[i : i + step] for i in range(0, n, step))[:n].rstrip("-")
+        elif kind == "base64" and rng.random() < 0.3:
+            text = text[: -1 - int(rng.integers(0, 2))].rstrip("+/") + "=" * (1 + int(rng.integers(0, 2)))
+        if _secret_like(text):
+            return text
+
+
 def labelled_window(rng: np.random.Generator, size: int = WINDOW) -> tuple[str, list[Span]]:
     """A window of invented words with personal data, or look-alikes, put in; the labelled spans are exact."""
     pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
@@ -261,7 +291,7 @@ def labelled_window(rng: np.random.Generator, size: int = WINDOW) -> tuple[str,
     # A part of the windows begins anywhere in a longer text, also inside a span.
     skip = int(rng.integers(1, 160)) if rng.random() < 0.4 else 0
     while len(text) < size + skip:
-        kind = int(rng.integers(0, 13))
+        kind = int(rng.integers(0, 15))
         start, piece, label = len(text), word(), None
         if kind == 0:
             piece, label = f"{word()}{pick(['.', '_', '', '-', '+'])}{digits(2)}@{word()}{pick(['', digits(1)])}.{pick(['example.com', 'com', 'org', 'mail.net', 'fr'])}", "email"
@@ -272,17 +302,24 @@ def labelled_window(rng: np.random.Generator, size: int = WINDOW) -> tuple[str,
             piece, label = gap.join(number[i : i + 4] for i in range(0, len(number), 4)), "card"
         elif kind == 3:
             piece, label = f"+{digits(int(rng.integers(1, 3)))} {pick([f'({digits(3)})', digits(3)])} {digits(3)}{pick(['-', ' ', '.'])}{digits(4)}", "phone"
-        elif kind == 4:
-            secret = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(28, 44) if rng.random() < 0.5 else rng.integers(44, 210))))
-            lead = pick(['token = "', 'key: ', 'secret="', ""])
+        elif kind in (4, 8):
+            secret = secret_text(rng)
+            lead = pick(['token = "', "key: ", 'secret="', "password=", "api_key: '", "", ""])
             text += lead
             start, piece, label = len(text), secret, "secret"
         elif kind == 5:
+            number, gap = digits(int(rng.integers(10, 24))), pick(["", " ", "-"])
+            if luhn(number):  # numbers that are no card
+                number = number[:-1] + str((int(number[-1]) + 1) % 10)
+            piece = gap.join(number[i : i + 4] for i in range(0, len(number), 4))
+        elif kind == 6:
+            piece = pick([f"{word()}{word().title()}", f"{word()}-{word()}-{word()}", f"http://{word()}.{pick(['com', 'org'])}/{word()}{digits(2)}/{word()}", f"{word().upper()}-{digits(3)}", f"{word()}_{word()}{digits(1)}", f"{word()}={digits(2)}", f"{digits(3)}{word()}", word().upper() + word().upper()])
+        elif kind == 7:
             piece = pick([f"{word()}{pick('#$%&*') * 3}", f"version {digits(1)}.{digits(1)}", digits(int(rng.integers(1, 5))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.0.", "|", f"{digits(2)}%"])
         text += piece
         if label:
             spans.append((label, start, len(text)))
-            text += pick(['" ', '" ', " "]) if label == "secret" else pick([" ", " ", ", ", ".", "\n"])
+            text += pick(['" ', '" ', " ", "' ", ". ", ",\n"]) if label == "secret" else pick([" ", " ", ", ", ".", "\n"])
         else:
             text += pick([" ", " ", " ", ", ", ". ", ".\n"])
     text = text[skip : skip + size]
@@ -317,7 +354,9 @@ def default_tagger(windows: int = 1000, seed: int = 5) -> Tagger:
 
 # --- reading documents ----------------------------------------------------------------------------------------------
 
-_trigger = re.compile(r"[0-9@]").search
+#: What some character of every span, or two next to each other, must be.
+TRIGGER = r"[0-9@]|[a-z][A-Z]"
+_trigger = re.compile(TRIGGER).search
 
 
 _long_words = re.compile(rf"\S{{{STRIDE},}}").finditer
@@ -418,13 +457,44 @@ def _spans_of(texts: list[str | None], group: list[tuple[int, list[int]]], tagge
         margin = scores.max(2) - scores[:, :, 0]
         for row, k in enumerate(part):
             i, begin, *_ = stretches[k]
-            for kind, a, b in _runs(path[: sizes[row], row]):
-                value = float(margin[a:b, row].sum())
+            spans = _whole_secrets(texts[i], begin, int(sizes[row]), list(_runs(path[: sizes[row], row])))
+            for kind, a, b in spans:
+                value = float(margin[max(a, 0) : b, row].sum())
                 if value >= LEAST_SCORE and _trigger(texts[i], begin + a, begin + b):
                     found.setdefault(i, []).append((round(value, 3), (kind, begin + a, begin + b)))
     return found
 
 
+_secret_run = re.compile(r"[A-Za-z0-9+/=_-]{12,}").finditer
+#: Part of a run of secret characters that must be tagged for the whole run to be a secret.
+SECRET_SHARE = 0.5
+
+
+def _whole_secrets(text: str, begin: int, size: int, spans: list[Span]) -> list[Span]:
+    """Tagged ``spans`` of a stretch with secrets made whole: a run of secret characters that is tagged for the most part is one span, pieces of others go.
+
+    Positions are relative to ``begin``; a run may reach over the stretch's ends.
+    """
+    # An address without its sign is a piece of something else.
+    spans = [("secret", a, b) if kind == "email" and "@" not in text[begin + a : begin + b] else (kind, a, b) for kind, a, b in spans]
+    tagged = [(a, b) for kind, a, b in spans if kind == "secret"]
+    if not tagged:
+        return spans
+    low, high = max(begin - STRIDE, 0), begin + size + STRIDE
+    while low > 0 and not text[low].isspace():
+        low -= 1
+    while high < len(text) and not text[high].isspace():
+        high += 1
+    out = [s for s in spans if s[0] != "secret"]
+    for m in _secret_run(text, low, high):
+        a, b = m.start() - begin, m.end() - begin
+        lead = re.match(r"[A-Za-z_]{2,16}=(?=[^=])", m[0])  # a name before an equals sign
+        a += lead.end() if lead else 0
+        if a < b and sum(max(0, min(b, y) - max(a, x)) for x, y in tagged) >= SECRET_SHARE * (b - a):
+            out.append(("secret", a, b))
+    return sorted(out, key=lambda s: s[1])
+
+
 def _runs(tags: np.ndarray) -> Iterator[Span]:
     """Spans of begin/inside tags; an inside tag of another kind begins a span."""
     start, kind = 0, 0
@@ -462,7 +532,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            near = pc.fill_null(pc.match_substring_regex(column, "[0-9@]"), False).to_pylist()
+            near = pc.fill_null(pc.match_substring_regex(column, TRIGGER), False).to_pylist()
             texts = [column[i].as_py() if hit else None for i, hit in enumerate(near)]
             base = list(map(base_spans, texts))
             every = [all_spans(b, t) for b, t in zip(base, tagged_spans(texts, shared.value))]
