@@ -328,6 +328,35 @@ def subgraph_stats(spark, sf_dir):
     return subgraph.counts(*_subgraphs(spark, sf_dir, 2))
 
 
+def _numbered(spark, sf_dir, depth: int, expand_refined: bool) -> DataFrame:
+    g = _senses(spark, sf_dir)[2]
+    roots = g.filter("rel in ('r_isa', 'r_raff_sem', 'r_carac')").select(F.col("src").alias("root")).distinct()
+    _, edges = subgraph.numbered(*subgraph.extract(g, roots, depth, expand_refined=expand_refined))
+    return edges.select("root", "source", "target", "relation", "w", F.col("depth").cast("long").alias("depth"), "from_node", "to_node")
+
+
+@query
+def subgraph_numbered_depth3(spark, sf_dir):
+    """Edges of the subgraphs of all terms by the numbers of their nodes; senses end a branch."""
+    return _numbered(spark, sf_dir, 3, False)
+
+
+@query
+def subgraph_numbered_depth4(spark, sf_dir):
+    return _numbered(spark, sf_dir, 4, False)
+
+
+@query
+def subgraph_refined_depth3(spark, sf_dir):
+    """As above, senses expanded by their own names."""
+    return _numbered(spark, sf_dir, 3, True)
+
+
+@query
+def subgraph_refined_depth4(spark, sf_dir):
+    return _numbered(spark, sf_dir, 4, True)
+
+
 @query
 def subgraph_visible(spark, sf_dir):
     nodes, edges = _subgraphs(spark, sf_dir, 2)
@@ -433,10 +462,16 @@ def registry_merge(spark, sf_dir):
 
 
 @query
-def submission_file_size(spark, sf_dir):
+def submission_file(spark, sf_dir):
     """Lines of the submission file by part."""
     found = enrich.submission_file(_consolidated(spark, sf_dir), "du graphe")
-    return found.groupBy(F.col("place.part").cast("long").alias("part")).agg(F.count("*").alias("n"))
+    return found.select(F.col("place.part").cast("long").alias("part"), F.col("place.at").cast("long").alias("spot"), "line")
+
+
+@query
+def submission_file_size(spark, sf_dir):
+    """Lines of the submission file by part, counted."""
+    return submission_file(spark, sf_dir).groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query

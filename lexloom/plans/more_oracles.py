@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexloom import schema
-from lexloom.operators.inference import CASCADE
+from lexloom.operators.inference import CASCADE, CASCADE_2
 from lexloom.operators.lookup import NAMED
 from lexloom.plans import oracles as o
 from lexloom.sources import derived
@@ -16,6 +16,9 @@ UNION ALL SELECT subject, 3, index + 100, 'exception', 'none' FROM {listed}
 """
 
 
+_LINES = "lines AS (SELECT term, cons.relation, target, term || ' | ' || cons.relation || ' | ' || target || ' |  < ' || trim(regexp_replace(explanation, '\\s+', ' ', 'g')) || ' >' AS line FROM cons JOIN said ON subject = term AND said.relation = cons.relation AND object = target WHERE consolidation_status = 'consolidated')"
+
+
 def _whole(w: str) -> str:
     return f"CAST(CAST(round_even({w}, 0) AS BIGINT) AS VARCHAR)"
 
@@ -27,6 +30,69 @@ def _gaps(relations: list[str]) -> str:
     return f"gaps AS (SELECT term, relation, CASE WHEN p = 0 AND n > 0 THEN 'negative_filled' WHEN p = 0 THEN 'missing' ELSE 'low_coverage' END AS gap_type FROM ({counts}) WHERE p < 3)"
 
 
+def _pairs(table: dict[str, str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in table.items())
+
+
+def _said(order: list[str]) -> str:
+    """``said (subject, relation, object, explanation)``: the answers of a cascade in words, from the text of their proofs and the weights on the way."""
+    steps = []
+    for name, body in o._schemas().items():
+        if name in order:
+            steps.append(f"SELECT *, {order.index(name)} AS rank, '{name}' AS schema FROM ({_WAYS[name]})")
+    chained = " UNION ALL ".join(steps)
+    special = """WHEN a.schema = 'contradiction' THEN 'Non — un terme n''est pas l''antonyme de lui-même.'
+    WHEN a.schema = 'tautology' THEN 'Oui — trivialement, « ' || subject || ' » entretient ' || relation || ' avec lui-même.'
+    WHEN a.schema = 'prefix' THEN 'Oui — « ' || subject || ' » est un composé lexical préfixé par « ' || object || ' ».'"""
+    return f"""{o._answers(order)},
+phrases(rel, text) AS (VALUES {_pairs(schema.PHRASES)}), heads(head, denied) AS (VALUES {_pairs(schema.NEGATED_FIRST)}), names(schema, shown) AS (VALUES {_pairs(schema.SCHEMA_NAMES)}),
+ways AS ({chained}),
+way AS (SELECT w.subject, w.relation, w.object, i, source, rel, target, w.w FROM ways w JOIN answers a ON a.subject = w.subject AND a.relation = w.relation AND a.object = w.object AND a.schema = w.schema),
+spoken AS (SELECT y.*, coalesce(p.text, 'est en relation (' || y.rel || ') avec') AS text FROM way y LEFT JOIN phrases p ON p.rel = y.rel),
+chains AS (SELECT subject, relation, object, string_agg('« ' || source || ' » ' || CASE WHEN w < 0 THEN trim(coalesce(h.denied, 'ne ' || split_part(text, ' ', 1)) || ' pas ' || CASE WHEN contains(text, ' ') THEN substr(text, strpos(text, ' ') + 1) ELSE '' END) ELSE text END || ' « ' || target || ' »', ', et ' ORDER BY i) AS chain
+  FROM spoken LEFT JOIN heads h ON h.head = split_part(text, ' ', 1) GROUP BY ALL),
+said AS (SELECT a.subject, a.relation, a.object, CASE {special}
+    ELSE CASE WHEN a.weight > 0 THEN 'Oui, déductible' ELSE 'Non, réfuté' END || ' (' || n.shown || CASE WHEN a.consensus > 1 THEN ', ' || a.consensus || ' chemins concordants' ELSE '' END || ') : ' || chain || '.' END AS explanation
+  FROM answers a LEFT JOIN chains c USING (subject, relation, object) LEFT JOIN names n ON n.schema = a.schema)"""
+
+
+def _ways() -> dict[str, str]:
+    """Per schema the steps of each claim's proof: subject, relation, object, i, source, rel, target, w."""
+    claim = "subject, relation, object"
+    first = " QUALIFY row_number() OVER (PARTITION BY subject, relation, object ORDER BY {}) = 1"
+
+    def steps(rows: str, *parts: tuple[str, str, str, str]) -> str:
+        each = ", ".join(f"{{'i': {i}, 'source': {a}, 'rel': {r}, 'target': {b}, 'w': {w}}}" for i, (a, r, b, w) in enumerate(parts))
+        return f"SELECT {claim}, step.i, step.source, step.rel, step.target, step.w FROM (SELECT {claim}, unnest([{each}]) AS step FROM ({rows}))"
+
+    def hop(rel: str, k: int, rel2: str, where: str, order: str, more: str = "") -> str:
+        return f"SELECT c.subject, c.relation, c.object, p.tgt, p.w AS w1, q.w AS w2{more} FROM c JOIN pos p ON p.a = c.s AND p.rel = {rel} AND p.turn <= {k} JOIN probe q ON q.a = p.b AND q.rel = {rel2} AND q.b = c.o WHERE {where}" + first.format(order)
+
+    mids = "p.b <> c.s AND p.b <> c.o"
+    none = f"SELECT {claim}, 0 AS i, '' AS source, '' AS rel, '' AS target, 0.0 AS w FROM c WHERE false"
+    elim = f"""SELECT * FROM (SELECT c.subject, c.relation, c.object, p.tgt, p.w AS w1, q.w AS w2, 0 AS way, p.turn AS spot, '' AS inv FROM c JOIN pos p ON p.a = c.s AND p.rel = 'r_isa' AND p.turn <= 25 JOIN probe q ON q.a = p.b AND q.rel = c.relation AND q.b = c.o WHERE p.b <> c.o AND q.w < 0
+      UNION ALL SELECT c.subject, c.relation, c.object, x.tgt, p.w, x.w, 1, x.id, inv.r FROM c JOIN inv ON inv.rel = c.relation JOIN n x ON x.a = c.o AND x.rel = inv.r AND x.w < 0 JOIN pos p ON p.a = c.s AND p.rel = 'r_isa' AND p.turn <= 25 AND p.b = x.b WHERE p.b <> c.o)""" + first.format("way, spot")
+    ded = "SELECT * FROM (SELECT c.subject, c.relation, c.object, p.tgt, p.w AS w1, q.w AS w2, p.turn, count(*) FILTER (WHERE q.w < 0) OVER (PARTITION BY subject, relation, object) AS neg FROM c JOIN gen p ON p.a = c.s AND p.turn <= 8 JOIN probe q ON q.a = p.b AND q.rel = c.relation AND q.b = c.o WHERE p.b <> c.o AND q.w <> 0) WHERE neg = 0 OR w2 < 0" + first.format("abs(w2) DESC, turn")
+    return {
+        "contradiction": none, "tautology": none, "prefix": none,
+        "inverse": steps("SELECT c.*, inv.r, q.w FROM c JOIN inv ON inv.rel = c.relation JOIN probe q ON q.a = c.o AND q.rel = inv.r AND q.b = c.s WHERE q.w <> 0", ("object", "r", "subject", "w")),
+        "implication": steps(f"SELECT c.*, m.r, q.w FROM c JOIN (VALUES {o._pairs(schema.IMPLIED_BY)}) AS m(rel, i, r) ON m.rel = c.relation JOIN probe q ON q.a = c.s AND q.rel = m.r AND q.b = c.o WHERE q.w > 0" + first.format("m.i"), ("subject", "r", "object", "w")),
+        "isa_incompatible": steps(hop("'r_isa'", 25, "'r_isa-incompatible'", "c.relation = 'r_isa' AND NOT contains(p.tgt, '>') AND q.w > 0", "p.turn"), ("subject", "'r_isa'", "tgt", "w1"), ("tgt", "'r_isa-incompatible'", "object", "w2")),
+        "class_elimination": steps(elim, ("subject", "'r_isa'", "tgt", "w1"), ("CASE way WHEN 0 THEN tgt ELSE object END", "CASE way WHEN 0 THEN relation ELSE inv END", "CASE way WHEN 0 THEN object ELSE tgt END", "w2")),
+        "antonym_contrast": steps("SELECT c.subject, c.relation, c.object, p.tgt, p.w AS w1, x.w AS w2 FROM c JOIN pos p ON p.a = c.s AND p.rel = c.relation AND p.turn <= 8 JOIN n x ON x.a = c.o AND x.rel = 'r_anto' AND x.w > 0 AND x.b = p.b WHERE c.relation IN ('r_carac', 'r_has_prop') AND p.b <> c.o" + first.format("x.id"), ("subject", "relation", "tgt", "w1"), ("object", "'r_anto'", "tgt", "w2")),
+        "deduction_isa": steps(ded, ("subject", "'r_isa'", "tgt", "w1"), ("tgt", "relation", "object", "w2")),
+        "transitivity": steps(hop("c.relation", 8, "c.relation", f"c.relation IN ({o._list(schema.TRANSITIVE)}) AND {mids} AND q.w > 0", "q.w DESC, p.turn"), ("subject", "relation", "tgt", "w1"), ("tgt", "relation", "object", "w2")),
+        "geo_propagation": steps(hop("'r_lieu'", 8, "'r_holo'", f"c.relation = 'r_lieu' AND {mids} AND q.w > 0", "p.turn"), ("subject", "'r_lieu'", "tgt", "w1"), ("tgt", "'r_holo'", "object", "w2")),
+        "hyponym_propagation": steps(hop("c.relation", 8, "'r_isa'", f"{mids} AND q.w > 0", "p.turn"), ("subject", "relation", "tgt", "w1"), ("tgt", "'r_isa'", "object", "w2")),
+        "cohyponym": steps("SELECT c.subject, c.relation, c.object, p.tgt, p.w AS w1, q.w AS w2 FROM c JOIN pos p ON p.a = c.s AND p.rel = 'r_isa' AND p.turn <= 8 JOIN pos q ON q.a = c.o AND q.rel = 'r_isa' AND q.turn <= 8 AND q.b = p.b WHERE c.relation = 'r_isa'" + first.format("p.b"), ("subject", "'r_isa'", "tgt", "w1"), ("object", "'r_isa'", "tgt", "w2")),
+        "composition": steps(f"SELECT c.subject, c.relation, c.object, m.r1, m.r2, p.tgt, p.w AS w1, q.w AS w2 FROM c JOIN (VALUES {o._pairs(schema.COMPOSED_OF)}) AS m(rel, i, r1, r2) ON m.rel = c.relation JOIN pos p ON p.a = c.s AND p.rel = m.r1 AND p.turn <= 8 JOIN probe q ON q.a = p.b AND q.rel = m.r2 AND q.b = c.o WHERE {mids} AND q.w > 0" + first.format("m.i, p.turn"), ("subject", "r1", "tgt", "w1"), ("tgt", "r2", "object", "w2")),
+    }
+
+
+_WAYS = _ways()
+
+
 def on_derived_graph() -> dict[str, str]:
     g, c = f"WITH {o._graph()} ", f"WITH {o._claims()}"
     both = f"{c}, {o._answers(CASCADE)}, {o._VALID}, {o._CONSOLIDATED}"
@@ -70,6 +136,12 @@ LEFT JOIN (SELECT a, rel, count(*) AS n FROM n GROUP BY ALL) h ON h.a = c.s AND
         "ready_candidates": f"{both} SELECT term, relation, target, coalesce(validation_status = 'ok' AND consolidation_status = 'consolidated', false) AS ready_for_submission FROM cons",
         "proven_triplets": f"{both}, good AS (SELECT DISTINCT lower(term) AS kt, relation AS kr, lower(target) AS ko FROM cons WHERE consolidation_status = 'consolidated') SELECT DISTINCT upper(term) AS term, relation, upper(target) AS target FROM cons SEMI JOIN good ON kt = lower(term) AND kr = relation AND ko = lower(target)",
         "registry_merge": f"{both} SELECT relation, count(*) AS n FROM (SELECT DISTINCT lower(term), relation, lower(target) FROM cons WHERE consolidation_status = 'consolidated') GROUP BY relation",
+        "explanations": f"{c}, {_said(CASCADE_2)} SELECT k.subject, k.relation, k.object, coalesce(explanation, '') AS explanation FROM claims k LEFT JOIN said USING (subject, relation, object)",
+        "submission_lines": f"{c}, {_said(CASCADE)}, {o._VALID}, {o._CONSOLIDATED}, {_LINES} SELECT term, relation, target, line FROM lines",
+        "submission_file": f"""{c}, {_said(CASCADE)}, {o._VALID}, {o._CONSOLIDATED}, {_LINES}
+SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS spot, '# Soumission du graphe — ' || count(*) || ' triplet(s) consolidé(s) par inférence dans le réseau.' AS line FROM lines
+UNION ALL SELECT 0, 1, '# Format : terme | relation | cible | annotation < explication >' UNION ALL SELECT 0, 2, ''
+UNION ALL SELECT 1, 0, line FROM lines""",
         "submission_file_size": f"{both} SELECT part, count(*) AS n FROM (SELECT CAST(0 AS BIGINT) AS part FROM range(3) UNION ALL SELECT 1 FROM cons WHERE consolidation_status = 'consolidated') GROUP BY part",
         "enrich_chain": f"{both}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50), {_gaps(['r_carac', 'r_lieu', 'r_make'])} SELECT c.term, c.relation, c.target, g.gap_type, c.confidence, c.validation_status, c.consolidation_status FROM cons c JOIN gaps g ON g.term = c.term AND g.relation = c.relation",
         "gaps_of_usual_relations": f"{g}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) <= 50), {_gaps(sorted({*schema.NOUN_GAPS, *schema.VERB_GAPS}))} SELECT relation, gap_type, count(*) AS n FROM gaps GROUP BY ALL",

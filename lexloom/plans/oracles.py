@@ -138,6 +138,29 @@ l{d} AS (SELECT root, target AS label, {d} AS depth, relation AS kind, place, w
     return f"{_graph()}, {roots}, {', '.join(hits(d) for d in range(1, depth + 1))}, sg_edges AS ({edges}), sg_nodes AS ({nodes})"
 
 
+def _numbered_subgraph(depth: int, expand_refined: bool) -> str:
+    """Numbered edges over the graph with senses."""
+    asked = "name" if expand_refined else "label"
+
+    def hits(d: int) -> str:
+        names = schema.SUBGRAPH_RELATIONS[d]
+        position = "CASE rel " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(names, 1)) + " END"
+        near = f"SELECT *, {position} AS pos, row_number() OVER (PARTITION BY src, rel ORDER BY abs(w) DESC, id) AS turn FROM wide WHERE rel IN ({_list(names)}) AND tgt_type <> 8"
+        return f"""h{d} AS (SELECT * FROM (SELECT l.root, l.label AS source, CASE WHEN t.tgt = l.root THEN l.root ELSE t.tgt_decoded END AS target, t.rel AS relation, t.w, {d} AS depth, l.place || printf('%02d.%09d/', CAST(t.pos AS INT), CAST(t.turn AS INT)) AS place, t.tgt AS name
+  FROM l{d - 1} l JOIN ({near}) t ON t.src = l.{asked} AND t.turn <= 3) WHERE target = root OR target <> source),
+l{d} AS (SELECT root, target AS label, {d} AS depth, place, name FROM (
+  SELECT h.*, row_number() OVER (PARTITION BY root, target ORDER BY place) AS k FROM h{d} h WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT root, label FROM l{i}' for i in range(d))}) x WHERE x.root = h.root AND x.label = h.target)) WHERE k = 1)"""
+
+    layers = ", ".join(hits(d) for d in range(1, depth + 1))
+    nodes = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))
+    edges = " UNION ALL ".join(f"SELECT * FROM h{d}" for d in range(1, depth + 1))
+    return f"""WITH {_senses()}, wide AS (SELECT g.*, k.type AS tgt_type FROM g JOIN edges e ON e.id = g.id JOIN nodes k ON k.id = e.node2),
+l0 AS (SELECT DISTINCT src AS root, src AS label, 0 AS depth, '' AS place, src AS name FROM g WHERE rel IN ('r_isa', 'r_raff_sem', 'r_carac')), {layers},
+ids AS (SELECT root, label, CASE WHEN depth = 0 THEN 'ROOT' ELSE 'N' || CAST(row_number() OVER (PARTITION BY root ORDER BY depth, place) - 1 AS VARCHAR) END AS node FROM ({nodes}))
+SELECT e.root, e.source, e.target, e.relation, CAST(e.w AS DOUBLE) AS w, CAST(e.depth AS BIGINT) AS depth, a.node AS from_node, b.node AS to_node
+FROM ({edges}) e JOIN ids a ON a.root = e.root AND a.label = e.source JOIN ids b ON b.root = e.root AND b.label = e.target"""
+
+
 _LABEL = "CASE WHEN w < 0 THEN 'NON ' ELSE '' END || relation || ' ' || CAST(CAST(round_even(w, 0) AS BIGINT) AS VARCHAR) AS label"
 _SIGN = "CASE WHEN w < 0 THEN 'négation' ELSE 'affirmation' END AS polarity"
 
@@ -225,6 +248,9 @@ SELECT rel AS code, 'About ' || rel || ' : It has ' || count(*) || ' triplets.'
     held = "held AS (SELECT DISTINCT s.term, s.sense, s.turn, g.rel, g.tgt FROM senses s JOIN g ON g.src = s.sense)"
     out["sense_contamination"] = f"WITH {_senses()}, {held} SELECT DISTINCT h.term, h.rel, h.tgt, h.sense FROM held h JOIN g ON g.src = h.term AND g.rel = h.rel AND g.tgt = h.tgt WHERE h.turn > 1 AND NOT EXISTS (SELECT 1 FROM held f WHERE f.turn = 1 AND f.term = h.term AND f.rel = h.rel AND f.tgt = h.tgt)"
     out["duplicate_sense_signal"] = f"WITH {_senses()}, {held} SELECT term, rel, tgt, count(*) AS n_senses FROM held GROUP BY ALL HAVING count(*) > 1"
+    for depth in (3, 4):
+        out[f"subgraph_numbered_depth{depth}"] = _numbered_subgraph(depth, False)
+        out[f"subgraph_refined_depth{depth}"] = _numbered_subgraph(depth, True)
     out["subgraph_depth1"] = f"WITH {_subgraph(1)} SELECT root, source, target, relation, w, {_LABEL}, place FROM sg_edges"
     out["subgraph_depth2"] = f"WITH {_subgraph(2)} SELECT root, source, target, relation, w, {_LABEL}, place, from_negation FROM sg_edges"
     out["subgraph_nodes"] = f"WITH {_subgraph(2)} SELECT root, label, CAST(depth AS BIGINT) AS depth, kind, negated FROM sg_nodes"

@@ -10,7 +10,7 @@ from lexloom.sources import sinks, text_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "events", "labels"]
-CHOSEN = [*more_oracles.build(), *budget_oracle.build(), "relation_docs_parsed", "relation_prefix", "synonym_equiv", "term_exists", "lookup_out_topk", "gaps_classify", "geo_propagation", "cohyponym", "decode_names", "disambiguate", "resolve_soft_sense", "annotations_for_edges", "annotation_disagreement", "sense_contamination", "duplicate_sense_signal"]
+CHOSEN = [*more_oracles.build(), *budget_oracle.build(), "subgraph_numbered_depth4", "subgraph_refined_depth4", "relation_docs_parsed", "relation_prefix", "synonym_equiv", "term_exists", "lookup_out_topk", "gaps_classify", "geo_propagation", "cohyponym", "decode_names", "disambiguate", "resolve_soft_sense", "annotations_for_edges", "annotation_disagreement", "sense_contamination", "duplicate_sense_signal"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
