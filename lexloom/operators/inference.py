@@ -144,6 +144,17 @@ def isa_incompatible(g: RuleGraph, c: DataFrame) -> DataFrame:
     return _answer(rows, -F.abs("w2"), [step("subject", F.lit("r_isa"), "shown", "w1"), step("shown", F.lit("r_isa-incompatible"), "object", "w2")], [F.col("turn")])
 
 
+def _denied_inverse(g: RuleGraph, above: DataFrame) -> DataFrame:
+    """Claims whose object denies the inverse of one of the hypernyms ``above``, with all ways in ``order``."""
+    back = above.filter("m <> o").withColumn("inv", inverse_of(F.col("relation"))).filter("inv is not null")
+    # Several of the hypernyms may share a name: the last one listed gives the weight.
+    back = back.groupBy(*KEY, "inv", "m").agg(F.max_by(F.struct("shown", "w1"), "turn").alias("h"))
+    edges = g.edges.filter("w < 0").select(F.col("a").alias("o"), F.col("rel").alias("inv"), F.col("b").alias("m"), "id", F.col("shown").alias("target"), F.col("w").alias("w2"))
+    back = back.join(edges, ["o", "inv", "m"])
+    proof = F.array(step("subject", F.lit("r_isa"), "target", "h.w1"), step("object", "inv", "target", "w2", "négation (inverse)"))
+    return back.select(*CLAIM, F.col("w2").alias("weight"), proof.alias("proof"), F.struct(F.lit(1).alias("way"), F.col("id").alias("at")).alias("order"))
+
+
 def class_elimination(g: RuleGraph, c: DataFrame) -> DataFrame:
     """A hypernym of the subject is denied the claim; or else the object denies the inverse of a hypernym."""
     above = g.hop(c, "r_isa", schema.REFUTATION_SCAN).filter("m <> o")
@@ -151,19 +162,17 @@ def class_elimination(g: RuleGraph, c: DataFrame) -> DataFrame:
     first = step("subject", F.lit("r_isa"), "shown", "w1")
     denied = F.struct(F.lit(0).alias("way"), F.col("turn").cast("long").alias("at"))
     one = direct.select(*CLAIM, F.col("w2").alias("weight"), F.array(first, step("shown", "relation", "object", "w2", "négation")).alias("proof"), denied.alias("order"))
-    back = above.withColumn("inv", inverse_of(F.col("relation"))).filter("inv is not null")
-    # Several of the hypernyms may share a name: the last one listed gives the weight.
-    back = back.groupBy(*KEY, "inv", "m").agg(F.max_by(F.struct("shown", "w1"), "turn").alias("h"))
-    edges = g.edges.filter("w < 0").select(F.col("a").alias("o"), F.col("rel").alias("inv"), F.col("b").alias("m"), "id", F.col("shown").alias("target"), F.col("w").alias("w2"))
-    back = back.join(edges, ["o", "inv", "m"])
-    two = back.select(*CLAIM, F.col("w2").alias("weight"), F.array(step("subject", F.lit("r_isa"), "target", "h.w1"), step("object", "inv", "target", "w2", "négation (inverse)")).alias("proof"), F.struct(F.lit(1).alias("way"), F.col("id").alias("at")).alias("order"))
-    best = one.unionByName(two).groupBy(*CLAIM).agg(F.min_by(F.struct("weight", "proof"), "order").alias("x"))
+    best = one.unionByName(_denied_inverse(g, above)).groupBy(*CLAIM).agg(F.min_by(F.struct("weight", "proof"), "order").alias("x"))
     return best.select(*CLAIM, "x.*", F.lit(1).alias("consensus"))
 
 
 def antonym_contrast(g: RuleGraph, c: DataFrame) -> DataFrame:
-    rows = g.hop(c.filter(F.col("relation").isin("r_carac", "r_has_prop")), F.col("relation")).filter("m <> o")
-    rows = rows.groupBy(*KEY, "m").agg(F.max_by(F.struct("shown", "w1"), "turn").alias("x"))
+    return _contrasted(g, g.hop(c.filter(F.col("relation").isin(schema.CONTRASTED)), F.col("relation")))
+
+
+def _contrasted(g: RuleGraph, own: DataFrame) -> DataFrame:
+    """Claims whose object is the antonym of one of the subject's ``own`` targets."""
+    rows = own.filter("m <> o").groupBy(*KEY, "m").agg(F.max_by(F.struct("shown", "w1"), "turn").alias("x"))
     against = g.edges.filter("rel = 'r_anto' and w > 0").select(F.col("a").alias("o"), F.col("b").alias("m"), "id", F.col("w").alias("w2"))
     rows = rows.join(against, ["o", "m"])
     return _answer(rows, -F.least("x.w1", "w2"), [step("subject", "relation", "x.shown", "x.w1"), step("object", F.lit("r_anto"), "x.shown", "w2", "antonyme")], [F.col("id")])
@@ -197,8 +206,13 @@ def hyponym_propagation(g: RuleGraph, c: DataFrame) -> DataFrame:
 
 def cohyponym(g: RuleGraph, c: DataFrame) -> DataFrame:
     asked = c.filter("relation = 'r_isa'").select(*KEY)
+    return _siblings(g.hop(asked, "r_isa"), g.hop(asked, "r_isa", end="o"))
+
+
+def _siblings(above: DataFrame, beside: DataFrame) -> DataFrame:
+    """Claims whose ends share a hypernym (of the subject's ``above``, of the object's ``beside``) and are none of each other."""
     last = lambda rows, name: rows.groupBy(*KEY, "m").agg(F.max_by(F.struct("shown", "w1"), "turn").alias(name))
-    up, down = last(g.hop(asked, "r_isa"), "x"), last(g.hop(asked, "r_isa", end="o"), "y")
+    up, down = last(above, "x"), last(beside, "y")
     related = up.filter("m = o").select(*CLAIM).unionByName(down.filter("m = s").select(*CLAIM)).distinct()
     rows = up.join(down, [*KEY, "m"]).join(related, CLAIM, "left_anti")
     return _answer(rows, F.lit(-30.0), [step("subject", F.lit("r_isa"), "x.shown", "x.w1"), step("object", F.lit("r_isa"), "x.shown", "y.w1", "hyperonyme commun — A et B sont frères")], [F.col("m")])
@@ -262,21 +276,91 @@ def run_schema(graph: RuleGraph, claims: DataFrame, name: str) -> DataFrame:
     return fired.select(*CLAIM, F.lit(name).alias("schema"), "weight", sure.alias("confidence"), "consensus", "proof")
 
 
+#: Pseudo relation under which a claim's first hop meets :attr:`RuleGraph.generic`.
+_GENERIC = "#generic"
+
+
+def _first_hops(g: RuleGraph, c: DataFrame, effort: int) -> DataFrame:
+    """The first hops of all two-hop schemas by one join: ``way`` says for what (above, own, generic, chain), ``second`` is a chain's second relation."""
+    lit = F.lit
+
+    def way(name: str, relation: Column, take: int, pos: int = 0, second: Column | None = None) -> Column:
+        return F.struct(lit(name).alias("way"), relation.alias("r1"), lit(take).alias("take"), lit(pos).alias("pos"), (second if second is not None else lit(None).cast("string")).alias("second"))
+
+    k = max(1, g.top_k)
+    ways = [way("above", lit("r_isa"), schema.REFUTATION_SCAN), way("own", F.col("relation"), k), way("generic", lit(_GENERIC), k)]
+    if effort >= 2:
+        for relation, chains in schema.COMPOSED_OF.items():
+            ways += [F.when(F.col("relation") == relation, way("chain", lit(a), k, i, lit(b))) for i, (a, b) in enumerate(chains)]
+    asked = c.select(*KEY, F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
+    lists = g.best.unionByName(g.generic.withColumn("rel", lit(_GENERIC)).select(*g.best.columns))
+    return asked.join(lists.withColumnsRenamed({"a": "s", "rel": "r1"}), ["s", "r1"]).filter(F.col("turn") <= F.col("take"))
+
+
+def _second_hops(g: RuleGraph, hops: DataFrame) -> DataFrame:
+    """What the schemas that ask (mid, relation, object) say, by one join with the probe: as :func:`run_schema` without the confidence."""
+    lit, own, off = F.lit, F.col("way") == "own", (F.col("m") != F.col("s")) & (F.col("m") != F.col("o"))
+    relation, elsewhere = F.col("relation"), F.col("m") != F.col("o")
+
+    def asks(name: str, when: Column, second: Column, sign: int, note: str = "") -> Column:
+        return F.when(when, F.struct(lit(name).alias("schema"), second.alias("r2"), lit(sign).alias("sign"), lit(note).alias("note")))
+
+    above = F.col("way") == "above"
+    wanted = [
+        asks("isa_incompatible", above & (relation == "r_isa") & ~F.contains("mid", lit(">")), lit("r_isa-incompatible"), 1),
+        asks("class_elimination", above & elsewhere, relation, -1, "négation"),
+        asks("deduction_isa", (F.col("way") == "generic") & elsewhere, relation, 0),
+        asks("transitivity", own & off & relation.isin(schema.TRANSITIVE), relation, 1),
+        asks("geo_propagation", own & off & (relation == "r_lieu"), lit("r_holo"), 1, "contenu géographiquement"),
+        asks("hyponym_propagation", own & off, lit("r_isa"), 1, "cas particulier de la cible"),
+        asks("composition", (F.col("way") == "chain") & off, F.col("second"), 1),
+    ]
+    keys = hops.select(*KEY, "r1", "way", "pos", "turn", "m", "shown", "w1", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("x"))
+    probe = g.probe.filter("w <> 0").select(F.col("a").alias("m"), F.col("rel").alias("r2"), F.col("b").alias("o"), F.col("w").alias("w2"))
+    rows = keys.select("*", "x.*").drop("x").join(probe, ["m", "r2", "o"]).filter("sign = 0 or w2 * sign > 0")
+    name = F.col("schema")
+    weight = F.when(name == "isa_incompatible", -F.abs("w2")).when(name == "hyponym_propagation", F.least("w1", "w2")).otherwise(F.col("w2"))
+    by = F.when(F.col("way").isin("above", "generic"), "r_isa").otherwise(F.col("r1"))
+    proof = F.array(step("subject", by, "shown", "w1"), step("shown", "r2", "object", "w2", F.col("note")))
+    # Among agreeing paths the strongest counts, a denial before any; elsewhere the first one.
+    strongest = name.isin("deduction_isa", "transitivity")
+    order = F.struct(F.when(name == "deduction_isa", (F.col("w2") > 0).cast("int")).otherwise(0).alias("a"), F.when(strongest, -F.abs("w2")).otherwise(0.0).alias("b"), F.col("pos").alias("c"), F.col("turn").alias("d"))
+    best = rows.groupBy(*CLAIM, "schema").agg(F.min_by(F.struct(weight.alias("weight"), proof.alias("proof")), order).alias("x"), F.count("*").alias("n"), F.count_if(F.col("w2") < 0).alias("denials"))
+    consensus = F.when((name == "deduction_isa") & (F.col("denials") > 0), F.col("denials")).when(strongest, F.col("n")).otherwise(1)
+    return best.select(*CLAIM, "schema", "x.weight", "x.proof", consensus.cast("int").alias("consensus"))
+
+
+def _two_hop_answers(g: RuleGraph, c: DataFrame, order: list[str], effort: int) -> DataFrame:
+    """The first answer among the two-hop schemas of each claim of ``c``: all of them from one join for the first hops and one for the second."""
+    hops = store(_first_hops(g, c, effort), "hops")
+    ranked = lambda df, name, later=0: df.select(*CLAIM, F.lit(name).alias("schema"), "weight", "proof", "consensus", F.lit(2 * order.index(name) + later).alias("rank"))
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(order) for x in (n, 2 * i)])
+    second = _second_hops(g, hops).withColumn("rank", number[F.col("schema")]).select(*CLAIM, "schema", "weight", "proof", "consensus", "rank")
+    above, own = hops.filter("way = 'above'"), hops.filter("way = 'own'")
+    back = _denied_inverse(g, above).groupBy(*CLAIM).agg(F.min_by(F.struct("weight", "proof"), "order").alias("x")).select(*CLAIM, "x.*", F.lit(1).alias("consensus"))
+    contrast = _contrasted(g, own.filter(F.col("relation").isin(schema.CONTRASTED)))
+    isa = c.filter("relation = 'r_isa'").select(*KEY)
+    brothers = _siblings(above.filter("relation = 'r_isa'").filter(F.col("turn") <= max(1, g.top_k)), g.hop(isa, "r_isa", end="o"))
+    every = [second, ranked(back, "class_elimination", 1), ranked(contrast, "antonym_contrast"), ranked(brothers, "cohyponym")]
+    rows = reduce(DataFrame.unionByName, every).filter("weight <> 0")
+    return rows.groupBy(*CLAIM).agg(F.min_by(F.struct("schema", "weight", "proof", "consensus"), "rank").alias("x")).select(*CLAIM, "x.*")
+
+
 def infer(graph: RuleGraph, claims: DataFrame, effort: int = 1) -> DataFrame:
     """Every claim with the answer of the first schema that fires; a silent claim has weight 0 and no schema."""
     order = CASCADE_2 if effort >= 2 else CASCADE
-    claims = store(claims, "claims")  # every schema reads them
+    claims = store(claims, "claims")
+    asked = store(keyed(claims), "asked")
     # The guards and single look-ups first; only claims without an answer go on to the two-hop schemas.
-    parts, asked = [], claims
-    for stage in (order[:GUARDS], order[GUARDS:]):
-        answers = reduce(DataFrame.unionByName, [run_schema(graph, asked, name).withColumn("rank", F.lit(order.index(name))) for name in stage])
-        first = answers.groupBy(*CLAIM).agg(F.min_by(F.struct("schema", "weight", "confidence", "consensus", "proof"), "rank").alias("x")).select(*CLAIM, "x.*")
-        parts.append(store(first, "answers"))
-        if len(parts) == 1:
-            asked = store(asked.select(*CLAIM).distinct().join(parts[0].select(*CLAIM), CLAIM, "left_anti"), "claims")
-    first = parts[0].unionByName(parts[1])
+    guards = [SCHEMAS[name](graph, asked).filter("weight <> 0").select(*CLAIM, F.lit(name).alias("schema"), "weight", "proof", "consensus", F.lit(i).alias("rank")) for i, name in enumerate(order[:GUARDS])]
+    first = reduce(DataFrame.unionByName, guards).groupBy(*CLAIM).agg(F.min_by(F.struct("schema", "weight", "proof", "consensus"), "rank").alias("x")).select(*CLAIM, "x.*")
+    first = store(first, "answers")
+    left = store(asked.join(first.select(*CLAIM), CLAIM, "left_anti"), "claims")
+    found = first.unionByName(_two_hop_answers(graph, left, order, effort))
+    factors = F.create_map(*[F.lit(x) for pair in schema.SOUNDNESS.items() for x in pair])
+    found = found.withColumn("confidence", confidence(F.col("weight"), F.size("proof"), factors[F.col("schema")], F.col("consensus")))
     none = F.array().cast(f"array<{STEP}>")
-    out = claims.join(first, CLAIM, "left")
+    out = claims.join(found, CLAIM, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return out.select(*claims.columns, "schema", zero("weight"), zero("confidence"), F.coalesce("consensus", F.lit(0)).alias("consensus"), F.coalesce("proof", none).alias("proof"))
 
