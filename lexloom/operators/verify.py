@@ -10,6 +10,7 @@ from lexloom.functions.text import norm, whole
 from lexloom.operators.budget import infer_within
 from lexloom.operators.inference import CLAIM, STEP, RuleGraph, explanation, infer, keyed
 from lexloom.operators.senses import resolve_senses
+from lexloom.sources.storage import store
 
 STATUSES = ["supported", "contradicted", "unknown"]
 
@@ -54,6 +55,7 @@ def verify(graph: RuleGraph, claims: DataFrame, effort: int = 0, bypass: bool =
     """
     if senses is not None:
         claims = resolve_claims(claims, senses)
+    claims = store(claims, "claims")  # direct triplets, rules and evidence all read them
     says = F.coalesce("polarity", F.lit(True))
     known = F.col("relation").isin(relations) if relations is not None else F.lit(True)
     rows = claims.join(direct_hits(graph, claims), CLAIM, "left")
