@@ -41,16 +41,17 @@ class Kept:
 
         Plans are met by their semantic hash and then compared, so two that
         only share a hash are two tables.  Files that were written anew under
-        the same names make another plan; the lifetime bounds what remains.
+        the same names make another plan; the lifetime bounds what remains.  A
+        table that someone else has deleted is written again.
         """
         found = self.tables.setdefault((df.sparkSession.sparkContext.applicationId, df.semanticHash()), [])
         for kept in [k for k in found if k.until <= time.time()]:
             self._drop(kept, df.sparkSession)
             found.remove(kept)
+        spark = df.sparkSession
         for kept in found:
-            if kept.asked.sameSemantics(df):
+            if kept.asked.sameSemantics(df) and Place(spark, kept.path).exists():
                 return kept.table
-        spark = df.sparkSession
         path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.writes += 1

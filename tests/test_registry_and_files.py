@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.operators.inference import RuleGraph
 from lexloom.sources import keyed, submissions, versions
 from lexloom.sources.graph import plain_triplets
+from lexloom.sources.places import Place
 from lexloom.streaming import registry
 
 FORM = "at timestamp, term string, relation string, target string, consolidation_explanation string, consolidation_schema string"
@@ -100,6 +101,8 @@ def test_tables_are_written_once_and_expire(spark, tmp_path):
     assert kept.release(asked()) and not kept.release(asked())
     assert kept.of(asked(), "x", lifetime=0).count() == 25 and kept.writes == 3
     assert kept.of(asked(), "x").count() == 25 and kept.writes == 4  # the one before had expired
+    [Place(spark, k.path).delete() for found in kept.tables.values() for k in found]
+    assert kept.of(asked(), "x").count() == 25 and kept.writes == 5  # deleted by others
 
 
 def test_rule_graphs_share_their_views(spark):
