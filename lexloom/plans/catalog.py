@@ -440,6 +440,12 @@ def verdict_texts(spark, sf_dir):
     return _verified(spark, sf_dir, 0).select("subject", "relation", "object", "explanation")
 
 
+@query
+def verdict_texts_inferred(spark, sf_dir):
+    """Verdicts of the rules before direct triplets, in words."""
+    return _verified(spark, sf_dir, 1, True).select("subject", "relation", "object", "explanation")
+
+
 @query
 def ready_candidates(spark, sf_dir):
     return enrich.ready(_consolidated(spark, sf_dir)).select("term", "relation", "target", "ready_for_submission")

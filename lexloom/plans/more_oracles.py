@@ -30,6 +30,10 @@ def _gaps(relations: list[str]) -> str:
     return f"gaps AS (SELECT term, relation, CASE WHEN p = 0 AND n > 0 THEN 'negative_filled' WHEN p = 0 THEN 'missing' ELSE 'low_coverage' END AS gap_type FROM ({counts}) WHERE p < 3)"
 
 
+def _text(name: str) -> str:
+    return schema.VERDICT_TEXTS[name].format(network="Le réseau").replace("'", "''")
+
+
 def _pairs(table: dict[str, str]) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in table.items())
@@ -133,6 +137,15 @@ FROM found LEFT JOIN worst ON src = term AND rel = relation WHERE p < 3""",
   ELSE 'Le réseau ne contient pas d''information vérifiable pour `' || subject || ' | ' || relation || ' | ' || object || '`.' END AS explanation
 FROM claims JOIN c USING (subject, relation, object) LEFT JOIN (SELECT a, rel, b, arg_min(w, id) AS w, arg_min(tgt, id) AS tgt FROM n GROUP BY ALL) d ON d.a = c.s AND d.rel = relation AND d.b = c.o
 LEFT JOIN (SELECT a, rel, count(*) AS n FROM n GROUP BY ALL) h ON h.a = c.s AND h.rel = relation""",
+        "verdict_texts_inferred": f"""{c}, {_said(CASCADE)} SELECT c.subject, c.relation, c.object, CASE
+  WHEN c.relation NOT IN ({o._list(o.RELATIONS)}) THEN 'Relation inconnue dans Le réseau : ''' || c.relation || '''.'
+  WHEN a.weight IS NOT NULL THEN CASE WHEN d.w IS NOT NULL THEN '{_text("forced")}' ELSE '{_text("inferred")}' END || s.explanation
+  WHEN d.w IS NOT NULL THEN 'Le réseau contient directement le triplet `' || c.subject || ' | ' || c.relation || ' | ' || d.tgt || '` avec poids ' || {_whole("d.w")} || ' (' || CASE WHEN d.w > 0 THEN 'affirmation' ELSE 'négation' END || ' consensuelle).'
+  WHEN h.n >= 5 THEN 'Le réseau ne contient pas le triplet `' || c.subject || ' | ' || c.relation || ' | ' || c.object || '`. Les valeurs connues pour `' || c.subject || ' | ' || c.relation || ' | ?` sont listées dans `evidence_against` à titre indicatif (ne constituent pas une contradiction stricte).'
+  ELSE 'Le réseau ne contient pas d''information vérifiable pour `' || c.subject || ' | ' || c.relation || ' | ' || c.object || '`.' END AS explanation
+FROM c LEFT JOIN answers a USING (subject, relation, object) LEFT JOIN said s USING (subject, relation, object)
+LEFT JOIN (SELECT a, rel, b, arg_min(w, id) AS w, arg_min(tgt, id) AS tgt FROM n GROUP BY ALL) d ON d.a = c.s AND d.rel = c.relation AND d.b = c.o
+LEFT JOIN (SELECT a, rel, count(*) AS n FROM n GROUP BY ALL) h ON h.a = c.s AND h.rel = c.relation""",
         "ready_candidates": f"{both} SELECT term, relation, target, coalesce(validation_status = 'ok' AND consolidation_status = 'consolidated', false) AS ready_for_submission FROM cons",
         "proven_triplets": f"{both}, good AS (SELECT DISTINCT lower(term) AS kt, relation AS kr, lower(target) AS ko FROM cons WHERE consolidation_status = 'consolidated') SELECT DISTINCT upper(term) AS term, relation, upper(target) AS target FROM cons SEMI JOIN good ON kt = lower(term) AND kr = relation AND ko = lower(target)",
         "registry_merge": f"{both} SELECT relation, count(*) AS n FROM (SELECT DISTINCT lower(term), relation, lower(target) FROM cons WHERE consolidation_status = 'consolidated') GROUP BY relation",
