@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.membership import may_contain
 from lexloom.llm.storage import materialise, packed, unpacked
-from lexloom.llm.text import lower_ascii
+from lexloom.llm.text import WordHashes, lower_ascii, scrambled
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
@@ -52,25 +52,6 @@ _BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 _SLOT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class _WordHashes(dict):
-    """64-bit hash of a word, with the words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def shingle_set(text: str | None, hashes: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct shingle hashes; a text of fewer words is one shingle, one without words has none."""
     words = lower_ascii(text).split() if text else []
@@ -78,12 +59,12 @@ def shingle_set(text: str | None, hashes: dict[bytes, int]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if len(w) < SHINGLE:
-        return _mix(np.array([(w * _PLACE[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64))
+        return scrambled(np.array([(w * _PLACE[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64))
     n = len(w) - SHINGLE + 1
     total = w[:n] * _PLACE[0]
     for k in range(1, SHINGLE):
         total += w[k : k + n] * _PLACE[k]
-    return np.unique(_mix(total))
+    return np.unique(scrambled(total))
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +74,8 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(x), 2048):
         low = np.minimum(low, (_A * x[at : at + 2048] + _B).min(1))
     samples = low.astype(np.uint64)
-    keys = _mix((samples.reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64) + _BAND)
-    slots = _mix(samples * _SLOT + _SLOT) % np.uint64(SKETCH_BITS)
+    keys = scrambled((samples.reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64) + _BAND)
+    slots = scrambled(samples * _SLOT + _SLOT) % np.uint64(SKETCH_BITS)
     bits = (np.bincount(slots.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
@@ -112,7 +93,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "text_key", "n", "node", "bands", "bits", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -160,7 +141,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = known.join(ids.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").unionByName(known.filter(F.col("doc_id").isNull()))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 found = [shingle_set(t, hashes) for t in batch.column(1).slice(at, 1024).to_pylist()]

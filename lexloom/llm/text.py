@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import xxhash
+
 #: Words of licence, benchmark and decontamination operators, as a regular expression of Spark, DuckDB and Python.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lowering, as a plain union: Java matches it many times faster than a negated one.
@@ -22,3 +25,22 @@ def lower_ascii(text: str) -> bytes:
 def words_of(text: str | None) -> list[bytes]:
     """The words of :data:`WORD` after lowering A-Z, as UTF-8 (every byte of a non-ASCII character is a word byte)."""
     return _word_bytes(lower_ascii(text)) if text else []
+
+
+class WordHashes(dict):
+    """64-bit hash of a word, with the words seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))

@@ -256,11 +256,13 @@ def test_decontamination(spark, docs, documents, no_docs):
     long_words = WORD.findall(lowered(texts[208]))
     items = [(1, " ".join(long_words[50:75])), (2, "one"), (3, ""), (4, None), (None, texts[1]), (5, " ".join(WORD.findall(lowered(texts[2]))[:12]).upper()), (6, "never seen phrase of some words that do not occur here"), (2, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK, 7):
-        got = decontaminate.report(decontaminate.find_contamination(docs, bench, block=block)).collect()
+    # With bitmaps that let nearly everything pass, and places dealt in many parts.
+    settings = ({}, {"most_bits": 64}, {"part": 2}, {"most_bits": 256, "part": 1})
+    for setting in settings:
+        got = decontaminate.report(decontaminate.find_contamination(docs, bench, **setting)).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == Counter(brute_hits(i, t, items) for i, t, *_ in documents)
-    for block in (decontaminate.BLOCK, 7):
-        kept = decontaminate.decontaminate(docs, bench, block=block)
+    for setting in settings[::3]:
+        kept = decontaminate.decontaminate(docs, bench, **setting)
         assert kept.columns == docs.columns and kept.count() == sum(not brute_hits(i, t, items)[4] for i, t, *_ in documents)
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.find_contamination(no_docs, bench).count() == 0
