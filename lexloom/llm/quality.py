@@ -28,8 +28,8 @@ BUCKETS = 1 << 16
 RANK = 8
 #: Labelled rows that train the machine at most (the ones with the smallest hash of their id).
 SAMPLE = 4000
-#: Passes over the rows, and mini-batches at least: few rows are passed over more often.
-EPOCHS, STEPS = 6, 400
+#: Mini-batches at most, how many lie between two looks at the rows set aside, and after how many without a gain there training stops.
+STEPS, LOOK, PATIENCE = 1000, 25, 150
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -107,38 +107,61 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(places, values, starts) + self.offset, -30, 30)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, rank: int = RANK, batch: int = 64, rate: float = 0.05, decay: float = 1e-5) -> FactorisationMachine:
-    """Log-loss by AdaGrad over seeded mini-batches; no rows, or one class only, gives that class's rate."""
+def _ragged(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, values and starts of rows that are not empty."""
+    sizes = np.array([len(p) for p, _ in rows])
+    return np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float32), np.cumsum(sizes) - sizes
+
+
+def log_loss(raw: np.ndarray, labels: np.ndarray) -> float:
+    """Mean loss of log-odds after their best calibration, as the score is calibrated too."""
+    a, b = calibrate(raw, labels)
+    z = np.clip(a * raw + b, -30, 30)
+    return float(np.mean(np.logaddexp(0, z) - labels * z))
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, aside: list[tuple[np.ndarray, np.ndarray]] = (), aside_labels: np.ndarray | None = None, seed: int = 7, steps: int = STEPS, rank: int = RANK, batch: int = 64, rate: float = 0.05, decay: float = 1e-5) -> FactorisationMachine:
+    """Log-loss by AdaGrad over seeded mini-batches; no rows, or one class only, gives that class's rate.
+
+    Of the machines met every :data:`LOOK` mini-batches the one with the least
+    loss on the rows ``aside`` is the result, so how long to train is decided
+    by training rows alone.  Without such rows all ``steps`` are taken.
+    """
     rng = np.random.default_rng(seed)
     fm = FactorisationMachine(np.zeros(WIDTH, np.float32), rng.normal(0, 0.02, (WIDTH, rank)).astype(np.float32))
     if not len(rows):
         return fm
     p = np.clip(labels.mean(), 0.01, 0.99)
     fm.w[BUCKETS] = np.log(p / (1 - p))
-    epochs = max(epochs, -(-STEPS * batch // len(rows)))
     gw, gv = np.full(WIDTH, 1e-2, np.float32), np.full((WIDTH, rank), 1e-2, np.float32)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            places = np.concatenate([rows[i][0] for i in part])
-            values = np.concatenate([rows[i][1] for i in part]).astype(np.float32)
-            sizes = np.array([len(rows[i][0]) for i in part])
-            starts = np.cumsum(sizes) - sizes
-            vx = fm.v[places] * values[:, None]
-            sums = np.add.reduceat(vx, starts)
-            raw = np.add.reduceat(fm.w[places] * values, starts) + 0.5 * (sums**2 - np.add.reduceat(vx * vx, starts)).sum(1)
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]) / len(part)
-            each = np.repeat(error, sizes) * values
-            by_pair = each[:, None] * (np.repeat(sums, sizes, 0) - vx)
-            touched, of = np.unique(places, return_inverse=True)
-            dw = np.bincount(of, each) + decay * fm.w[touched]
-            dv = np.stack([np.bincount(of, by_pair[:, f]) for f in range(rank)], 1) + decay * fm.v[touched]
-            gw[touched] += dw**2
-            gv[touched] += dv**2
-            fm.w[touched] -= rate * dw / np.sqrt(gw[touched])
-            fm.v[touched] -= rate * dv / np.sqrt(gv[touched])
-    return fm
+    held = _ragged(aside) if len(aside) else None
+    best, best_loss, best_step, step = None, np.inf, 0, 0
+    order: list[int] = []
+    while step < steps and step - best_step < (PATIENCE if held else steps):
+        if not len(order):
+            order = rng.permutation(len(rows))
+        part, order = order[:batch], order[batch:]
+        step += 1
+        places, values, starts = _ragged([rows[i] for i in part])
+        sizes = np.diff(np.append(starts, len(places)))
+        vx = fm.v[places] * values[:, None]
+        sums = np.add.reduceat(vx, starts)
+        raw = np.add.reduceat(fm.w[places] * values, starts) + 0.5 * (sums**2 - np.add.reduceat(vx * vx, starts)).sum(1)
+        error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]) / len(part)
+        each = np.repeat(error, sizes) * values
+        by_pair = each[:, None] * (np.repeat(sums, sizes, 0) - vx)
+        touched, of = np.unique(places, return_inverse=True)
+        dw = np.bincount(of, each) + decay * fm.w[touched]
+        dv = np.stack([np.bincount(of, by_pair[:, f]) for f in range(rank)], 1) + decay * fm.v[touched]
+        gw[touched] += dw**2
+        gv[touched] += dv**2
+        fm.w[touched] -= rate * dw / np.sqrt(gw[touched])
+        fm.v[touched] -= rate * dv / np.sqrt(gv[touched])
+        if held and step % LOOK == 0:
+            loss = log_loss(fm.raw(*held), aside_labels)
+            if loss < best_loss:
+                best, best_loss, best_step = FactorisationMachine(fm.w.copy(), fm.v.copy()), loss, step
+    return best or fm
 
 
 def held_out(id_col: str):
@@ -168,7 +191,7 @@ def calibrate(raw: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
-    """Train on at most ``sample`` labelled rows outside the held-out fold, and calibrate on every fifth of them.
+    """Train on at most ``sample`` labelled rows outside the held-out fold; every fifth of them decides how long, and calibrates.
 
     Rows without text, id or label are left out.  Of several labels of one id
     the smallest counts, of several texts the first in order, so the driver
@@ -192,12 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     features = [(np.asarray(p), np.asarray(v)) for p, v in zip(got["places"], got["values"])]
     truth = got["label"].to_numpy(float)
     aside = np.arange(len(features)) % 5 == 4
-    machine = train([x for x, a in zip(features, aside) if not a], truth[~aside])
-    if aside.any():
-        held = [x for x, a in zip(features, aside) if a]
-        sizes = np.array([len(p) for p, _ in held])
-        raw = machine.raw(np.concatenate([p for p, _ in held]), np.concatenate([v for _, v in held]), np.cumsum(sizes) - sizes)
-        machine.slope, machine.offset = calibrate(raw, truth[aside])
+    held = [x for x, a in zip(features, aside) if a]
+    machine = train([x for x, a in zip(features, aside) if not a], truth[~aside], held, truth[aside])
+    if held:
+        machine.slope, machine.offset = calibrate(machine.raw(*_ragged(held)), truth[aside])
     return machine
 
 
