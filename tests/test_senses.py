@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import annotations, senses
 from lexloom.sources.graph import triplets
+from lexloom.sources.storage import store
 
 NODES = [
     (1, "avocat", 1, 50.0), (2, "avocat>116477>66699", 1, 30.0), (3, "avocat>87286", 1, 20.0), (4, "avocat>robe", 1, 5.0), (5, "avocat>999", 1, 4.0),
@@ -69,6 +70,22 @@ def test_soft_references_against_all_senses(spark):
     assert got == {s: resolved(s, rows) for s in soft}
 
 
+def test_hints_that_many_senses_match(spark):
+    """Neither small files nor a common hint make tables that a driver holds, or a row per reference and sense."""
+    nodes = [(i, f"mot>nom {i}>commun", 1, float(i)) for i in range(1, 61)] + [(1000, "mot", 1, 1.0)]
+    n, _, g = graph(spark, nodes, [])
+    listed = store(senses.list_senses(n, g), "senses")
+    soft = [f"mot>NOM {i}>commun" for i in range(1, 61)] + ["mot>commun>commun>nom 7", "mot>commun>rien", "mot>nom>commun>nom 3 x"]
+    found = senses.resolve_senses(spark.createDataFrame([(s,) for s in soft], "soft string"), listed)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = listed.collect()
+    assert {r.soft: r.name for r in found.collect()} == {s: resolved(s, rows) for s in soft}
+    met = spark.createDataFrame([("mot", "commun", f"s{i}", i, i) for i in range(60)] + [("mot", f"nom {i}", f"s{i}", i, i) for i in range(60)], "group string, hint string, sense string, turn int, sense_id long")
+    hinted = spark.createDataFrame([(f"r{i}", "mot", h) for i in range(60) for h in ("commun", f"nom {i}")], "soft string, group string, hint string")
+    best = senses._best_met(hinted, met)
+    assert {r.soft: r.name for r in best.collect()} == {f"r{i}": f"s{i}" for i in range(60)}
+
+
 def test_contained_pairs(spark):
     rng = random.Random(9)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(120)})
