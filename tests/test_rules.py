@@ -7,6 +7,7 @@ import pytest
 from lexloom.operators import inference, verify
 from lexloom.operators.inference import RuleGraph
 from lexloom.sources.graph import plain_triplets
+from lexloom.sources.storage import store
 
 # edges, claim, schema, weight, confidence
 GOLDENS = [
@@ -68,3 +69,22 @@ def test_verify(answers, spark):
     assert got["cétacé", "r_carac", True].status == "contradicted" and got["cétacé", "r_carac", False].status == "supported"
     assert got["orque", "r_carac", True].schema == "class_elimination"
     assert got["orque", "r_odd", True].status == "unknown" and got["caillou", "r_lieu", None].confidence == 0.0
+
+
+def test_no_claim_is_dealt_by_a_hop_that_all_share(spark, monkeypatch):
+    """Distinct hops look into the graph; with many of them both sides are shuffled, to the same answers."""
+    edges = [(i, f"c{i}", "r_isa", "seg", 40.0) for i in range(50)] + [(100, "seg", "r_isa", "top", 90.0), (101, "seg", "r_carac", "heavy", -30.0), (102, "low", "r_isa", "seg", 10.0)]
+    g = inference.RuleGraph.stored(plain_triplets(spark.createDataFrame(edges, "id long, src string, rel string, tgt string, w double")))
+    claims = spark.createDataFrame([(f"c{i}", r, o) for i in range(50) for r, o in [("r_isa", "top"), ("r_carac", "heavy"), ("r_isa", "low")]], "subject string, relation string, object string")
+    asked = inference.keyed(claims)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hops = store(inference._first_hops(g, asked, 1), "hops")
+        assert "SortMergeJoin" not in inference._second_hops(g, hops)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    seen = [{(r.subject, r.relation, r.object): (r.schema, r.weight) for r in inference.infer(g, claims).collect()}]
+    monkeypatch.setattr(inference, "FEW", 0)
+    seen.append({(r.subject, r.relation, r.object): (r.schema, r.weight) for r in inference.infer(g, claims).collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 150
+    assert [seen[0]["c7", *x] for x in (("r_isa", "top"), ("r_carac", "heavy"), ("r_isa", "low"))] == [("deduction_isa", 90.0), ("class_elimination", -30.0), ("cohyponym", -30.0)]
