@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,6 +31,8 @@ SAMPLE = 4000
 BUCKETS = 1 << 18
 #: Steps of training, on pieces of at most so many tokens; the part of a word's features that a step sees, so that unseen words with some of them are known too.
 STEPS, PIECE, SEEN = 40, 128, 0.5
+#: Tokens that a step looks at in one go, and texts that are gathered so: they bound what the driver holds besides the texts.
+BLOCK, GATHERED = 1 << 16, 128
 #: Share of a seed's documents that are toxic, both kinds taken as equally many; share of false seeds that is borne.
 PURITY, FALSE_SEEDS = 0.98, 0.02
 #: Length of the word beginnings that may be seeds.
@@ -187,20 +189,22 @@ def seeds(found: list[list[str]], toxic: np.ndarray) -> set[str]:
     total = [float(weight[~toxic].sum()), float(weight[toxic].sum())]
     if not total[0] or not total[1]:
         return set()
-    counts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for words, t, w in zip(found, toxic.tolist(), weight.tolist()):
+    number = _Numbers()
+    keys = []
+    for words in found:
         low = {x.lower() for x in words}
-        for key in low | {f"{x[:k]}*" for x in low for k in BEGINNINGS if k < len(x)}:
-            counts[key][t] += w
+        keys.append(np.fromiter((number[k] for k in low | {f"{x[:k]}*" for x in low for k in BEGINNINGS if k < len(x)}), np.int32))
+    flat, n_keys = np.concatenate(keys), [len(k) for k in keys]
+    clean_of, toxic_of = (np.bincount(flat, np.repeat(weight * kind, n_keys), len(number)) for kind in (~toxic, toxic))
     rate = total[1] / sum(total)
     tested = []
-    for key, (b, a) in counts.items():
+    for key, b, a in zip(number, clean_of.tolist(), toxic_of.tolist()):
         share = a / (a + b)
         if share > rate:
             chance = -(a + b) * (share * np.log(share / rate) + ((1 - share) * np.log((1 - share) / (1 - rate)) if b else 0))
             tested.append((chance, key, a / total[1] / (a / total[1] + b / total[0])))
     tested.sort()
-    passed = [i for i, (chance, _, _) in enumerate(tested) if chance <= np.log(FALSE_SEEDS * (i + 1) / len(counts))]
+    passed = [i for i, (chance, _, _) in enumerate(tested) if chance <= np.log(FALSE_SEEDS * (i + 1) / len(number))]
     return {key for _, key, purity in tested[: max(passed, default=-1) + 1] if purity >= PURITY}
 
 
@@ -212,45 +216,36 @@ def is_seed(word: str, chosen: set[str]) -> bool:
 def train(texts: list[str], toxic: np.ndarray, rate: float = 0.4, decay: float = 1e-6, seed: int = 7) -> Field:
     """Tags by :func:`seeds`; then the likelihood of the tags is raised by adaptive steps over all pieces."""
     model = Field()
-    found = [words_of(t) for t in texts]
+    pool: dict[str, str] = {}
+    found = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]  # a word's text once, however often it stands
     chosen = seeds(found, toxic)
     if not chosen:
         return model
     number = _Numbers()
     codes = number.of(found)
     seed_word = np.array([is_seed(w, chosen) for w in number], bool)
-    truth = (seed_word[codes] & np.repeat(toxic, [len(w) for w in found])).astype(float)
+    truth = seed_word[codes] & np.repeat(toxic, [len(w) for w in found])
     sizes = np.array([n for words in found for n in [PIECE] * (len(words) // PIECE) + [len(words) % PIECE] if n], np.int64)
     by_word = [features(w) for w in number]
     counts = np.array([len(f) for f in by_word])
     flat, word_starts = np.concatenate(by_word), np.cumsum(counts) - counts
-    to, begins = ragged(sizes)
-    firsts = np.cumsum(sizes) - sizes
-    inside = np.ones(len(codes), bool)
-    inside[firsts] = False
-    truth_step = np.bincount((truth[:-1] * 2 + truth[1:]).astype(int)[inside[1:]], minlength=4).reshape(2, 2)
+    del found, pool
+    blocks = [_Block(codes[i:j], truth[i:j].astype(float), own) for i, j, own in _blocks(sizes)]
+    truth_step = sum(block.truth_step for block in blocks)
     speed = np.zeros_like(model.weights)
     small = np.zeros(6)
     n, rng = len(codes), np.random.default_rng(seed)
     for _ in range(STEPS):
         seen = rng.random(len(flat)) < SEEN
-        of = np.add.reduceat(model.weights[:, flat] * seen, word_starts, 1)
-        odds = np.empty(n)
-        odds[to] = np.exp(np.clip(_joined(of, codes, sizes) + model.bias, -30, 30))
-        move = np.exp(model.moves)
-        fore, back = forward_backward(odds, begins, np.exp(model.start), move)
-        p = (fore * back / (1 + fore * back))[to]
-        r, s = fore[to][:-1], (odds * back)[to][1:]
-        parts = np.stack([np.full(len(s), move[0, 0]), move[0, 1] * s, r * move[1, 0], r * s * move[1, 1]])
-        steps = (parts / parts.sum(0))[:, inside[1:]].sum(1).reshape(2, 2)
-        error = p - truth
-        left, right = error[1:] * inside[1:], error[:-1] * inside[1:]
-        per_word = [np.bincount(codes, error, len(number)), np.bincount(codes[:-1], left, len(number)), np.bincount(codes[1:], right, len(number))]
+        of = np.stack([np.add.reduceat(model.weights[role, flat] * seen, word_starts) for role in range(3)])
+        per_word, g, steps = np.zeros((3, len(number))), np.zeros(2), np.zeros((2, 2))
+        for block in blocks:
+            steps += block.look(model, of, per_word, g)
         for role in range(3):
-            g = np.bincount(flat, np.repeat(per_word[role], counts) * seen, BUCKETS) + decay * n * model.weights[role]
-            speed[role] += g * g
-            model.weights[role] -= rate * g / (np.sqrt(speed[role]) + 1e-3)
-        g = np.array([error.sum(), error[firsts].sum(), *(steps - truth_step).ravel()])
+            gw = np.bincount(flat, np.repeat(per_word[role], counts) * seen, BUCKETS) + decay * n * model.weights[role]
+            speed[role] += gw * gw
+            model.weights[role] -= rate * gw / (np.sqrt(speed[role]) + 1e-3)
+        g = np.array([*g, *(steps - truth_step).ravel()])
         small += g * g
         change = rate * g / (np.sqrt(small) + 1e-3)
         model.bias, model.start = model.bias - change[0], model.start - change[1]
@@ -258,10 +253,51 @@ def train(texts: list[str], toxic: np.ndarray, rate: float = 0.4, decay: float =
     return model
 
 
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Neighbouring sequences of some :data:`BLOCK` tokens together: first token, end, sizes."""
+    ends = np.cumsum(sizes)
+    of = (ends - 1) // BLOCK
+    for k in np.unique(of):
+        own = np.flatnonzero(of == k)
+        yield int(ends[own[0]] - sizes[own[0]]), int(ends[own[-1]]), sizes[own]
+
+
+class _Block:
+    """Sequences whose share in the gradient is taken together."""
+
+    def __init__(self, codes: np.ndarray, truth: np.ndarray, sizes: np.ndarray) -> None:
+        self.codes, self.truth, self.sizes = codes, truth, sizes
+        self.to, self.begins = ragged(sizes)
+        self.firsts = np.cumsum(sizes) - sizes
+        self.inside = np.ones(len(codes), bool)
+        self.inside[self.firsts] = False
+        self.truth_step = np.bincount((truth[:-1] * 2 + truth[1:]).astype(int)[self.inside[1:]], minlength=4).reshape(2, 2)
+
+    def look(self, model: Field, of: np.ndarray, per_word: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Add the errors by word and role to ``per_word``, those of the bias and of the starts to ``g``; the expected steps between tags."""
+        codes, to, inside = self.codes, self.to, self.inside
+        odds = np.empty(len(codes))
+        odds[to] = np.exp(np.clip(_joined(of, codes, self.sizes) + model.bias, -30, 30))
+        move = np.exp(model.moves)
+        fore, back = forward_backward(odds, self.begins, np.exp(model.start), move)
+        p = (fore * back / (1 + fore * back))[to]
+        r, s = fore[to][:-1], (odds * back)[to][1:]
+        parts = np.stack([np.full(len(s), move[0, 0]), move[0, 1] * s, r * move[1, 0], r * s * move[1, 1]])
+        error = p - self.truth
+        left, right = error[1:] * inside[1:], error[:-1] * inside[1:]
+        for role, (at, e) in enumerate([(codes, error), (codes[:-1], left), (codes[1:], right)]):
+            per_word[role] += np.bincount(at, e, per_word.shape[1])
+        g += [error.sum(), error[self.firsts].sum()]
+        return (parts / parts.sum(0))[:, inside[1:]].sum(1).reshape(2, 2)
+
+
 def gather(model: Field, texts: list[str | None]) -> np.ndarray:
     """Sum of the fourth powers of the marginals of each text: many faint tags do not add up to a clear one."""
-    emissions, sizes = Emissions(model).tokens(texts)
-    return _gathered(model.marginals(emissions, sizes), sizes)
+    own, found = Emissions(model), [np.zeros(0)]
+    for at in range(0, len(texts), GATHERED):
+        emissions, sizes = own.tokens(texts[at : at + GATHERED])
+        found.append(_gathered(model.marginals(emissions, sizes), sizes))
+    return np.concatenate(found)
 
 
 def _gathered(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -288,9 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), "id")  # at most ``sample`` ids
     got = sorted(rows.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).collect(), key=lambda r: str(r["id"]))
     toxic, texts = np.array([r["toxic"] for r in got], bool), [r["text"] for r in got]
+    del got
     share = (have.get(True, 0) + 1) / (sum(have.values()) + 2)
     prior = float(np.log(share / (1 - share)))
-    aside = np.arange(len(got)) % 5 == 4
+    aside = np.arange(len(texts)) % 5 == 4
     model = train([t for t, a in zip(texts, aside) if not a], toxic[~aside])
     if model.weights.any():
         model.slope, model.offset = calibrate(np.log(gather(model, texts) + FLOOR), toxic.astype(float))

@@ -94,3 +94,16 @@ def test_held_out_labels(spark):
     clean = [r["predicted"] for r in got if r["toxic"] == 0]
     bad = [r["predicted"] for r in got if r["toxic"] == 1]
     assert sum(clean) == 0 and len(bad) >= 10 and np.mean(bad) >= 0.75  # few labelled rows in other languages than English
+
+
+def test_training_takes_bounded_blocks(monkeypatch):
+    """Blocks follow one another, cut no sequence and are bounded; texts are gathered as each alone."""
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    sizes = np.random.default_rng(3).integers(1, toxicity.PIECE + 1, 300)
+    found = list(toxicity._blocks(sizes))
+    assert [i for i, _, _ in found] == [0, *[j for _, j, _ in found[:-1]]] and found[-1][1] == sizes.sum()
+    assert np.array_equal(np.concatenate([own for _, _, own in found]), sizes)
+    assert all(j - i == own.sum() <= 1000 + toxicity.PIECE for i, j, own in found)
+    model = toxicity.Field(weights=np.random.default_rng(4).normal(0, 1, (3, toxicity.BUCKETS)).astype(np.float32))
+    texts = ["one two three", "", "four"] * 60
+    assert np.allclose(toxicity.gather(model, texts), np.concatenate([toxicity.gather(model, [t]) for t in texts]))
