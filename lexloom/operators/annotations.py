@@ -18,7 +18,7 @@ def edge_annotations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in schema.ANNOTATION_KINDS.items() for x in pair])
     anchor = nodes.filter(F.col("name").rlike("^:r[0-9]+$")).select(F.col("id").alias("node1"), F.expr("try_cast(substring(name, 3) as bigint)").alias("rel_id"))
     value = nodes.filter(F.col("type") == schema.TERM_TYPE).select(F.col("id").alias("node2"), F.col("name").alias("value"))
-    found = edges.filter(F.col("type").isin(list(schema.ANNOTATION_KINDS))).join(anchor, "node1").join(value, "node2")
+    found = edges.filter(F.col("type").isin(list(schema.ANNOTATION_KINDS))).join(anchor.hint("merge"), "node1").join(value.hint("merge"), "node2")
     entry = F.struct((-F.abs("w")).alias("order"), F.col("id").alias("edge"), kinds[F.col("type")].alias("kind"), "value", "w")
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda a: F.struct(a.kind.alias("kind"), a.value.alias("value"), a.w.alias("w")))
     return found.groupBy("rel_id").agg(ordered.alias("annotations"))

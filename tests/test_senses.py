@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import annotations, senses
+from lexloom.operators import annotations, senses, verify
+from lexloom.operators.inference import RuleGraph
 from lexloom.sources.graph import triplets
 from lexloom.sources.storage import store
 
@@ -86,6 +87,22 @@ def test_hints_that_many_senses_match(spark):
     assert {r.soft: r.name for r in best.collect()} == {f"r{i}": f"s{i}" for i in range(60)}
 
 
+def test_claims_about_senses_send_no_table_to_the_driver(spark):
+    """Stored nodes, triplets and claims are small as files; what a driver would hold of them is not."""
+    n, e, g = graph(spark)
+    n, e = store(n, "nodes"), store(e, "edges")
+    g = triplets(n, e, spark.createDataFrame([(1, "r_raff_sem", ""), (9, "r_has_part", "")], "id int, name string, help string"))
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    assert joins(g) == 0
+    g = store(g, "triplets")
+    listed = senses.list_senses(n, g)
+    noted = annotations.edge_annotations(n, e)
+    claims = store(spark.createDataFrame([("avocat>personne", "r_has_part", "robe", True), ("avocat", "r_has_part", "robe", False)], "subject string, relation string, object string, polarity boolean"), "claims")
+    found = verify.verify(RuleGraph.stored(g), claims, senses=store(listed, "senses"), annotations=noted)
+    assert [joins(df) for df in (listed, noted, found)] == [0, 0, 0]
+    assert {r.subject: r.status for r in found.collect()} == {"avocat>116477>66699": "supported", "avocat": "contradicted"}
+
+
 def test_contained_pairs(spark):
     rng = random.Random(9)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(120)})
