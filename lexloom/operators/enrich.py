@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import fold_accents, norm, one_line
-from lexloom.operators.inference import RuleGraph, explanation, infer
+from lexloom.operators.inference import RuleGraph, answers, explanation, keyed
 from lexloom.operators.stats import gaps
 from lexloom.operators.verify import direct_hits
 from lexloom.sources.storage import store
@@ -24,11 +24,11 @@ def validate(candidates: DataFrame, graph: RuleGraph, exclusions: DataFrame | No
     is among ``exclusions`` (term, relation, folded target), or a positive
     triplet has it.  ``inconsistent``: a triplet denies it.  Else ``ok``.
     """
-    claims = _as_claims(candidates).distinct()
+    candidates = store(candidates, "candidates")
     asked = candidates.select(norm("target").alias("o")).distinct()
     ends = [asked.join(graph.edges.select(F.col(end).alias("o")), "o", "left_semi") for end in ("a", "b")]
     names = ends[0].union(ends[1]).distinct().withColumn("exists", F.lit(True))
-    hits = direct_hits(graph, claims).select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "direct")
+    hits = direct_hits(graph, _as_claims(candidates)).select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "direct")
     rows = candidates.withColumn("o", norm("target")).join(names, "o", "left").join(hits, ["term", "relation", "target"], "left")
     if exclusions is not None:
         barred = exclusions.select("term", "relation", F.col("target").alias("_folded"), F.lit(True).alias("barred")).distinct()
@@ -43,9 +43,13 @@ def validate(candidates: DataFrame, graph: RuleGraph, exclusions: DataFrame | No
 
 def consolidate(candidates: DataFrame, graph: RuleGraph, effort: int = 1) -> DataFrame:
     """Valid ``candidates`` with ``consolidation_status``, its schema and explanation; invalid ones keep nulls."""
-    answers = infer(graph, _as_claims(candidates.filter("validation_status = 'ok'")).distinct(), effort)
-    said = answers.select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "weight", F.col("schema").alias("consolidation_schema"), explanation(answers).alias("consolidation_explanation"))
+    candidates = store(candidates, "valid")
+    found = answers(graph, store(keyed(_as_claims(candidates.filter("validation_status = 'ok'"))), "asked"), effort)
+    said = found.select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "weight", F.col("schema").alias("consolidation_schema"), explanation(found).alias("consolidation_explanation"))
     rows = candidates.join(said, ["term", "relation", "target"], "left")
+    # The rules are silent about the others; one with a null part was not asked.
+    silent = (F.col("validation_status") == "ok") & F.col("weight").isNull() & F.col("term").isNotNull() & F.col("relation").isNotNull() & F.col("target").isNotNull()
+    rows = rows.withColumns({"weight": F.when(silent, 0.0).otherwise(F.col("weight")), "consolidation_explanation": F.when(silent, "").otherwise(F.col("consolidation_explanation"))})
     status = F.when(F.col("weight") > 0, "consolidated").when(F.col("weight") < 0, "rejected").when(F.col("weight") == 0, "not_consolidated")
     status = F.when(F.col("validation_status") == "ok", status)
     left = F.when(status == "rejected", F.least("confidence", F.lit(0.1))).otherwise(F.col("confidence"))
@@ -57,7 +61,7 @@ def consolidate(candidates: DataFrame, graph: RuleGraph, effort: int = 1) -> Dat
 def fill_gaps(terms: DataFrame, proposals: DataFrame, graph: RuleGraph, relations: list[str] | None = None, effort: int = 1) -> DataFrame:
     """The ``proposals`` that meet a gap of ``terms``, with its ``gap_type``, validated and consolidated."""
     found = gaps(terms, graph.graph, relations).select("term", "relation", "gap_type")
-    wanted = store(proposals.join(found, ["term", "relation"]), "proposals")
+    wanted = proposals.join(found, ["term", "relation"])
     return consolidate(validate(wanted, graph), graph, effort)
 
 
@@ -92,7 +96,8 @@ def submission_file(candidates: DataFrame, network: str, senses: DataFrame | Non
         for end in ("term", "target"):
             rows = rows.join(senses.select(F.col("name").alias(end), F.col("decoded").alias(f"{end}_shown")), end, "left")
             rows = rows.withColumn(end, F.coalesce(f"{end}_shown", end)).drop(f"{end}_shown")
-    body = submission_lines(rows).select(F.struct(F.lit(1).alias("part"), F.lit(0).alias("at"), F.col("line").alias("key")).alias("place"), "line")
+    body = store(submission_lines(rows), "lines")  # written and counted
+    body = body.select(F.struct(F.lit(1).alias("part"), F.lit(0).alias("at"), F.col("line").alias("key")).alias("place"), "line")
     head = [x.format(network=network) for x in schema.SUBMISSION_HEAD]
     n = body.agg(F.count("*").cast("string").alias("n"))
     lines = [F.format_string(head[0], "n"), *map(F.lit, head[1:])]
