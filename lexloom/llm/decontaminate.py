@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.storage import materialise
+from lexloom.llm.storage import TEXTS, materialise
 from lexloom.llm.text import WordHashes, scrambled, words_of
 
 SHINGLE = 3
@@ -38,7 +38,7 @@ BITS_PER_KEY, MOST_BITS = 16, 1 << 27
 #: Places of one prefix that go to one part, at least; and into how many parts all places would be dealt, at most.
 PART, MOST_PARTS = 10_000, 4096
 #: Words that are hashed in one go, and places in one stored row.
-GROUP, PLACES = 400_000, 4096
+GROUP, PLACES = 100_000, 4096
 
 _rng = np.random.Generator(np.random.PCG64(20250117))
 _PLACE = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -166,15 +166,19 @@ def prefixes_of(numbered: DataFrame, shingles: DataFrame, counts: DataFrame, par
     """
     n = F.coalesce("n", F.lit(0))
     rarest = shingles.join(counts, "h", "left").groupBy("wid", "size").agg(F.min(F.struct(n.alias("n"), "h", "offset")).alias("least"))
-    rarest = materialise(rarest.select("wid", "size", "least.*").filter("n > 0"), "rarest")
+    rarest = materialise(rarest.select("wid", "size", "least.*").filter("n > 0"), "rarest", TEXTS)
     total = rarest.select("h", "n").distinct().agg(F.sum("n")).first()[0] or 0
     share = max(part, -(-total // MOST_PARTS))
     parts = F.ceil(F.col("n") / F.lit(share)).cast("int")
     return materialise(rarest.join(numbered, "wid").select("h", parts.alias("parts"), "wid", "window", "size", "offset"), "prefixes")
 
 
-def stored_places(rows: DataFrame, prefixes: DataFrame, width: int, sizes: list[int], most_bits: int) -> DataFrame:
-    """``rows`` (with ``rid`` and ``text``), stored with ``n_words``, ``n_places`` and ``places``; all but the first rows of one ``rid`` are null but for places.
+def _text(rows: DataFrame, inside: str | None) -> Column:
+    return F.col("text") if inside is None else F.col("row").getField(inside)
+
+
+def stored_places(rows: DataFrame, prefixes: DataFrame, width: int, sizes: list[int], most_bits: int, inside: str | None = None) -> DataFrame:
+    """``rows`` (with ``rid`` and ``text``, or the text as field ``inside`` of the column ``row``, so that it travels once), stored with ``n_words``, ``n_places`` and ``places``; all but the first rows of one ``rid`` are null but for places.
 
     A place is a possible prefix at word ``pos``: its ``part``, the words
     ``around`` it, ``lead`` of them before it, and how many words are ``left``
@@ -190,7 +194,7 @@ def stored_places(rows: DataFrame, prefixes: DataFrame, width: int, sizes: list[
         hashes = WordHashes()
         bitmap, hot = shared.value
         for batch in batches:
-            text = batch.column("text")
+            text = batch.column("text") if inside is None else batch.column("row").field(inside)
             for first, lists in _grouped(text):
                 keys, places, ends = _known(lists, hashes, sizes, bitmap)
                 of = np.searchsorted(ends, places, side="right")
@@ -218,13 +222,13 @@ def stored_places(rows: DataFrame, prefixes: DataFrame, width: int, sizes: list[
 
     fields = [T.StructField(f.name, f.dataType) for f in rows.select("rid", *kept).schema]
     more = T.StructType.fromDDL("n_words long, n_places long, places array<struct<h:long,part:int,pos:int,left:int,lead:int,around:string>>")
-    return materialise(rows.mapInArrow(run, T.StructType(fields + more.fields)), "places")
+    return materialise(rows.mapInArrow(run, T.StructType(fields + more.fields)), "places", TEXTS)
 
 
-def match_windows(rows: DataFrame, items: DataFrame, width: int, item_col: str, item_text_col: str, most_bits: int, part: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_windows(rows: DataFrame, items: DataFrame, width: int, item_col: str, item_text_col: str, most_bits: int, part: int, inside: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows`` with ``rid``, ``n_words`` and ``n_places``; hits ``(rid, wid, part, start, end)``; and ``(wid, part, item)``.
 
-    ``rows`` has ``text`` and any other columns, which are kept but for it.
+    ``rows`` has ``text`` and any other columns, which are kept but for it; or the text is the field ``inside`` of ``row``.
     A row without places has no hit.
     """
     of_items = materialise(windows(items, width, item_col, item_text_col), "item-windows")
@@ -232,10 +236,10 @@ def match_windows(rows: DataFrame, items: DataFrame, width: int, item_col: str,
     shingles = materialise(window_shingles(numbered), "window-shingles")
     # At most three numbers.
     sizes = [r.k for r in shingles.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect()] or [SHINGLE]
-    counts = shingle_counts(rows, shingles.select("h").distinct(), sizes, most_bits)
+    counts = shingle_counts(rows.select(_text(rows, inside).alias("text")), shingles.select("h").distinct(), sizes, most_bits)
     prefixes = prefixes_of(numbered, shingles, counts, part)
 
-    stored = stored_places(rows.withColumn("rid", F.monotonically_increasing_id()), prefixes, width, sizes, most_bits)
+    stored = stored_places(rows.withColumn("rid", F.monotonically_increasing_id()), prefixes, width, sizes, most_bits, inside)
     dealt = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     begins = (F.col("pos") - F.col("offset")).alias("start")
     there = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("size")), " ")
@@ -278,8 +282,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     alike; names of columns do not matter; an empty table gives an empty one.
     Rows without a prefix of any window are not shuffled.
     """
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"))
-    stored, hits, _ = match_windows(rows, items, width, "item_id", "text", most_bits, part)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    stored, hits, _ = match_windows(rows, items, width, "item_id", "text", most_bits, part, text_col)
     suspects = stored.filter("n_places > 0").join(hits.select("rid").distinct(), "rid", "left_anti")
     clean = stored.filter("n_places = 0").select("row").unionByName(suspects.select("row"))
     return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

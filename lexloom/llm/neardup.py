@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.membership import may_contain
-from lexloom.llm.storage import materialise, packed, unpacked
+from lexloom.llm.storage import TEXTS, materialise, packed, unpacked
 from lexloom.llm.text import WordHashes, lower_ascii, scrambled
 
 SHINGLE = 5
@@ -148,7 +148,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 found = [x for x in found if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
 
-    sets = materialise(wanted.mapInArrow(to_sets, "node long, shingles binary").join(ends, "node", "left_semi"), "shingle-sets").dropDuplicates(["node"])
+    sets = materialise(wanted.mapInArrow(to_sets, "node long, shingles binary").join(ends, "node", "left_semi"), "shingle-sets", TEXTS).dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = materialise(sketch_documents(docs), "sketches")
+    sketched = materialise(sketch_documents(docs), "sketches", TEXTS)
     with_words = sketched.filter("n > 0")
     classes = materialise(with_words.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "classes")
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = sides.withColumnRenamed("node", "a").alias("l"), sides.withColumnRenamed("node", "b").alias("r")
     stars = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(b, "b").join(a, "a").filter(_possible("l", "r")).select("a", "b")
-    links = materialise(confirm(materialise(stars, "pairs"), classes, docs), "links")
+    links = materialise(confirm(materialise(stars, "pairs"), classes, docs), "links", TEXTS)
     roots = components(links)
 
     # Bands that still hold several components: their other pairs.
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _possible("l", "r")).select("a", "b").distinct()
     more = materialise(more, "pairs")
     if more.take(1):
-        extra = materialise(confirm(more, classes, docs), "links")
+        extra = materialise(confirm(more, classes, docs), "links", TEXTS)
         if extra.take(1):
             roots = joined_components(roots, extra)
 

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.sources.storage import store as materialise
+from lexloom.sources.storage import store
+
+#: Whole texts that go to Python at once, at most, where a step asks for that: Spark's 10 000 take tens of MB on either side of every task.
+TEXTS = 1000
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows, or fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
-__all__ = ["materialise", "packed", "unpacked"]
+def materialise(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """``df`` as a stored table; ``batch`` bounds the rows that go to Python at once while it is written."""
+    if batch is None:
+        return store(df, label)
+    with _batches_of(df.sparkSession, batch):
+        return store(df, label)
 
 
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
