@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.storage import TEXTS, materialise
+from lexloom.llm.storage import TEXTS, lean, materialise
 from lexloom.llm.text import WordHashes, scrambled, words_of
 
 SHINGLE = 3
@@ -68,7 +68,7 @@ def windows(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     found = [b" ".join(words[i : i + width]).decode() for i in range(max(1, len(words) - width + 1))]
                     yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(found), pa.string()), pa.array(found)], ["item", "window"])
 
-    return source.mapInArrow(run, "item string, window string").distinct()
+    return source.mapInArrow(lean(run), "item string, window string").distinct()
 
 
 def window_shingles(numbered: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def window_shingles(numbered: DataFrame) -> DataFrame:
                 h, at = _shingles(w, np.array([len(w)]), min(SHINGLE, len(w)))
                 yield pa.RecordBatch.from_arrays([pa.array([wid] * len(h)), pa.array([len(w)] * len(h), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["wid", "size", "offset", "h"])
 
-    return numbered.mapInArrow(run, "wid long, size int, offset int, h long")
+    return numbered.mapInArrow(lean(run), "wid long, size int, offset int, h long")
 
 
 class Bitmap:
@@ -154,7 +154,7 @@ def shingle_counts(docs: DataFrame, known: DataFrame, sizes: list[int], most_bit
         if waiting:
             yield counted()
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def prefixes_of(numbered: DataFrame, shingles: DataFrame, counts: DataFrame, part: int) -> DataFrame:
@@ -222,7 +222,7 @@ def stored_places(rows: DataFrame, prefixes: DataFrame, width: int, sizes: list[
 
     fields = [T.StructField(f.name, f.dataType) for f in rows.select("rid", *kept).schema]
     more = T.StructType.fromDDL("n_words long, n_places long, places array<struct<h:long,part:int,pos:int,left:int,lead:int,around:string>>")
-    return materialise(rows.mapInArrow(run, T.StructType(fields + more.fields)), "places", TEXTS)
+    return materialise(rows.mapInArrow(lean(run), T.StructType(fields + more.fields)), "places", TEXTS)
 
 
 def match_windows(rows: DataFrame, items: DataFrame, width: int, item_col: str, item_text_col: str, most_bits: int, part: int, inside: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ and the join that follows does all the work.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +30,12 @@ def may_contain(table: DataFrame, keys: list[str], of: list[Column]) -> Column:
     bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = table.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
-    @F.pandas_udf(T.BooleanType())
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BooleanType())
+    def test(a: pa.Array, b: pa.Array) -> pa.Array:
         found = np.ones(len(a), bool)
         for p in (a, b):
-            p = p.to_numpy(np.int64)
+            p = p.to_numpy()
             found &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pd.Series(found)
+        return pa.array(found)
 
     return test(*_places(of))

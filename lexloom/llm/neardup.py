@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.membership import may_contain
-from lexloom.llm.storage import TEXTS, materialise, packed, unpacked
+from lexloom.llm.storage import TEXTS, lean, materialise, packed, unpacked
 from lexloom.llm.text import WordHashes, lower_ascii, scrambled
 
 SHINGLE = 5
@@ -115,7 +115,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 long_list = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, long_list), pa.array(bits, long_list), pa.array(parity, long_list)], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, node long, bands array<long>, bits array<long>, parity array<long>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, text_key long, n long, node long, bands array<long>, bits array<long>, parity array<long>")
 
 
 def _possible(a: str, b: str):
@@ -148,7 +148,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 found = [x for x in found if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
 
-    sets = materialise(wanted.mapInArrow(to_sets, "node long, shingles binary").join(ends, "node", "left_semi"), "shingle-sets", TEXTS).dropDuplicates(["node"])
+    sets = materialise(wanted.mapInArrow(lean(to_sets), "node long, shingles binary").join(ends, "node", "left_semi"), "shingle-sets", TEXTS).dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ TEXTS = 1000
 
 
 @contextmanager
-def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows, or fewer if the session says so."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -30,10 +34,24 @@ def materialise(df: DataFrame, label: str, batch: int | None = None) -> DataFram
     """``df`` as a stored table; ``batch`` bounds the rows that go to Python at once while it is written."""
     if batch is None:
         return store(df, label)
-    with _batches_of(df.sparkSession, batch):
+    with batches_of(df.sparkSession, batch):
         return store(df, label)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; then the worker, which waits for its next task, gives back the memory that it no longer uses."""
+
+    @wraps(run)
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return lean_run
+
+
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
     """``keys``, and all columns of ``df`` as one struct ``row``, so that no name of theirs can meet one of ours."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
