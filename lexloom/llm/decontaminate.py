@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm.membership import may_contain
 from lexloom.llm.storage import TEXTS, lean, materialise
 from lexloom.llm.text import WordHashes, scrambled, words_of
 
@@ -280,12 +281,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
 
     Documents without words have no hit and stay; repeated rows stay or go
     alike; names of columns do not matter; an empty table gives an empty one.
-    Rows without a prefix of any window are not shuffled.
+    Only rows that a bitmap of the hit ones lets through are shuffled: most
+    texts have some place, as the prefixes' bitmap errs now and then.
     """
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     stored, hits, _ = match_windows(rows, items, width, "item_id", "text", most_bits, part, text_col)
-    suspects = stored.filter("n_places > 0").join(hits.select("rid").distinct(), "rid", "left_anti")
-    clean = stored.filter("n_places = 0").select("row").unionByName(suspects.select("row"))
+    hit = materialise(hits.select("rid").distinct(), "hit-rows")
+    marked = stored.select("rid", "row", may_contain(hit, ["rid"], [F.col("rid")]).alias("suspect"))
+    suspects = marked.filter("suspect").join(hit.hint("merge"), "rid", "left_anti")
+    clean = marked.filter("not suspect").select("row").unionByName(suspects.select("row"))
     return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -72,3 +72,32 @@ def test_texts_are_read_twice(spark, tmp_path):
     found = decontaminate.find_contamination(docs.mapInArrow(noted, docs.schema), bench, width=3, part=1)
     assert found.filter("contaminated").count() == 10
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 2 * 50
+
+
+def test_only_hit_texts_are_shuffled(spark):
+    """Every text has a place of a prefix; those without a whole window must not travel."""
+    words = [f"w{i}" for i in range(12)]
+    pieces = [w for k in range(10) for w in [*words[k : k + 3], "and"]]  # every prefix, no window
+    docs = [(i, " ".join([f"x{i}", *pieces, *(words if i % 50 == 0 else [])])) for i in range(400)]
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(words[:10])), ("b", " ".join(words[2:]))], "item_id string, text string")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontaminate.decontaminate(made, items)
+        assert {r.doc_id for r in found.collect()} == {i for i, _ in docs if i % 50}
+        plan = found._jdf.queryExecution().executedPlan()
+        assert 0 < _shuffled(plan) <= 2 * 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def _shuffled(plan) -> int:
+    """Records that the exchanges of an executed plan wrote."""
+    own = plan.metrics().get("shuffleRecordsWritten") if "Exchange" in plan.nodeName() else None
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        below = [plan.executedPlan()]
+    elif "QueryStage" in plan.nodeName():
+        below = [plan.plan()]
+    return (own.get().value() if own is not None and own.isDefined() else 0) + sum(map(_shuffled, below))
