@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom import schema
 from lexloom.functions.text import fold_accents, norm, one_line
-from lexloom.operators.inference import RuleGraph, answers, explanation, keyed
+from lexloom.operators.inference import RuleGraph, answers, explanation, few, keyed
 from lexloom.operators.stats import gaps
-from lexloom.operators.verify import direct_hits
 from lexloom.sources.storage import store
 
 
@@ -25,17 +24,20 @@ def validate(candidates: DataFrame, graph: RuleGraph, exclusions: DataFrame | No
     triplet has it.  ``inconsistent``: a triplet denies it.  Else ``ok``.
     """
     candidates = store(candidates, "candidates")
-    asked = candidates.select(norm("target").alias("o")).distinct()
-    ends = [asked.join(graph.edges.select(F.col(end).alias("o")), "o", "left_semi") for end in ("a", "b")]
-    names = ends[0].union(ends[1]).distinct().withColumn("exists", F.lit(True))
-    hits = direct_hits(graph, _as_claims(candidates)).select(F.col("subject").alias("term"), "relation", F.col("object").alias("target"), "direct")
-    rows = candidates.withColumn("o", norm("target")).join(names, "o", "left").join(hits, ["term", "relation", "target"], "left")
+    nodes = graph.edges.select(F.col("a").alias("o")).union(graph.edges.select("b")).distinct()
+    targets = candidates.select("target").dropna().distinct().select(norm("target").alias("o"))
+    lost = few(store(targets.join(nodes.hint("merge"), "o", "left_anti").distinct(), "lost"))
+    # The probe has one row per key, so candidates meet it as they are, each of them dealt out once.
+    hits = graph.probe.select(F.col("a").alias("s"), F.col("rel").alias("relation"), F.col("b").alias("o"), F.col("w").alias("direct"))
+    rows = candidates.withColumns({"s": norm("term"), "o": norm("target")}).join(hits.hint("merge"), ["s", "relation", "o"], "left")
+    rows = rows.join(lost.withColumn("lost", F.lit(True)), "o", "left")
     if exclusions is not None:
         barred = exclusions.select("term", "relation", F.col("target").alias("_folded"), F.lit(True).alias("barred")).distinct()
         rows = rows.withColumn("_folded", fold_accents("target")).join(barred, ["term", "relation", "_folded"], "left")
     else:
         rows = rows.withColumn("barred", F.lit(None).cast("boolean"))
-    status = F.when(F.col("exists").isNull(), "unknown_term").when(F.col("barred").isNotNull() | (F.col("direct") > 0), "duplicate").when(F.col("direct").isNotNull(), "inconsistent").otherwise("ok")
+    unknown = F.col("lost").isNotNull() | F.col("o").isNull()
+    status = F.when(unknown, "unknown_term").when(F.col("barred").isNotNull() | (F.col("direct") > 0), "duplicate").when(F.col("direct").isNotNull(), "inconsistent").otherwise("ok")
     left = F.when(status == "inconsistent", F.least("confidence", F.lit(0.1))).otherwise(F.col("confidence"))
     keep = [c for c in candidates.columns if c != "confidence"]
     return rows.select(*keep, left.alias("confidence"), status.alias("validation_status"))
